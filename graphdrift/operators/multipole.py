@@ -23,12 +23,18 @@ The leaf depth is chosen from the data so no leaf holds more than
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The Arrow-batch kernels below run in Python workers; ship this module's code with
+# them instead of requiring the package on every worker's import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Offsets (ox, oy) of source cells around a target cell that can belong to its
 # interaction list: Chebyshev distance 2 or 3.  Membership is finished by the
 # parent-adjacency filter below.

@@ -22,6 +22,7 @@ The leaf depth is chosen from the data so no leaf holds more than
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
 
@@ -31,6 +32,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # The Arrow-batch kernels below run in Python workers; ship this module's code with
 # them instead of requiring the package on every worker's import path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -62,6 +65,7 @@ def _schema(keys, p, terms):
     return ", ".join([f"{k} long" for k in keys] + [f"{c} double" for c in _names(p, terms)])
 
 
+@functools.lru_cache(maxsize=None)
 def _quadrant_shift(terms: int, shrink_first: bool) -> dict[int, np.ndarray]:
     """Translation matrices between a cell and its parent, one per child quadrant.
 
@@ -84,6 +88,7 @@ def _quadrant_shift(terms: int, shrink_first: bool) -> dict[int, np.ndarray]:
     return out
 
 
+@functools.lru_cache(maxsize=None)
 def _far_translation(terms: int) -> dict[tuple[int, int], np.ndarray]:
     """Multipole of a source cell -> local expansion of a target cell at offset o = S - T.
 
@@ -233,9 +238,13 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
                      depth: int | None = None) -> DataFrame:
     """(id, fx, fy) = sum over j != i of (p_i - p_j) / max(eps, |p_i - p_j|)^2, exactly to ``terms``.
 
-    ``points`` needs columns id, x, y.
+    ``points`` needs columns id, x, y.  The distinct positions and every level of the
+    cell tree are written as reliable checkpoints (one small table per level: one row
+    per non-empty cell), so each level is computed once and a lost executor only
+    repeats the current level.  The returned frame is lazy in the final joins.
     """
-    pos = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q"))
+    ensure_checkpoint_dir(points.sparkSession)
+    pos = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q")).checkpoint(eager=True)
     bb = pos.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
                  F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     zero = points.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
@@ -250,22 +259,43 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     max_depth = max(2, min(30, int(math.floor(math.log2(span / (4.0 * eps))))))
     pos_norm = pos.select("x", "y", "q", ((F.col("x") - F.lit(x0)) / F.lit(span)).alias("nx"),
                           ((F.col("y") - F.lit(y0)) / F.lit(span)).alias("ny"))
-    L = depth if depth is not None else choose_depth(pos_norm, int(bb["n"]), leaf_capacity, max_depth)
+    n_pos = int(bb["n"])
+    if depth is not None:
+        L = depth
+    elif n_pos <= leaf_capacity:
+        L = 0                       # one cell: everything is near field (at most capacity^2 pairs)
+    else:
+        L = choose_depth(pos_norm, n_pos, leaf_capacity, max_depth)
     side = 2 ** L
     leaf = pos_norm.select(
         "x", "y", "q", "nx", "ny",
         F.least(F.lit(side - 1), F.floor(F.col("nx") * F.lit(float(side)))).cast("long").alias("ix"),
-        F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy"))
+        F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy")
+    ).checkpoint(eager=True)
+
+    parts = [_near_field(leaf, eps)]
+    if L >= 2:
+        # upward pass
+        cells = {L: _cells_from_positions(leaf, L, terms).checkpoint(eager=True)}
+        for lvl in range(L - 1, 1, -1):
+            cells[lvl] = _m2m(cells[lvl + 1], terms).checkpoint(eager=True)
+        # interaction lists and downward pass
+        local = _m2l(cells[2], 2, terms).checkpoint(eager=True)
+        for lvl in range(3, L + 1):
+            local = _add_locals(_l2l(local, cells[lvl], terms), _m2l(cells[lvl], lvl, terms),
+                                terms).checkpoint(eager=True)
+        parts.append(_far_field(leaf, local, side, span, terms))
+
+    per_pos = parts[0]
+    for p in parts[1:]:
+        per_pos = per_pos.unionByName(p)
+    per_pos = per_pos.groupBy("x", "y").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    return points.select("id", "x", "y").join(per_pos, ["x", "y"], "left").select(
+        "id", F.coalesce(F.col("fx"), F.lit(0.0)).alias("fx"), F.coalesce(F.col("fy"), F.lit(0.0)).alias("fy"))
 
-    # upward pass
-    cells = {L: _cells_from_positions(leaf, L, terms)}
-    for lvl in range(L - 1, 1, -1):
-        cells[lvl] = _m2m(cells[lvl + 1], terms)
-    # interaction lists and downward pass
-    local = _m2l(cells[2], 2, terms)
-    for lvl in range(3, L + 1):
-        local = _add_locals(_l2l(local, cells[lvl], terms), _m2l(cells[lvl], lvl, terms), terms)
 
+def _far_field(leaf: DataFrame, local: DataFrame, side: int, span: float, terms: int) -> DataFrame:
+    """Evaluate each leaf's local expansion at its positions (x, y, fx, fy)."""
     # far field at each position: sum_m B_m v^m, v = (z - c) / h_leaf; scaled back by 1/span
     inv_span = 1.0 / span
     far_in = leaf.join(local, ["ix", "iy"], "inner").select(
@@ -284,9 +314,11 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
             yield pd.DataFrame({"x": pdf["x"], "y": pdf["y"],
                                 "fx": acc.real * inv_span, "fy": -acc.imag * inv_span})
 
-    far = far_in.mapInPandas(evaluate, "x double, y double, fx double, fy double")
+    return far_in.mapInPandas(evaluate, "x double, y double, fx double, fy double")
 
-    # near field: exact pairs between distinct positions in touching leaf cells
+
+def _near_field(leaf: DataFrame, eps: float) -> DataFrame:
+    """Exact sums between distinct positions in touching leaf cells (x, y, fx, fy)."""
     tgt = leaf.select("x", "y", "ix", "iy")
     src = leaf.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "q",
                       _offsets_col(NEAR_OFFSETS).alias("o"), "ix", "iy")
@@ -296,9 +328,6 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     ddx = F.col("x") - F.col("sx")
     ddy = F.col("y") - F.col("sy")
     l2 = F.greatest(F.lit(float(eps) ** 2), ddx * ddx + ddy * ddy)
-    near = pairs.groupBy("x", "y").agg(F.sum(F.col("q") * ddx / l2).alias("fx"),
+    return pairs.groupBy("x", "y").agg(F.sum(F.col("q") * ddx / l2).alias("fx"),
                                        F.sum(F.col("q") * ddy / l2).alias("fy"))
 
-    per_pos = far.unionByName(near).groupBy("x", "y").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    return points.select("id", "x", "y").join(per_pos, ["x", "y"], "left").select(
-        "id", F.coalesce(F.col("fx"), F.lit(0.0)).alias("fx"), F.coalesce(F.col("fy"), F.lit(0.0)).alias("fy"))

@@ -13,6 +13,8 @@ one per line item.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,9 @@ def nation_vertices(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> Dat
 def _order_nation(spark, sf_dir, year: int | None = None) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     if year is not None:
-        o = o.filter((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp"))
-                     & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+        # date literals: exact wall-clock bounds for timestamp and timestamp_ntz columns alike
+        o = o.filter((F.col("o_orderdate") >= F.lit(datetime.date(year, 1, 1)))
+                     & (F.col("o_orderdate") < F.lit(datetime.date(year + 1, 1, 1))))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
 

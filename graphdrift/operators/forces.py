@@ -79,13 +79,16 @@ def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius
 
 def repulsion_neighbors(g: Graph, k: float, params: LayoutParams) -> DataFrame:
     """Repulsion from linked vertices only (either direction, each neighbour once)."""
+    return _zero_filled(g.vertices, _neighbor_rows(g, k, params))
+
+
+def _neighbor_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame:
     pairs = build.undirected_pairs(g.edges)
     pos = g.vertices.select("id", "x", "y")
     j = (pairs.join(pos.select(F.col("id").alias("src"), "x", "y"), "src")
          .join(pos.select(F.col("id").alias("dst"), F.col("x").alias("ox"), F.col("y").alias("oy")), "dst"))
     fx, fy = vec.repulsion(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), k, params.rep_scale, params.eps)
-    per_id = j.groupBy(F.col("src").alias("id")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
-    return _zero_filled(g.vertices, per_id)
+    return j.groupBy(F.col("src").alias("id")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
 
 
 def repulsion(g: Graph, k: float, params: LayoutParams) -> DataFrame:
@@ -137,16 +140,48 @@ def gravity(vertices: DataFrame, params: LayoutParams) -> DataFrame:
     return vertices.select("id", gx.alias("dx"), gy.alias("dy"))
 
 
+def _repulsion_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame | None:
+    """Per-vertex repulsion (id, dx, dy); vertices without a contribution may be missing."""
+    if params.repulsion == "all":
+        return repulsion_all(g.vertices, k, params)
+    if params.repulsion == "radius":
+        pairs = repulsion_position_pairs(g.vertices, k, params, params.radius)
+        per_pos = pairs.groupBy("x", "y").agg(F.sum("fx").alias("dx"), F.sum("fy").alias("dy"))
+        return g.vertices.select("id", "x", "y").join(per_pos, ["x", "y"], "inner").select("id", "dx", "dy")
+    if params.repulsion == "neighbors":
+        return _neighbor_rows(g, k, params).select("id", F.col("fx").alias("dx"), F.col("fy").alias("dy"))
+    return None
+
+
+def _attraction_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame:
+    """Un-aggregated attraction contributions (id, dx, dy): one row per link end."""
+    m = attraction_links(g, k, params)
+    rows = m.select(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy"))
+    if params.attraction == "target":
+        return rows
+    return rows.unionByName(m.select(F.col("src").alias("id"), (-F.col("mx")).alias("dx"), (-F.col("my")).alias("dy")))
+
+
 def force_parts(g: Graph, k: float, params: LayoutParams) -> DataFrame:
-    """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy): all per-vertex
-    tables are keyed on id and left-joined to the vertices."""
-    rep = repulsion(g, k, params).select("id", F.col("dx").alias("rep_dx"), F.col("dy").alias("rep_dy"))
-    att = attraction(g, k, params).select("id", F.col("dx").alias("attr_dx"), F.col("dy").alias("attr_dy"))
+    """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy).
+
+    Repulsion rows and raw per-link-end attraction rows are unioned and summed by id in
+    one aggregation (map-side combine, so a hub's many link ends are pre-summed per
+    task), then joined once to the vertices."""
+    zero = F.lit(0.0)
+    parts = [_attraction_rows(g, k, params).select("id", zero.alias("rep_dx"), zero.alias("rep_dy"),
+                                                   F.col("dx").alias("attr_dx"), F.col("dy").alias("attr_dy"))]
+    rep = _repulsion_rows(g, k, params)
+    if rep is not None:
+        parts.append(rep.select("id", F.col("dx").alias("rep_dx"), F.col("dy").alias("rep_dy"),
+                                zero.alias("attr_dx"), zero.alias("attr_dy")))
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    names = ("rep_dx", "rep_dy", "attr_dx", "attr_dy")
+    summed = u.groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
     gx, gy = vec.gravity(F.col("x"), F.col("y"), params.gravity, params.eps)
     v = g.vertices.select("id", "label", "x", "y")
-    return (v.join(rep, "id", "left").join(att, "id", "left")
-            .select("id", "label", "x", "y",
-                    *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("rep_dx", "rep_dy", "attr_dx", "attr_dy")],
+    return (v.join(summed, "id", "left")
+            .select("id", "label", "x", "y", *[F.coalesce(F.col(c), zero).alias(c) for c in names],
                     gx.alias("grav_dx"), gy.alias("grav_dy")))
 
 

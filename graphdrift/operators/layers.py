@@ -82,8 +82,9 @@ def alignment(layout_a: DataFrame, layout_b: DataFrame, pairs: DataFrame) -> Dat
     """One row: n_vertices, mean_displacement, n_pairs, mean_abs_log_ratio."""
     disp = displacement(layout_a, layout_b)
     r = distance_ratio(layout_a, layout_b, pairs).filter(F.col("ratio") > 0)
-    log_mean = r.select(F.avg(F.abs(F.log(F.col("ratio"))))).scalar()
-    n_pairs = r.select(F.count(F.lit(1))).scalar()
+    pair_stats = r.select(F.struct(F.count(F.lit(1)).alias("n"),
+                                   F.avg(F.abs(F.log(F.col("ratio")))).alias("m"))).scalar()
     return disp.agg(F.count(F.lit(1)).alias("n_vertices"), F.avg("distance").alias("mean_displacement")).select(
-        "n_vertices", "mean_displacement", n_pairs.alias("n_pairs"), log_mean.alias("mean_abs_log_ratio"))
+        "n_vertices", "mean_displacement", pair_stats.getField("n").alias("n_pairs"),
+        pair_stats.getField("m").alias("mean_abs_log_ratio"))
 

@@ -46,7 +46,14 @@ NEAR_OFFSETS = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1)]
 
 
 def _offsets_col(offsets) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy")) for a, b in offsets]))
+    """explode() of a literal array of (ox, oy) structs, built as one SQL expression."""
+    items = ", ".join(f"named_struct('ox', {a}, 'oy', {b})" for a, b in offsets)
+    return F.expr(f"explode(array({items}))")
+
+
+def _sum_by(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Keyed sums of many columns, keeping the column names."""
+    return df.groupBy(*keys).sum(*names).toDF(*keys, *names)
 
 
 def _re(p, k):
@@ -135,7 +142,7 @@ def _cells_from_positions(pos: DataFrame, level: int, terms: int) -> DataFrame:
             yield _complex_frame({"ix": pdf["ix"], "iy": pdf["iy"]}, vals, "a", terms)
 
     per_pos = rows.mapInPandas(moments, _schema(["ix", "iy"], "a", terms))
-    return per_pos.groupBy("ix", "iy").agg(*[F.sum(c).alias(c) for c in _names("a", terms)])
+    return _sum_by(per_pos, ["ix", "iy"], _names("a", terms))
 
 
 def _m2m(child: DataFrame, terms: int) -> DataFrame:
@@ -154,7 +161,7 @@ def _m2m(child: DataFrame, terms: int) -> DataFrame:
             yield _complex_frame({"ix": pdf["ix"] // 2, "iy": pdf["iy"] // 2}, out, "a", terms)
 
     shifted = child.mapInPandas(up, _schema(["ix", "iy"], "a", terms))
-    return shifted.groupBy("ix", "iy").agg(*[F.sum(c).alias(c) for c in _names("a", terms)])
+    return _sum_by(shifted, ["ix", "iy"], _names("a", terms))
 
 
 def _m2l(cells: DataFrame, level: int, terms: int) -> DataFrame:
@@ -185,7 +192,7 @@ def _m2l(cells: DataFrame, level: int, terms: int) -> DataFrame:
             yield _complex_frame({"ix": pdf["tx"], "iy": pdf["ty"]}, out, "b", terms)
 
     contrib = src.mapInPandas(translate, _schema(["ix", "iy"], "b", terms))
-    return contrib.groupBy("ix", "iy").agg(*[F.sum(c).alias(c) for c in _names("b", terms)])
+    return _sum_by(contrib, ["ix", "iy"], _names("b", terms))
 
 
 def _l2l(parent_local: DataFrame, child_cells: DataFrame, terms: int) -> DataFrame:
@@ -211,27 +218,32 @@ def _l2l(parent_local: DataFrame, child_cells: DataFrame, terms: int) -> DataFra
 
 
 def _add_locals(a: DataFrame, b: DataFrame, terms: int) -> DataFrame:
-    names = _names("b", terms)
-    return a.unionByName(b).groupBy("ix", "iy").agg(*[F.sum(c).alias(c) for c in names])
+    return _sum_by(a.unionByName(b), ["ix", "iy"], _names("b", terms))
 
 
 def choose_depth(pos_norm: DataFrame, n_pos: int, leaf_capacity: int, max_depth: int) -> int:
     """Smallest depth (>= 2) whose fullest leaf holds at most ``leaf_capacity`` positions.
 
-    Starts from the uniform estimate and deepens while a dense spot overflows; each
-    probe is one keyed count (no rows to the driver beyond one number).
+    Starts from the uniform estimate; each probe job counts cells at four candidate
+    depths at once (one keyed count, one number per depth to the driver) and deepens
+    while a dense spot overflows.
     """
     depth = max(2, math.ceil(math.log(max(n_pos, 1) / leaf_capacity, 4)) if n_pos > leaf_capacity else 2)
     depth = min(depth, max_depth)
-    while depth < max_depth:
-        side = float(2 ** depth)
-        fullest = (pos_norm
-                   .groupBy(F.floor(F.col("nx") * side).alias("cx"), F.floor(F.col("ny") * side).alias("cy"))
-                   .count().agg(F.max("count")).first()[0])
-        if fullest is None or fullest <= leaf_capacity:
-            break
-        depth += 1
-    return depth
+    while True:
+        cands = list(range(depth, min(depth + 4, max_depth + 1)))
+        lv = F.explode(F.array(*[F.lit(c) for c in cands])).alias("lv")
+        side = F.pow(F.lit(2.0), F.col("lv"))
+        fullest = dict(
+            pos_norm.select("nx", "ny", lv)
+            .groupBy("lv", F.floor(F.col("nx") * side).alias("cx"), F.floor(F.col("ny") * side).alias("cy"))
+            .count().groupBy("lv").agg(F.max("count").alias("m")).collect())
+        for c in cands:
+            if fullest.get(c, 0) <= leaf_capacity:
+                return c
+        if cands[-1] >= max_depth:
+            return max_depth
+        depth = cands[-1] + 1
 
 
 def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capacity: int = 64,
@@ -270,8 +282,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     leaf = pos_norm.select(
         "x", "y", "q", "nx", "ny",
         F.least(F.lit(side - 1), F.floor(F.col("nx") * F.lit(float(side)))).cast("long").alias("ix"),
-        F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy")
-    ).checkpoint(eager=True)
+        F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy"))
 
     parts = [_near_field(leaf, eps)]
     if L >= 2:

@@ -69,12 +69,16 @@ def repulsion_position_pairs(vertices: DataFrame, k: float, params: LayoutParams
     return p.select("x", "y", "ox", "oy", "q", (F.col("q") * fx).alias("fx"), (F.col("q") * fy).alias("fy"))
 
 
-def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius: float) -> DataFrame:
-    """Repulsion from vertices within ``radius`` only, (id, dx, dy)."""
-    pairs = repulsion_position_pairs(vertices, k, params, radius)
-    per_pos = pairs.groupBy("x", "y").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-    per_id = vertices.select("id", "x", "y").join(per_pos, ["x", "y"], "inner").select("id", "fx", "fy")
-    return _zero_filled(vertices, per_id)
+def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius: float,
+                     terms: int = 32) -> DataFrame:
+    """Repulsion from vertices within ``radius`` only, (id, dx, dy).
+
+    Same tree traversal as the all-pairs sum with the radius as a cut: cell pairs wholly
+    inside it are translated, wholly outside dropped, and only pairs straddling it are
+    summed pair by pair, so a dense spot inside one radius does not enumerate its pairs."""
+    raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms, radius=radius)
+    f = params.rep_scale * k * k
+    return raw.select("id", (F.col("fx") * F.lit(f)).alias("dx"), (F.col("fy") * F.lit(f)).alias("dy"))
 
 
 def repulsion_neighbors(g: Graph, k: float, params: LayoutParams) -> DataFrame:
@@ -145,9 +149,7 @@ def _repulsion_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame | Non
     if params.repulsion == "all":
         return repulsion_all(g.vertices, k, params)
     if params.repulsion == "radius":
-        pairs = repulsion_position_pairs(g.vertices, k, params, params.radius)
-        per_pos = pairs.groupBy("x", "y").agg(F.sum("fx").alias("dx"), F.sum("fy").alias("dy"))
-        return g.vertices.select("id", "x", "y").join(per_pos, ["x", "y"], "inner").select("id", "dx", "dy")
+        return repulsion_radius(g.vertices, k, params, params.radius)
     if params.repulsion == "neighbors":
         return _neighbor_rows(g, k, params).select("id", F.col("fx").alias("dx"), F.col("fy").alias("dy"))
     return None

@@ -41,7 +41,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Offsets (ox, oy) of source cells around a target cell that can belong to its
 # interaction list: Chebyshev distance 2 or 3.  Membership is finished by the
 # parent-adjacency filter below.
-FAR_OFFSETS = [(ox, oy) for ox in range(-3, 4) for oy in range(-3, 4) if max(abs(ox), abs(oy)) >= 2]
 NEAR_OFFSETS = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1)]
 
 
@@ -96,20 +95,9 @@ def _quadrant_shift(terms: int, shrink_first: bool) -> dict[int, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=None)
-def _far_translation(terms: int) -> dict[tuple[int, int], np.ndarray]:
-    """Multipole of a source cell -> local expansion of a target cell at offset o = S - T.
-
-    With D = (c_T - c_S) / h = -o:  B_l = sum_k (-1)^l C(k+l, l) D^-(k+l+1) A_k  (times 1/h).
-    """
-    out = {}
-    for ox, oy in FAR_OFFSETS:
-        d = complex(-ox, -oy)
-        mat = np.zeros((terms, terms), dtype=complex)
-        for l in range(terms):
-            for k in range(terms):
-                mat[l, k] = (-1) ** l * math.comb(k + l, l) * d ** (-(k + l + 1))
-        out[(ox, oy)] = mat
-    return out
+def _m2l_binomials(terms: int) -> np.ndarray:
+    """C(k + l, l) for l, k < terms, with the (-1)^l sign folded in (row l)."""
+    return np.array([[(-1) ** l * math.comb(k + l, l) for k in range(terms)] for l in range(terms)], dtype=float)
 
 
 def _complex_block(pdf: pd.DataFrame, p: str, terms: int) -> np.ndarray:
@@ -164,34 +152,30 @@ def _m2m(child: DataFrame, terms: int) -> DataFrame:
     return _sum_by(shifted, ["ix", "iy"], _names("a", terms))
 
 
-def _m2l(cells: DataFrame, level: int, terms: int) -> DataFrame:
-    """Local expansions (scaled to this level's cell width) from the interaction lists."""
-    n_side = 2 ** level
-    inv_h = float(n_side)
-    mats = _far_translation(terms)
-    src = cells.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), *_names("a", terms),
-                       _offsets_col(FAR_OFFSETS).alias("o"))
-    src = src.select("*", (F.col("sx") - F.col("o.ox")).alias("tx"), (F.col("sy") - F.col("o.oy")).alias("ty"))
-    pair_ok = ((F.col("tx") >= 0) & (F.col("tx") < n_side) & (F.col("ty") >= 0) & (F.col("ty") < n_side)
-               & (F.abs(F.floor(F.col("sx") / 2) - F.floor(F.col("tx") / 2)) <= 1)
-               & (F.abs(F.floor(F.col("sy") / 2) - F.floor(F.col("ty") / 2)) <= 1))
-    targets = cells.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"))
-    src = (src.filter(pair_ok).join(targets, ["tx", "ty"], "left_semi")
-           .select("tx", "ty", F.col("o.ox").cast("long").alias("ox"), F.col("o.oy").cast("long").alias("oy"),
-                   *_names("a", terms)))
+def _m2l(pairs: DataFrame, cells: DataFrame, level: int, terms: int) -> DataFrame:
+    """Local expansions at target cells from the multipoles of well-separated source cells.
+
+    ``pairs`` holds (tx, ty, sx, sy) at this level.  With D = (c_T - c_S) / h:
+    B_l = (1/h) sum_k (-1)^l C(k+l, l) D^-(k+l+1) A_k, evaluated per Arrow batch.
+    """
+    inv_h = float(2 ** level)
+    binom = _m2l_binomials(terms)
+    src = cells.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), *_names("a", terms))
+    rows = pairs.join(src, ["sx", "sy"], "inner").select("tx", "ty", "sx", "sy", *_names("a", terms))
 
     def translate(batches):
         for pdf in batches:
             a = _complex_block(pdf, "a", terms)
-            out = np.zeros_like(a)
-            ox, oy = pdf["ox"].to_numpy(), pdf["oy"].to_numpy()
-            for (kx, ky), mat in mats.items():
-                sel = (ox == kx) & (oy == ky)
-                if sel.any():
-                    out[sel] = (a[sel] @ mat.T) * inv_h
-            yield _complex_frame({"ix": pdf["tx"], "iy": pdf["ty"]}, out, "b", terms)
+            dd = ((pdf["tx"].to_numpy() - pdf["sx"].to_numpy()).astype(float)
+                  + 1j * (pdf["ty"].to_numpy() - pdf["sy"].to_numpy()).astype(float))
+            inv = 1.0 / dd
+            pw = np.cumprod(np.repeat(inv[:, None], 2 * terms, axis=1), axis=1)   # pw[:, n] = D^-(n+1)
+            out = np.empty_like(a)
+            for l in range(terms):
+                out[:, l] = (a * pw[:, l:l + terms]) @ binom[l]
+            yield _complex_frame({"ix": pdf["tx"], "iy": pdf["ty"]}, out * inv_h, "b", terms)
 
-    contrib = src.mapInPandas(translate, _schema(["ix", "iy"], "b", terms))
+    contrib = rows.mapInPandas(translate, _schema(["ix", "iy"], "b", terms))
     return _sum_by(contrib, ["ix", "iy"], _names("b", terms))
 
 
@@ -246,57 +230,139 @@ def choose_depth(pos_norm: DataFrame, n_pos: int, leaf_capacity: int, max_depth:
         depth = cands[-1] + 1
 
 
-def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capacity: int = 64,
-                     depth: int | None = None) -> DataFrame:
-    """(id, fx, fy) = sum over j != i of (p_i - p_j) / max(eps, |p_i - p_j|)^2, exactly to ``terms``.
+def _pair_classes(level: int, radius_n: float | None) -> tuple[Column, Column]:
+    """(keep, far) for cell pairs at ``level``: keep = some point pair may lie within the
+    radius; far = every point pair lies within it and the cells are well separated."""
+    h = 1.0 / (2 ** level)
+    ax = F.abs(F.col("tx") - F.col("sx")).cast("double")
+    ay = F.abs(F.col("ty") - F.col("sy")).cast("double")
+    separated = F.greatest(ax, ay) >= 2
+    if radius_n is None:
+        return F.lit(True), separated
+    r2 = radius_n * radius_n
+    gx = F.greatest(ax - 1.0, F.lit(0.0))
+    gy = F.greatest(ay - 1.0, F.lit(0.0))
+    min_d2 = (gx * gx + gy * gy) * (h * h)
+    max_d2 = ((ax + 1.0) * (ax + 1.0) + (ay + 1.0) * (ay + 1.0)) * (h * h)
+    keep = min_d2 <= F.lit(r2 * (1.0 + 1e-9))
+    inside = max_d2 <= F.lit(r2 * (1.0 - 1e-9))
+    return keep, separated & inside
+
+
+def _refine(open_pairs: DataFrame, child_cells: DataFrame) -> DataFrame:
+    """Children of every open cell pair, for non-empty children only (two keyed joins)."""
+    kids = child_cells.select("ix", "iy", (F.col("ix") / 2).cast("long").alias("px"),
+                              (F.col("iy") / 2).cast("long").alias("py"))
+    t = kids.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("px").alias("ptx"),
+                    F.col("py").alias("pty"))
+    s_ = kids.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), F.col("px").alias("psx"),
+                     F.col("py").alias("psy"))
+    o = open_pairs.select(F.col("tx").alias("ptx"), F.col("ty").alias("pty"),
+                          F.col("sx").alias("psx"), F.col("sy").alias("psy"))
+    return o.join(t, ["ptx", "pty"], "inner").join(s_, ["psx", "psy"], "inner").select("tx", "ty", "sx", "sy")
+
 
-    ``points`` needs columns id, x, y.  The distinct positions and every level of the
-    cell tree are written as reliable checkpoints (one small table per level: one row
-    per non-empty cell), so each level is computed once and a lost executor only
-    repeats the current level.  The returned frame is lazy in the final joins.
+def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capacity: int = 64,
+                     depth: int | None = None, radius: float | None = None) -> DataFrame:
+    """(id, fx, fy) = sum over j != i with |p_i - p_j| <= radius (all j when radius is None)
+    of (p_i - p_j) / max(eps, |p_i - p_j|)^2, exactly up to the series truncation.
+
+    Dual-tree traversal over a quadtree of non-empty cells, level by level:
+    a cell pair entirely beyond the radius is dropped; entirely inside and well separated,
+    it is handled by one multipole-to-local translation; otherwise it is refined into its
+    child pairs.  Pairs still open at the leaves are summed exactly between distinct
+    positions.  A pile of vertices on one spot is one weighted row; the leaf depth is
+    chosen so no leaf holds more than ``leaf_capacity`` positions.  Distinct positions,
+    each level's cells, cell pairs and local expansions are reliable checkpoints.
     """
     ensure_checkpoint_dir(points.sparkSession)
-    pos = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q")).checkpoint(eager=True)
-    bb = pos.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
-                 F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    bb = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
+                    F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     zero = points.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
-    if bb is None or bb["n"] is None or bb["n"] <= 1:
+    if bb is None or not bb["n"] or bb["n"] <= 1:
         return zero
     x0, y0 = float(bb["x0"]), float(bb["y0"])
     span = max(float(bb["x1"]) - x0, float(bb["y1"]) - y0)
     if span <= 0.0:
         return zero
     span = span * (1.0 + 1e-9)
-    # cells of the deepest level must stay wider than eps, so far-field pairs never need the floor
+    radius_n = None if radius is None else float(radius) / span
+    # cells of the deepest level must stay wider than eps, so translated pairs never need the floor
     max_depth = max(2, min(30, int(math.floor(math.log2(span / (4.0 * eps))))))
+    pos = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q"))
+    small = bb["n"] <= leaf_capacity
+    if not small:
+        pos = pos.checkpoint(eager=True)
     pos_norm = pos.select("x", "y", "q", ((F.col("x") - F.lit(x0)) / F.lit(span)).alias("nx"),
                           ((F.col("y") - F.lit(y0)) / F.lit(span)).alias("ny"))
-    n_pos = int(bb["n"])
     if depth is not None:
         L = depth
-    elif n_pos <= leaf_capacity:
-        L = 0                       # one cell: everything is near field (at most capacity^2 pairs)
+    elif small:
+        L = 0                       # one cell: everything is summed directly (at most capacity^2 pairs)
     else:
-        L = choose_depth(pos_norm, n_pos, leaf_capacity, max_depth)
+        n_pos = pos.count()
+        L = 0 if n_pos <= leaf_capacity else choose_depth(pos_norm, n_pos, leaf_capacity, max_depth)
     side = 2 ** L
     leaf = pos_norm.select(
         "x", "y", "q", "nx", "ny",
         F.least(F.lit(side - 1), F.floor(F.col("nx") * F.lit(float(side)))).cast("long").alias("ix"),
         F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy"))
 
-    parts = [_near_field(leaf, eps)]
-    if L >= 2:
-        # upward pass
-        cells = {L: _cells_from_positions(leaf, L, terms).checkpoint(eager=True)}
-        for lvl in range(L - 1, 1, -1):
+    # Levels where a translation can occur: l >= 2 and, with a radius, cells small enough
+    # (width <= radius / sqrt(10)) to lie wholly inside it while being well separated.
+    def translates(lvl: int) -> bool:
+        return lvl >= 2 and (radius_n is None or (1.0 / 2 ** lvl) * math.sqrt(10.0) <= radius_n)
+
+    # Traversal starts at the deepest level whose cells reach at most 3 cells out.
+    if radius_n is None:
+        l0 = 0
+    else:
+        l0 = max(0, min(L, math.ceil(math.log2(3.0 / radius_n)) - 1)) if radius_n < 3.0 else 0
+    first_t = next((lvl for lvl in range(max(l0, 2), L + 1) if translates(lvl)), None)
+
+    # upward pass: multipoles from the leaf up to the coarsest translating level; above it
+    # (down to l0) only which cells are non-empty is needed
+    cells: dict[int, DataFrame] = {}
+    if first_t is not None:
+        cells[L] = _cells_from_positions(leaf, L, terms).checkpoint(eager=True)
+        for lvl in range(L - 1, first_t - 1, -1):
             cells[lvl] = _m2m(cells[lvl + 1], terms).checkpoint(eager=True)
-        # interaction lists and downward pass
-        local = _m2l(cells[2], 2, terms).checkpoint(eager=True)
-        for lvl in range(3, L + 1):
-            local = _add_locals(_l2l(local, cells[lvl], terms), _m2l(cells[lvl], lvl, terms),
-                                terms).checkpoint(eager=True)
+    for lvl in range(l0, L + 1):
+        if lvl not in cells:
+            shift = L - lvl
+            cells[lvl] = leaf.select((F.col("ix") / (2 ** shift)).cast("long").alias("ix"),
+                                     (F.col("iy") / (2 ** shift)).cast("long").alias("iy")).distinct()
+
+    local = None
+    open_pairs = None
+    for lvl in range(l0, L + 1):
+        keep, far = _pair_classes(lvl, radius_n)
+        if lvl == l0:
+            if l0 == 0:
+                cand = leaf.sparkSession.range(1).select(
+                    *[F.lit(0).cast("long").alias(c) for c in ("tx", "ty", "sx", "sy")])
+            else:
+                reach = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
+                src = cells[l0].select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), _offsets_col(reach).alias("o"))
+                src = src.select("sx", "sy", (F.col("sx") - F.col("o.ox")).alias("tx"), (F.col("sy") - F.col("o.oy")).alias("ty"))
+                tgt = cells[l0].select(F.col("ix").alias("tx"), F.col("iy").alias("ty"))
+                cand = src.join(tgt, ["tx", "ty"], "left_semi").select("tx", "ty", "sx", "sy")
+        else:
+            cand = _refine(open_pairs, cells[lvl])
+        if translates(lvl):
+            cand = cand.filter(keep).select("tx", "ty", "sx", "sy", far.alias("far")).checkpoint(eager=True)
+            m2l = _m2l(cand.filter("far"), cells[lvl], lvl, terms)
+            local = m2l if local is None else _add_locals(_l2l(local, cells[lvl], terms), m2l, terms)
+            local = local.checkpoint(eager=True)
+            open_pairs = cand.filter(~F.col("far")).select("tx", "ty", "sx", "sy")
+        else:
+            open_pairs = cand.filter(keep).select("tx", "ty", "sx", "sy")
+            if lvl < L:
+                open_pairs = open_pairs.checkpoint(eager=True)
+
+    parts = [_direct(leaf, open_pairs, eps, radius)]
+    if local is not None:
         parts.append(_far_field(leaf, local, side, span, terms))
-
     per_pos = parts[0]
     for p in parts[1:]:
         per_pos = per_pos.unionByName(p)
@@ -305,6 +371,22 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
         "id", F.coalesce(F.col("fx"), F.lit(0.0)).alias("fx"), F.coalesce(F.col("fy"), F.lit(0.0)).alias("fy"))
 
 
+def _direct(leaf: DataFrame, open_pairs: DataFrame, eps: float, radius: float | None) -> DataFrame:
+    """Exact sums between distinct positions of the leaf cell pairs left open (x, y, fx, fy)."""
+    tgt = leaf.select("x", "y", F.col("ix").alias("tx"), F.col("iy").alias("ty"))
+    src = leaf.select(F.col("x").alias("sxp"), F.col("y").alias("syp"), "q",
+                      F.col("ix").alias("sx"), F.col("iy").alias("sy"))
+    pairs = open_pairs.join(tgt, ["tx", "ty"], "inner").join(src, ["sx", "sy"], "inner")
+    ddx = F.col("x") - F.col("sxp")
+    ddy = F.col("y") - F.col("syp")
+    d2 = ddx * ddx + ddy * ddy
+    if radius is not None:
+        pairs = pairs.filter(d2 <= F.lit(float(radius) ** 2))
+    l2 = F.greatest(F.lit(float(eps) ** 2), d2)
+    return pairs.groupBy("x", "y").agg(F.sum(F.col("q") * ddx / l2).alias("fx"),
+                                       F.sum(F.col("q") * ddy / l2).alias("fy"))
+
+
 def _far_field(leaf: DataFrame, local: DataFrame, side: int, span: float, terms: int) -> DataFrame:
     """Evaluate each leaf's local expansion at its positions (x, y, fx, fy)."""
     # far field at each position: sum_m B_m v^m, v = (z - c) / h_leaf; scaled back by 1/span
@@ -328,17 +410,3 @@ def _far_field(leaf: DataFrame, local: DataFrame, side: int, span: float, terms:
     return far_in.mapInPandas(evaluate, "x double, y double, fx double, fy double")
 
 
-def _near_field(leaf: DataFrame, eps: float) -> DataFrame:
-    """Exact sums between distinct positions in touching leaf cells (x, y, fx, fy)."""
-    tgt = leaf.select("x", "y", "ix", "iy")
-    src = leaf.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "q",
-                      _offsets_col(NEAR_OFFSETS).alias("o"), "ix", "iy")
-    src = src.select("sx", "sy", "q", (F.col("ix") + F.col("o.ox")).alias("ix"),
-                     (F.col("iy") + F.col("o.oy")).alias("iy"))
-    pairs = tgt.join(src, ["ix", "iy"], "inner")
-    ddx = F.col("x") - F.col("sx")
-    ddy = F.col("y") - F.col("sy")
-    l2 = F.greatest(F.lit(float(eps) ** 2), ddx * ddx + ddy * ddy)
-    return pairs.groupBy("x", "y").agg(F.sum(F.col("q") * ddx / l2).alias("fx"),
-                                       F.sum(F.col("q") * ddy / l2).alias("fy"))
-

@@ -71,3 +71,22 @@ def test_radius_join_matches_brute_force_and_all_pairs(spark):
     # a radius beyond the diagonal equals all pairs
     allp = forces.repulsion_all(v, k, p).toPandas().sort_values("id")
     assert np.allclose(allp.dx.to_numpy(), ex, rtol=1e-8, atol=1e-8)
+
+
+@pytest.mark.parametrize("radius", [40.0, 900.0])
+def test_radius_cut_with_dense_spot(spark, radius):
+    rng = np.random.default_rng(21)
+    n = 500
+    xs, ys = rng.uniform(0, 3000, n), rng.uniform(0, 3000, n)
+    xs[:200], ys[:200] = rng.uniform(1000, 1030, 200), rng.uniform(1000, 1030, 200)   # 40 % in one radius cell
+    xs[200:210], ys[200:210] = 2500.0, 2500.0
+    out = cauchy_repulsion(_frame(spark, xs, ys), 1e-4, radius=radius).toPandas().sort_values("id")
+    dx = xs[:, None] - xs[None, :]
+    dy = ys[:, None] - ys[None, :]
+    d2 = dx * dx + dy * dy
+    l2 = np.maximum(1e-8, d2)
+    m = d2 <= radius * radius
+    bx, by = (dx / l2 * m).sum(1), (dy / l2 * m).sum(1)
+    scale = np.max(np.abs(bx) + np.abs(by))
+    err = np.max(np.abs(out.fx.to_numpy() - bx) + np.abs(out.fy.to_numpy() - by))
+    assert err / scale < 1e-9

@@ -28,19 +28,25 @@ def label_propagation(g: Graph, rounds: int = 5, checkpoint: bool = True) -> Dat
     neighbours, ties broken by the smallest module; vertices without neighbours keep
     theirs.  The arg-max is an aggregation of max(struct(count, -module)) per vertex, so a
     hub's candidates are combined map-side and never gathered into one task.
+
+    The neighbour pairs are hash-partitioned by ``src`` once and the labels by ``id``
+    with the same partition count every round, so the per-round join of the (large)
+    pair table with the labels needs no exchange on the pair side.
     """
+    spark = g.vertices.sparkSession
     if checkpoint:
-        ensure_checkpoint_dir(g.vertices.sparkSession)
-    pairs = build.undirected_pairs(g.edges)
+        ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = build.undirected_pairs(g.edges).repartition(parts, "src")
     if checkpoint:
         pairs = pairs.checkpoint(eager=True)
-    labels = g.vertices.select("id", F.col("id").alias("module"))
+    labels = g.vertices.select("id", F.col("id").alias("module")).repartition(parts, "id")
     for _ in range(rounds):
-        votes = (pairs.join(labels.select(F.col("id").alias("src"), "module"), "src")
+        votes = (pairs.join(labels.withColumnRenamed("id", "src"), "src")
                  .groupBy(F.col("dst").alias("id"), "module").agg(F.count(F.lit(1)).alias("votes")))
         best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("module")).alias("neg"))).alias("b"))
         labels = labels.join(best, "id", "left").select(
-            "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module"))
+            "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module")).repartition(parts, "id")
         if checkpoint:
             labels = labels.checkpoint(eager=True)
     return labels

@@ -116,11 +116,18 @@ def attraction_links(g: Graph, k: float, params: LayoutParams, weighted: bool |
     return t.select("src", "dst", mx.alias("mx"), my.alias("my"))
 
 
+def _both_ends(m: DataFrame) -> DataFrame:
+    """(id, dx, dy) rows for both ends of every link from one pass over the link table:
+    +m for the target, -m for the source."""
+    ends = F.explode(F.array(
+        F.struct(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy")),
+        F.struct(F.col("src").alias("id"), (-F.col("mx")).alias("dx"), (-F.col("my")).alias("dy"))))
+    return m.select(ends.alias("e")).select("e.id", "e.dx", "e.dy")
+
+
 def attraction_both_ends(g: Graph, k: float, params: LayoutParams, weighted: bool | None = None) -> DataFrame:
-    m = attraction_links(g, k, params, weighted)
-    parts = m.select(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy")).unionByName(
-        m.select(F.col("src").alias("id"), (-F.col("mx")).alias("dx"), (-F.col("my")).alias("dy")))
-    per_id = parts.groupBy("id").agg(F.sum("dx").alias("fx"), F.sum("dy").alias("fy"))
+    per_id = _both_ends(attraction_links(g, k, params, weighted)).groupBy("id").agg(
+        F.sum("dx").alias("fx"), F.sum("dy").alias("fy"))
     return _zero_filled(g.vertices, per_id)
 
 
@@ -158,10 +165,9 @@ def _repulsion_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame | Non
 def _attraction_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame:
     """Un-aggregated attraction contributions (id, dx, dy): one row per link end."""
     m = attraction_links(g, k, params)
-    rows = m.select(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy"))
     if params.attraction == "target":
-        return rows
-    return rows.unionByName(m.select(F.col("src").alias("id"), (-F.col("mx")).alias("dx"), (-F.col("my")).alias("dy")))
+        return m.select(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy"))
+    return _both_ends(m)
 
 
 def force_parts(g: Graph, k: float, params: LayoutParams) -> DataFrame:

@@ -33,16 +33,16 @@ def linked_pairs(*edge_sets: DataFrame) -> DataFrame:
 
 def distance_ratio(layout_a: DataFrame, layout_b: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, dist_a, dist_b, ratio, relation) for the given vertex pairs: ratio = dist_b /
-    dist_a (null when dist_a = 0); relation longer / shorter / same."""
-    pa = layout_a.select("id", "x", "y")
-    pb = layout_b.select("id", "x", "y")
-
-    def dist(layout, tag):
-        j = (pairs.join(layout.select(F.col("id").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1")), "a")
-             .join(layout.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), "b"))
-        return j.select("a", "b", vec.length(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias(tag))
-
-    j = dist(pa, "dist_a").join(dist(pb, "dist_b"), ["a", "b"], "inner")
+    dist_a (null when dist_a = 0); relation longer / shorter / same.  The two layouts are
+    joined by id once, then each pair picks up both ends (three joins in all)."""
+    both = layout_a.select("id", F.col("x").alias("xa"), F.col("y").alias("ya")).join(
+        layout_b.select("id", F.col("x").alias("xb"), F.col("y").alias("yb")), "id", "inner")
+    end = lambda tag: both.select(*[F.col(c).alias(f"{c}{tag}") for c in ("xa", "ya", "xb", "yb")],
+                                  F.col("id").alias("a" if tag == "1" else "b"))
+    j = pairs.join(end("1"), "a").join(end("2"), "b")
+    dist_a = vec.length(F.col("xa2") - F.col("xa1"), F.col("ya2") - F.col("ya1"))
+    dist_b = vec.length(F.col("xb2") - F.col("xb1"), F.col("yb2") - F.col("yb1"))
+    j = j.select("a", "b", dist_a.alias("dist_a"), dist_b.alias("dist_b"))
     ratio = F.when(F.col("dist_a") > 0, F.col("dist_b") / F.col("dist_a"))
     rel = (F.when(F.col("dist_b") > F.col("dist_a"), F.lit("longer"))
            .when(F.col("dist_b") < F.col("dist_a"), F.lit("shorter")).otherwise(F.lit("same")))

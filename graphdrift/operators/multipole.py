@@ -302,6 +302,9 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     else:
         n_pos = pos.count()
         L = 0 if n_pos <= leaf_capacity else choose_depth(pos_norm, n_pos, leaf_capacity, max_depth)
+        if radius_n is not None and L > 0:
+            # leaves no wider than the radius keep the candidate cells close to the circle
+            L = max(L, min(max_depth, math.ceil(math.log2(1.0 / radius_n))))
     side = 2 ** L
     leaf = pos_norm.select(
         "x", "y", "q", "nx", "ny",

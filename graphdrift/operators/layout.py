@@ -1,10 +1,11 @@
 """Iterative force-directed layout (Fruchterman-Reingold) as a checkpointed Spark job.
 
 Every iteration is one logical plan: repulsion + attraction + gravity (keyed on id) ->
-step scaling -> move + clamp.  The iteration's frame is written as a reliable
-checkpoint (``spark.checkpoint.dir``), which cuts the lineage so a lost executor
-re-reads the last iteration instead of recomputing from the start, and keeps the
-plan size constant.  Loop variables (iteration, temperature, k) enter the plan as
+step scaling -> move + clamp.  The iteration's frame is written as a table bucketed by
+id in the checkpoint folder (``spark.checkpoint.dir``): that cuts the lineage, so a lost
+executor re-reads the last iteration instead of recomputing from the start, keeps the
+plan size constant, and lets the next iteration join the (src-bucketed) edges to it
+without shuffling either side.  Loop variables (iteration, temperature, k) enter the plan as
 literals when the plan is built, never read lazily.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..model import Graph, LayoutParams, VERTEX_COLUMNS
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize_bucketed
 from . import build, forces, step
 
 
@@ -62,16 +63,18 @@ def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = F
     ensure_checkpoint_dir(spark)
     vertices = _normalise(g.vertices)
     edges = g.edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    # the edge table is reused by every iteration: materialise it once
-    edges = edges.checkpoint(eager=True)
-    vertices = vertices.checkpoint(eager=True)
+    # the edge table is reused by every iteration: materialise it once, bucketed by src,
+    # and every iteration's vertex frame bucketed by id, so the edge-source join is a
+    # bucket join with no shuffle on either side
+    edges = materialize_bucketed(edges, "src", "edges")
+    vertices = materialize_bucketed(vertices, "id", "vertices")
     if k is None:
         k = forces.ideal_length(vertices, params)
     traces, reports = [], []
     cur = vertices
     for it in range(1, params.rounds + 1):
         temp = params.temperature(it - 1)
-        frame = iteration_frame(Graph(cur, edges), k, params, it, temp).checkpoint(eager=True)
+        frame = materialize_bucketed(iteration_frame(Graph(cur, edges), k, params, it, temp), "id", f"iter{it}")
         cur = frame.select("id", "label", F.col("nx").alias("x"), F.col("ny").alias("y"),
                            (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy"))
         if trace:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize_bucketed
 from . import build
 
 
@@ -32,17 +32,19 @@ def label_propagation(g: Graph, rounds: int = 5, checkpoint: bool = True) -> Dat
     if checkpoint:
         ensure_checkpoint_dir(g.vertices.sparkSession)
     pairs = build.undirected_pairs(g.edges)
-    if checkpoint:
-        pairs = pairs.checkpoint(eager=True)
     labels = g.vertices.select("id", F.col("id").alias("module"))
-    for _ in range(rounds):
+    if checkpoint:
+        # pairs bucketed by src and labels by id: the per-round join reads both without a shuffle
+        pairs = materialize_bucketed(pairs, "src", "lp_pairs")
+        labels = materialize_bucketed(labels, "id", "lp_labels0")
+    for r in range(1, rounds + 1):
         votes = (pairs.join(labels.select(F.col("id").alias("src"), "module"), "src")
                  .groupBy(F.col("dst").alias("id"), "module").agg(F.count(F.lit(1)).alias("votes")))
         best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("module")).alias("neg"))).alias("b"))
         labels = labels.join(best, "id", "left").select(
             "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module"))
         if checkpoint:
-            labels = labels.checkpoint(eager=True)
+            labels = materialize_bucketed(labels, "id", f"lp_labels{r}")
     return labels
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -52,3 +53,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize_bucketed(df: DataFrame, key: str, name_hint: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` under the checkpoint folder and read it back.
+
+    Used instead of ``checkpoint()`` inside iterative jobs: like a checkpoint it cuts the
+    lineage and survives executor loss (the files live in the shared folder), and in
+    addition the bucketing is kept, so the next iteration's joins on ``key`` read this
+    side without a shuffle.  The bucket count defaults to ``spark.sql.shuffle.partitions``
+    so keyed aggregations line up with the buckets as well.
+    """
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark).rstrip("/")
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"graphdrift_{name_hint}_{uuid.uuid4().hex[:12]}"
+    # one task per bucket (same hash as the bucketing), so each bucket is one file
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+     .option("path", f"{folder}/tables/{name}").saveAsTable(name))
+    return spark.table(name)

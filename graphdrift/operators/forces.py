@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..model import Graph, LayoutParams
 from . import build
-from .multipole import NEAR_OFFSETS, _offsets_col, cauchy_repulsion
+from .multipole import NEAR_OFFSETS, offsets_col, cauchy_repulsion
 
 
 def ideal_length_frame(vertices: DataFrame, params: LayoutParams) -> DataFrame:
@@ -51,7 +51,7 @@ def radius_position_pairs(vertices: DataFrame, radius: float) -> DataFrame:
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
     tgt = pos.select("x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     src = pos.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "q",
-                     cell("x").alias("scx"), cell("y").alias("scy"), _offsets_col(NEAR_OFFSETS).alias("o"))
+                     cell("x").alias("scx"), cell("y").alias("scy"), offsets_col(NEAR_OFFSETS).alias("o"))
     src = src.select("ox", "oy", "q", (F.col("scx") + F.col("o.ox")).alias("cx"),
                      (F.col("scy") + F.col("o.oy")).alias("cy"))
     pairs = tgt.join(src, ["cx", "cy"], "inner")

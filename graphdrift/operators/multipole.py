@@ -44,7 +44,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NEAR_OFFSETS = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1)]
 
 
-def _offsets_col(offsets) -> Column:
+def offsets_col(offsets) -> Column:
     """explode() of a literal array of (ox, oy) structs, built as one SQL expression."""
     items = ", ".join(f"named_struct('ox', {a}, 'oy', {b})" for a, b in offsets)
     return F.expr(f"explode(array({items}))")
@@ -346,7 +346,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
                     *[F.lit(0).cast("long").alias(c) for c in ("tx", "ty", "sx", "sy")])
             else:
                 reach = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
-                src = cells[l0].select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), _offsets_col(reach).alias("o"))
+                src = cells[l0].select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), offsets_col(reach).alias("o"))
                 src = src.select("sx", "sy", (F.col("sx") - F.col("o.ox")).alias("tx"), (F.col("sy") - F.col("o.oy")).alias("ty"))
                 tgt = cells[l0].select(F.col("ix").alias("tx"), F.col("iy").alias("ty"))
                 cand = src.join(tgt, ["tx", "ty"], "left_semi").select("tx", "ty", "sx", "sy")

@@ -133,23 +133,38 @@ def _cells_from_positions(pos: DataFrame, level: int, terms: int) -> DataFrame:
     return _sum_by(per_pos, ["ix", "iy"], _names("a", terms))
 
 
-def _m2m(child: DataFrame, terms: int) -> DataFrame:
-    """Shift child moments to the parent centre and sum per parent cell."""
-    mats = _quadrant_shift(terms, shrink_first=True)
+def _cells_all_levels(leaf: DataFrame, L: int, top: int, terms: int) -> DataFrame:
+    """Multipoles of every non-empty cell at levels top..L in one table (lvl, ix, iy, a*).
+
+    Leaf moments are computed per position (P2M) and each leaf cell is translated directly
+    to all its ancestors: with s = 2^-(L-l) the ratio of widths and delta the leaf centre
+    minus the ancestor centre in ancestor widths, A'_m = sum_k C(m,k) s^k delta^(m-k) A_k.
+    One job and one checkpoint for the whole upward pass.
+    """
+    leaf_cells = _cells_from_positions(leaf, L, terms)
+    binom = np.array([[math.comb(m, k) for k in range(terms)] for m in range(terms)], dtype=float)
 
     def up(batches):
         for pdf in batches:
             a = _complex_block(pdf, "a", terms)
-            quad = (pdf["ix"].to_numpy() % 2) * 2 + (pdf["iy"].to_numpy() % 2)
-            out = np.empty_like(a)
-            for q, mat in mats.items():
-                sel = quad == q
-                if sel.any():
-                    out[sel] = a[sel] @ mat.T
-            yield _complex_frame({"ix": pdf["ix"] // 2, "iy": pdf["iy"] // 2}, out, "a", terms)
-
-    shifted = child.mapInPandas(up, _schema(["ix", "iy"], "a", terms))
-    return _sum_by(shifted, ["ix", "iy"], _names("a", terms))
+            ix = pdf["ix"].to_numpy()
+            iy = pdf["iy"].to_numpy()
+            frames = [_complex_frame({"lvl": np.full(len(pdf), L), "ix": ix, "iy": iy}, a, "a", terms)]
+            for lvl in range(top, L):
+                sh = L - lvl
+                sc = 0.5 ** sh
+                px, py = ix >> sh, iy >> sh
+                delta = ((ix + 0.5) * sc - (px + 0.5)) + 1j * ((iy + 0.5) * sc - (py + 0.5))
+                dp = np.cumprod(np.column_stack([np.ones_like(delta)] + [delta] * (terms - 1)), axis=1)
+                sa = a * (sc ** np.arange(terms))[None, :]
+                out = np.empty_like(a)
+                for m in range(terms):
+                    out[:, m] = (sa[:, :m + 1] * dp[:, m::-1]) @ binom[m, :m + 1]
+                frames.append(_complex_frame({"lvl": np.full(len(pdf), lvl), "ix": px, "iy": py}, out, "a", terms))
+            yield pd.concat(frames, ignore_index=True)
+
+    rows = leaf_cells.mapInPandas(up, "lvl int, " + _schema(["ix", "iy"], "a", terms))
+    return _sum_by(rows, ["lvl", "ix", "iy"], _names("a", terms))
 
 
 def _m2l(pairs: DataFrame, cells: DataFrame, level: int, terms: int) -> DataFrame:
@@ -323,13 +338,13 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
         l0 = max(0, min(L, math.ceil(math.log2(3.0 / radius_n)) - 1)) if radius_n < 3.0 else 0
     first_t = next((lvl for lvl in range(max(l0, 2), L + 1) if translates(lvl)), None)
 
-    # upward pass: multipoles from the leaf up to the coarsest translating level; above it
-    # (down to l0) only which cells are non-empty is needed
+    # upward pass: multipoles from the leaf up to the coarsest translating level (one job);
+    # above it (down to l0) only which cells are non-empty is needed
     cells: dict[int, DataFrame] = {}
     if first_t is not None:
-        cells[L] = _cells_from_positions(leaf, L, terms).checkpoint(eager=True)
-        for lvl in range(L - 1, first_t - 1, -1):
-            cells[lvl] = _m2m(cells[lvl + 1], terms).checkpoint(eager=True)
+        every = _cells_all_levels(leaf, L, first_t, terms).checkpoint(eager=True)
+        for lvl in range(first_t, L + 1):
+            cells[lvl] = every.filter(F.col("lvl") == lvl).drop("lvl")
     for lvl in range(l0, L + 1):
         if lvl not in cells:
             shift = L - lvl
@@ -356,6 +371,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
             cand = cand.filter(keep).select("tx", "ty", "sx", "sy", far.alias("far")).checkpoint(eager=True)
             m2l = _m2l(cand.filter("far"), cells[lvl], lvl, terms)
             local = m2l if local is None else _add_locals(_l2l(local, cells[lvl], terms), m2l, terms)
+            # materialised per level: keeps every job's plan one level deep
             local = local.checkpoint(eager=True)
             open_pairs = cand.filter(~F.col("far")).select("tx", "ty", "sx", "sy")
         else:

@@ -6,7 +6,6 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphdrift.model import Graph
 from graphdrift.sinks import export
 from graphdrift.sources import edgelist, fixtures
 from graphdrift.streaming.edges import append_edges, edge_stream

@@ -115,6 +115,16 @@ def rep_all(v: str, k: str, p: LayoutParams) -> str:
             f"FROM {v} a LEFT JOIN {v} b ON a.id <> b.id GROUP BY a.id")
 
 
+def rep_radius(v: str, k: str, p: LayoutParams) -> str:
+    """(id, dx, dy): brute force over ordered pairs within the radius."""
+    l2 = "GREATEST({e}, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))".format(e=d(p.eps ** 2))
+    within = f"(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {d(p.radius ** 2)}"
+    f = f"{d(p.rep_scale)} * {k} * {k}"
+    return (f"SELECT a.id, COALESCE(SUM((a.x - b.x) / {l2}), 0) * {f} AS dx, "
+            f"COALESCE(SUM((a.y - b.y) / {l2}), 0) * {f} AS dy "
+            f"FROM {v} a LEFT JOIN {v} b ON a.id <> b.id AND {within} GROUP BY a.id")
+
+
 def rep_term(dx: str, dy: str, k: str, p: LayoutParams) -> tuple[str, str]:
     l = f"GREATEST({d(p.eps)}, sqrt(({dx}) * ({dx}) + ({dy}) * ({dy})))"
     f = f"({d(p.rep_scale)} * {k} * {k} / ({l} * {l}))"
@@ -150,7 +160,7 @@ def grav(x: str, y: str, p: LayoutParams) -> tuple[str, str]:
 
 def parts(v: str, e: str, k: str, p: LayoutParams) -> str:
     """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy)."""
-    rep = rep_all(v, k, p)
+    rep = rep_radius(v, k, p) if p.repulsion == "radius" else rep_all(v, k, p)
     att = (attr_target if p.attraction == "target" else attr_both)(v, e, k, p, p.weighted)
     gx, gy = grav("vv.x", "vv.y", p)
     return (f"SELECT vv.id, vv.label, vv.x, vv.y, r.dx AS rep_dx, r.dy AS rep_dy, a.dx AS attr_dx, a.dy AS attr_dy, "
@@ -412,6 +422,7 @@ def build_oracle() -> dict[str, str]:
     o["layout_fr_3"] = layout_sql(v_trade(), E_TRADE, T.but(iterations=3))
     o["layout_fr_unit"] = layout_sql(v_trade(Q.UNIT.width, Q.UNIT.height), E_TRADE, Q.UNIT)
     o["layout_early_stop"] = layout_sql(v_trade(), E_TRADE, T.but(max_iterations=2))
+    o["layout_radius"] = layout_sql(v_supply(), E_SUPPLY, T.but(iterations=2, repulsion="radius", radius=Q.RADIUS))
     o["layout_shuffled"] = layout_sql(v_trade(seed=Q.SHUFFLE_SEED), E_TRADE, T.but(iterations=2, seed=Q.SHUFFLE_SEED))
     pt = T.but(iterations=2)
     ctes, _, _ = layout_ctes("v0", "e", pt)

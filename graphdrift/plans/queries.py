@@ -239,6 +239,12 @@ def q_layout_shuffled(spark, d):
     return _layout_vertices(layout.layout_shuffled(views.trade(spark, d), p))
 
 
+def q_layout_radius(spark, d):
+    """Two iterations on the part-supplier graph with radius-limited repulsion."""
+    p = TRADE.but(iterations=2, repulsion="radius", radius=RADIUS)
+    return _layout_vertices(layout.layout(views.supply(spark, d), p))
+
+
 def q_layout_trace(spark, d):
     res = layout.layout(views.trade(spark, d), TRADE.but(iterations=2), trace=True)
     return _r(res.trace, ["iteration", "phase", "id"], ["x", "y", "dx", "dy"])

@@ -58,9 +58,14 @@ def iteration_frame(g: Graph, k: float, params: LayoutParams, iteration: int, te
 
 
 def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = False,
-           k: float | None = None) -> LayoutResult:
+           k: float | None = None, complete: bool = False) -> LayoutResult:
+    """Run ``params.rounds`` iterations.  ``complete=True`` first gives ids that occur only
+    in edges the default vertex record (one distinct over the edges and a full outer join);
+    otherwise links to unknown ids do not act."""
     spark = g.vertices.sparkSession
     ensure_checkpoint_dir(spark)
+    if complete:
+        g = build.complete_graph(g.vertices, g.edges)
     vertices = _normalise(g.vertices)
     edges = g.edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
     # the edge table is reused by every iteration: materialise it once, bucketed by src,

@@ -40,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is configured.
 
     Order: the SparkContext's folder, then ``spark.checkpoint.dir`` from the session
-    conf; only when both are unset (local tests) a fresh temporary folder is used.
+    conf; only when both are unset and the master is local (tests) a fresh temporary
+    folder is used.  On a cluster an unset folder is an error, never a machine-local path.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="graphdrift-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
+        configured = tempfile.mkdtemp(prefix="graphdrift-ckpt-")   # local mode only
     if "://" not in configured:
         os.makedirs(configured, exist_ok=True)
     sc.setCheckpointDir(configured)

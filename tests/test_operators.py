@@ -145,3 +145,11 @@ def test_layer_measures(spark):
     assert sum(r.n_links for r in bins) == 10
     ff = _d(layers.functional_force(g.vertices, fe, 2.0, LayoutParams()))
     assert sum(v[0] for v in ff.values()) == pytest.approx(0.0, abs=1e-9)
+
+
+def test_layout_completes_missing_endpoints(spark):
+    g = fixtures.pair(spark)
+    extra = spark.createDataFrame([(1, 9, 1.0)], "src long, dst long, weight double")
+    res = layout.layout(Graph(g.vertices, g.edges.unionByName(extra)), LayoutParams(iterations=1), complete=True)
+    rows = {r.id: r for r in res.graph.vertices.collect()}
+    assert set(rows) == {1, 2, 9} and rows[9].label == "NONODE"

@@ -369,8 +369,10 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
         keep, far = _pair_classes(lvl, radius_n)
         if lvl == l0:
             if l0 == 0:
-                cand = leaf.sparkSession.range(1).select(
-                    *[F.lit(0).cast("long").alias(c) for c in ("tx", "ty", "sx", "sy")])
+                # the root pair, taken from the data (literal keys would let the optimizer turn
+                # the following equi-joins into a cartesian product)
+                cand = cells[0].select(F.col("ix").alias("tx"), F.col("iy").alias("ty"),
+                                       F.col("ix").alias("sx"), F.col("iy").alias("sy"))
             else:
                 reach = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
                 src = cells[l0].select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), offsets_col(reach).alias("o"))

@@ -340,8 +340,11 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
 
     # Levels where a translation can occur: l >= 2 and, with a radius, cells small enough
     # (width <= radius / sqrt(10)) to lie wholly inside it while being well separated.
+    # Translated pairs are at least one cell width apart, so cells narrower than eps
+    # (a cluster within a few eps) never translate: the eps floor applies there.
     def translates(lvl: int) -> bool:
-        return lvl >= 2 and (radius_n is None or (1.0 / 2 ** lvl) * math.sqrt(10.0) <= radius_n)
+        return (lvl >= 2 and span / 2 ** lvl >= eps
+                and (radius_n is None or (1.0 / 2 ** lvl) * math.sqrt(10.0) <= radius_n))
 
     # Traversal starts at the deepest level whose cells reach at most 3 cells out.
     if radius_n is None:

@@ -90,3 +90,12 @@ def test_radius_cut_with_dense_spot(spark, radius):
     scale = np.max(np.abs(bx) + np.abs(by))
     err = np.max(np.abs(out.fx.to_numpy() - bx) + np.abs(out.fy.to_numpy() - by))
     assert err / scale < 1e-9
+
+
+def test_cluster_within_eps(spark):
+    rng = np.random.default_rng(4)
+    xs, ys = 100.0 + rng.uniform(0, 5e-5, 100), 200.0 + rng.uniform(0, 5e-5, 100)
+    out = cauchy_repulsion(_frame(spark, xs, ys), 1e-4).toPandas().sort_values("id")
+    bx, by = brute(xs, ys, 1e-4)
+    assert np.allclose(out.fx.to_numpy(), bx, rtol=1e-9, atol=1e-6)
+    assert np.allclose(out.fy.to_numpy(), by, rtol=1e-9, atol=1e-6)

@@ -392,9 +392,8 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
             local = local.checkpoint(eager=True)
             open_pairs = cand.filter(~F.col("far")).select("tx", "ty", "sx", "sy")
         else:
+            # used once, by the next refinement: stays lazy
             open_pairs = cand.filter(keep).select("tx", "ty", "sx", "sy")
-            if lvl < L:
-                open_pairs = open_pairs.checkpoint(eager=True)
 
     parts = [_direct(leaf, open_pairs, eps, radius)]
     if local is not None:

@@ -1,23 +1,25 @@
-"""All-pairs repulsion without enumerating pairs: a 2-D fast multipole sum on DataFrames.
-
-The repulsion on vertex i from all j is  sum_j (p_i - p_j) / max(eps, |p_i - p_j|)^2.
-With positions as complex numbers z, (p_i - p_j)/|p_i - p_j|^2 = conj(1 / (z_i - z_j)),
-so away from the eps floor the force is the conjugate of the Cauchy sum
-sum_j 1 / (z_i - z_j), which a multipole method evaluates in O(n) work:
-
-* positions are grouped by exact (x, y) first (piles of coincident vertices become
-  one row with a count, they exert no force on each other);
-* a quadtree of grid cells is built with keyed aggregations (one groupBy per level);
-* far cells interact through truncated series (multipole -> local), using only
-  equi-joins on cell keys against a fixed list of 40 cell offsets (no cross join);
-* cells that touch (3x3 neighbourhood at the leaf level) are summed exactly pair by
-  pair between *distinct positions*, with the eps floor.
-
-Series are held scaled to the cell width of their level, so values stay in
-[-1, 1]-ish ranges at any depth.  ``terms`` controls the truncation; 32 terms
-keep the relative error far below the 4-decimal comparisons used in tests.
-The leaf depth is chosen from the data so no leaf holds more than
-``leaf_capacity`` distinct positions (bounded near-field work per cell).
+"""Repulsion sums without enumerating pairs: a 2-D fast multipole method on DataFrames.
+
+The repulsion on vertex i is  sum_j (p_i - p_j) / max(eps, |p_i - p_j|)^2  over all j, or
+over the j within a radius.  With positions as complex numbers z,
+(p_i - p_j)/|p_i - p_j|^2 = conj(1 / (z_i - z_j)), so away from the eps floor the force
+is the conjugate of the Cauchy sum  sum_j 1 / (z_i - z_j):
+
+* positions are grouped by exact (x, y) first: a pile of coincident vertices is one
+  row with a count (they exert no force on each other);
+* a quadtree of non-empty grid cells carries multipole moments, all levels from one
+  keyed aggregation;
+* a dual-tree traversal refines a table of open cell pairs level by level with keyed
+  joins on parent cells: pairs wholly beyond the radius are dropped, pairs wholly
+  inside it and well separated are translated (multipole -> local, Arrow-batched numpy
+  matrix products), the rest are refined;
+* pairs still open at the leaves are summed exactly between distinct positions, with
+  the eps floor.
+
+No cross join and no per-group pair lists: every join is an equi-join on cell keys.
+Series are scaled to the cell width of their level, so values stay in [-1, 1]-ish
+ranges at any depth; 32 terms keep the relative error near 1e-13.  The leaf depth is
+chosen from the data so no leaf holds more than ``leaf_capacity`` distinct positions.
 """
 
 from __future__ import annotations
@@ -38,9 +40,7 @@ from ..session import ensure_checkpoint_dir
 # them instead of requiring the package on every worker's import path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Offsets (ox, oy) of source cells around a target cell that can belong to its
-# interaction list: Chebyshev distance 2 or 3.  Membership is finished by the
-# parent-adjacency filter below.
+# The 3x3 neighbourhood of a grid cell (used by the grid range join of the pair table).
 NEAR_OFFSETS = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1)]
 
 
@@ -72,24 +72,20 @@ def _schema(keys, p, terms):
 
 
 @functools.lru_cache(maxsize=None)
-def _quadrant_shift(terms: int, shrink_first: bool) -> dict[int, np.ndarray]:
-    """Translation matrices between a cell and its parent, one per child quadrant.
+def _child_shift(terms: int) -> dict[int, np.ndarray]:
+    """Local-expansion shift from a cell to each child quadrant (one matrix per quadrant).
 
     Child centre minus parent centre is delta = ((qx - 1/2)/2, (qy - 1/2)/2) in parent
-    widths.  Multipole up (child -> parent):  A'_m = sum_k C(m,k) 2^-k delta^(m-k) A_k.
-    Local down (parent -> child):             B'_j = sum_m C(m,j) 2^-j delta^(m-j) B_m.
+    widths:  B'_j = sum_{m >= j} C(m,j) 2^-j delta^(m-j) B_m.
     """
     out = {}
     for qx in (0, 1):
         for qy in (0, 1):
             delta = complex((qx - 0.5) / 2.0, (qy - 0.5) / 2.0)
             mat = np.zeros((terms, terms), dtype=complex)
-            for a in range(terms):
-                for b in range(terms):
-                    if shrink_first and b <= a:        # row m = a, column k = b
-                        mat[a, b] = math.comb(a, b) * 0.5 ** b * delta ** (a - b)
-                    elif not shrink_first and b >= a:  # row j = a, column m = b
-                        mat[a, b] = math.comb(b, a) * 0.5 ** a * delta ** (b - a)
+            for j in range(terms):
+                for m in range(j, terms):
+                    mat[j, m] = math.comb(m, j) * 0.5 ** j * delta ** (m - j)
             out[qx * 2 + qy] = mat
     return out
 
@@ -208,7 +204,7 @@ def _m2l(pairs: DataFrame, cells: DataFrame, level: int, terms: int) -> DataFram
 
 def _l2l(parent_local: DataFrame, child_cells: DataFrame, terms: int) -> DataFrame:
     """Shift parent local expansions to each (non-empty) child centre."""
-    mats = _quadrant_shift(terms, shrink_first=False)
+    mats = _child_shift(terms)
     kids = child_cells.select("ix", "iy", (F.col("ix") / 2).cast("long").alias("px"),
                               (F.col("iy") / 2).cast("long").alias("py"))
     par = parent_local.withColumnRenamed("ix", "px").withColumnRenamed("iy", "py")

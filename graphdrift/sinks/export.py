@@ -8,11 +8,21 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..operators import build, stats
 
+# Export headers and the readable link format.
+EDGE_HEADER = ("Source", "Target", "Weight")
+NODE_HEADER = ("Id", "X", "Y", "dX", "dY", "k", "m", "c")
+DISPLACEMENT_HEADER = ("ID", "dX", "dY")
+LAYOUT_NODE_HEADER = ("label", "posX", "posY")
+LAYOUT_LINK_HEADER = ("SOURCE", "TARGET", "WEIGHT")
+LINK_TEXT = "%s (%s,%s), linkTo( %s )=%s"
+LINK_WORD = " linkTo( "
 
-def edge_table(g: Graph, weight_name: str = "Weight") -> DataFrame:
+
+def edge_table(g: Graph, weight_name: str = EDGE_HEADER[2]) -> DataFrame:
     """Source, Target (endpoint labels), Weight."""
     t = build.triplets(g)
-    return t.select(F.col("src_label").alias("Source"), F.col("dst_label").alias("Target"),
+    source, target, _ = EDGE_HEADER
+    return t.select(F.col("src_label").alias(source), F.col("dst_label").alias(target),
                     F.col("weight").alias(weight_name))
 
 
@@ -23,8 +33,8 @@ def node_table(g: Graph, lp_rounds: int = 5, modules: DataFrame | None = None) -
         "id", F.col("module").alias("m"))
     cc = stats.clustering_coefficient(g).select("id", F.col("clustering").alias("c"))
     v = g.vertices.join(deg, "id", "left").join(mod, "id", "left").join(cc, "id", "left")
-    return v.select(F.col("label").alias("Id"), F.col("x").alias("X"), F.col("y").alias("Y"),
-                    F.col("dx").alias("dX"), F.col("dy").alias("dY"), "k", "m", "c")
+    src = ("label", "x", "y", "dx", "dy", "k", "m", "c")
+    return v.select(*[F.col(a).alias(b) for a, b in zip(src, NODE_HEADER)])
 
 
 def with_prefix(df: DataFrame, prefix: str = "#") -> DataFrame:
@@ -35,25 +45,26 @@ def with_prefix(df: DataFrame, prefix: str = "#") -> DataFrame:
 
 def displacement_table(disp: DataFrame, label: str, iteration: int) -> DataFrame:
     """ID, dX, dY tagged with a label and an iteration (partition columns of the sink)."""
-    return disp.select(F.col("id").alias("ID"), F.col("dx").alias("dX"), F.col("dy").alias("dY"),
+    return disp.select(*[F.col(a).alias(b) for a, b in zip(("id", "dx", "dy"), DISPLACEMENT_HEADER)],
                        F.lit(label).alias("label"), F.lit(iteration).cast("int").alias("iteration"))
 
 
 def layout_nodes(vertices: DataFrame) -> DataFrame:
-    return vertices.select("label", F.col("x").alias("posX"), F.col("y").alias("posY"))
+    return vertices.select(*[F.col(a).alias(b) for a, b in zip(("label", "x", "y"), LAYOUT_NODE_HEADER)])
 
 
 def layout_links(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("SOURCE"), F.col("dst").alias("TARGET"), F.lit(1.0).alias("WEIGHT"))
+    s, t, w = LAYOUT_LINK_HEADER
+    return edges.select(F.col("src").alias(s), F.col("dst").alias(t), F.lit(1.0).alias(w))
 
 
 def inspect_links(g: Graph, with_positions: bool = False) -> DataFrame:
     """Readable link lines 'a (x,y), linkTo( b )=w'; the label-only form omits numbers."""
     t = build.triplets(g)
     if with_positions:
-        text = F.format_string("%s (%s,%s), linkTo( %s )=%s", "src_label", "src_x", "src_y", "dst_label", "weight")
+        text = F.format_string(LINK_TEXT, "src_label", "src_x", "src_y", "dst_label", "weight")
     else:
-        text = F.concat(F.col("src_label"), F.lit(" linkTo( "), F.col("dst_label"), F.lit(" )"))
+        text = F.concat(F.col("src_label"), F.lit(LINK_WORD), F.col("dst_label"), F.lit(" )"))
     return t.select(text.alias("line"))
 
 

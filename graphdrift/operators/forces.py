@@ -70,13 +70,16 @@ def repulsion_position_pairs(vertices: DataFrame, k: float, params: LayoutParams
 
 
 def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius: float,
-                     terms: int = 32) -> DataFrame:
+                     terms: int = 32, leaf_capacity: int = 256) -> DataFrame:
     """Repulsion from vertices within ``radius`` only, (id, dx, dy).
 
     Same tree traversal as the all-pairs sum with the radius as a cut: cell pairs wholly
     inside it are translated, wholly outside dropped, and only pairs straddling it are
-    summed pair by pair, so a dense spot inside one radius does not enumerate its pairs."""
-    raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms, radius=radius)
+    summed pair by pair, so a dense spot inside one radius does not enumerate its pairs.
+    Leaves hold up to 256 positions here: a translation costs about as much as a thousand
+    direct pairs, so it only pays off between well-filled cells."""
+    raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms, radius=radius,
+                           leaf_capacity=leaf_capacity)
     f = params.rep_scale * k * k
     return raw.select("id", (F.col("fx") * F.lit(f)).alias("dx"), (F.col("fy") * F.lit(f)).alias("dy"))
 

@@ -228,17 +228,18 @@ def _add_locals(a: DataFrame, b: DataFrame, terms: int) -> DataFrame:
     return _sum_by(a.unionByName(b), ["ix", "iy"], _names("b", terms))
 
 
-def choose_depth(pos_norm: DataFrame, n_pos: int, leaf_capacity: int, max_depth: int) -> int:
+def choose_depth(pos_norm: DataFrame, n_points: int, leaf_capacity: int, max_depth: int) -> int:
     """Smallest depth (>= 2) whose fullest leaf holds at most ``leaf_capacity`` positions.
 
-    Starts from the uniform estimate; each probe job counts cells at four candidate
+    Starts two levels below the uniform estimate from the point count (coincident points
+    make the distinct positions fewer); each probe job counts cells at six candidate
     depths at once (one keyed count, one number per depth to the driver) and deepens
     while a dense spot overflows.
     """
-    depth = max(2, math.ceil(math.log(max(n_pos, 1) / leaf_capacity, 4)) if n_pos > leaf_capacity else 2)
-    depth = min(depth, max_depth)
+    est = math.ceil(math.log(n_points / leaf_capacity, 4)) if n_points > leaf_capacity else 2
+    depth = min(max(2, est - 2), max_depth)
     while True:
-        cands = list(range(depth, min(depth + 4, max_depth + 1)))
+        cands = list(range(depth, min(depth + 6, max_depth + 1)))
         lv = F.explode(F.array(*[F.lit(c) for c in cands])).alias("lv")
         side = F.pow(F.lit(2.0), F.col("lv"))
         fullest = dict(
@@ -323,8 +324,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     elif small:
         L = 0                       # one cell: everything is summed directly (at most capacity^2 pairs)
     else:
-        n_pos = pos.count()
-        L = 0 if n_pos <= leaf_capacity else choose_depth(pos_norm, n_pos, leaf_capacity, max_depth)
+        L = choose_depth(pos_norm, int(bb["n"]), leaf_capacity, max_depth)
         if radius_n is not None and L > 0:
             # leaves no wider than the radius keep the candidate cells close to the circle
             L = max(L, min(max_depth, math.ceil(math.log2(1.0 / radius_n))))

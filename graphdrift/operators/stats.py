@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,14 @@ def label_propagation(g: Graph, rounds: int = 5, checkpoint: bool = True) -> Dat
         ensure_checkpoint_dir(g.vertices.sparkSession)
     pairs = build.undirected_pairs(g.edges)
     labels = g.vertices.select("id", F.col("id").alias("module"))
+    buckets = None
     if checkpoint:
-        # pairs bucketed by src and labels by id: the per-round join reads both without a shuffle
-        pairs = materialize_bucketed(pairs, "src", "lp_pairs")
-        labels = materialize_bucketed(labels, "id", "lp_labels0")
+        # pairs bucketed by src and labels by id: the per-round join reads both without a
+        # shuffle.  One bucket per 100k vertices, at most one per shuffle partition.
+        parts = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(parts, max(1, math.ceil(g.vertices.count() / 100_000)))
+        pairs = materialize_bucketed(pairs, "src", "lp_pairs", buckets)
+        labels = materialize_bucketed(labels, "id", "lp_labels0", buckets)
     for r in range(1, rounds + 1):
         votes = (pairs.join(labels.select(F.col("id").alias("src"), "module"), "src")
                  .groupBy(F.col("dst").alias("id"), "module").agg(F.count(F.lit(1)).alias("votes")))
@@ -44,7 +50,7 @@ def label_propagation(g: Graph, rounds: int = 5, checkpoint: bool = True) -> Dat
         labels = labels.join(best, "id", "left").select(
             "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module"))
         if checkpoint:
-            labels = materialize_bucketed(labels, "id", f"lp_labels{r}")
+            labels = materialize_bucketed(labels, "id", f"lp_labels{r}", buckets)
     return labels
 
 

@@ -11,6 +11,7 @@ literals when the plan is built, never read lazily.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,18 +69,23 @@ def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = F
         g = build.complete_graph(g.vertices, g.edges)
     vertices = _normalise(g.vertices)
     edges = g.edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    # the edge table is reused by every iteration: materialise it once, bucketed by src,
-    # and every iteration's vertex frame bucketed by id, so the edge-source join is a
-    # bucket join with no shuffle on either side
-    edges = materialize_bucketed(edges, "src", "edges")
-    vertices = materialize_bucketed(vertices, "id", "vertices")
+    n = vertices.count()
     if k is None:
-        k = forces.ideal_length(vertices, params)
+        k = params.ideal_length(n)
+    # the edge table is reused by every iteration: materialise it once, bucketed by src,
+    # and every iteration's vertex frame bucketed by id (same bucket count), so the
+    # edge-source join is a bucket join with no shuffle on either side.  One bucket per
+    # 100k vertices, at most one per shuffle partition.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(parts, max(1, math.ceil(n / 100_000)))
+    edges = materialize_bucketed(edges, "src", "edges", buckets)
+    vertices = materialize_bucketed(vertices, "id", "vertices", buckets)
     traces, reports = [], []
     cur = vertices
     for it in range(1, params.rounds + 1):
         temp = params.temperature(it - 1)
-        frame = materialize_bucketed(iteration_frame(Graph(cur, edges), k, params, it, temp), "id", f"iter{it}")
+        frame = materialize_bucketed(iteration_frame(Graph(cur, edges), k, params, it, temp), "id", f"iter{it}",
+                                     buckets)
         cur = frame.select("id", "label", F.col("nx").alias("x"), F.col("ny").alias("y"),
                            (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy"))
         if trace:

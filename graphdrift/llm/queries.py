@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import load
 
@@ -20,4 +21,28 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_simhash_dedup)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify, train
+
+    docs = load(spark, sf_dir, "documents")
+    found = identify(docs, train(docs), spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from .packing import default_vocabulary, pack
+
+    return pack(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN, with_ids=False)
+
+
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from .bpe_codec import default_vocabulary, encode_decode
+
+    return encode_decode(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN, keep=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_simhash_dedup, op6_language_id, op7_packing, op10_bpe_codec)}

@@ -45,4 +45,17 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_simhash_dedup, op6_language_id, op7_packing, op10_bpe_codec)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents"), words=13, with_text=False)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(load(spark, sf_dir, "documents"), length=400, with_text=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_simhash_dedup, op6_language_id, op7_packing,
+                                   op8_substring_dedup, op9_suffix_dedup, op10_bpe_codec)}

@@ -226,7 +226,7 @@ SPANS = "array<struct<first_word: int, n_words: int, lang: string>>"
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True,
              batch_words: int = 400_000) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (share of the letters that the path gives to
-    lang_pred), n_spans and, with ``spans``, the labelled spans (first word, number of words, lang;
+    lang_pred), n_spans, row_key (a hash of id and text) and, with ``spans``, the labelled spans (first word, number of words, lang;
     words are runs of anything but white space).
 
     A null text, a text without any letter, and every text if nothing was learnt get ``und`` and
@@ -252,10 +252,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     rows[i] = r
                 at = end
                 table.fresh()
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row_key": b["row_key"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
                                 "n_spans": [len(r[2] or ()) for r in rows],
                                 "spans": [r[2] if spans else None for r in rows]})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = src.mapInPandas(run, f"doc_id long, lang_pred string, score double, n_spans int, spans {SPANS}")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"),
+                      F.col(text_col).alias("text"))
+    out = src.mapInPandas(run, f"doc_id long, row_key long, lang_pred string, score double, n_spans int, spans {SPANS}")
     return out if spans else out.drop("spans")
+
+
+def in_known_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+                      min_score: float = 0.2) -> DataFrame:
+    """``docs`` without those labelled ``und`` or with a score below ``min_score`` (most letters in
+    scripts that no learnt language uses, or spread over many languages); all columns as they were."""
+    found = identify(docs, model, id_col, text_col, spans=False)
+    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)) \
+               .select(F.col("row_key").alias("__k")).distinct()
+    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__k"), "left_anti")

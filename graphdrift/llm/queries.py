@@ -18,7 +18,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import near_duplicates
 
-    return near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return near_duplicates(load(spark, sf_dir, "documents"), shingle=4, max_bits=4).drop("row_key")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +57,28 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"), length=400, with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_simhash_dedup, op6_language_id, op7_packing,
-                                   op8_substring_dedup, op9_suffix_dedup, op10_bpe_codec)}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from .token_counts import default_vocabulary, token_counts
+
+    return token_counts(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(load(spark, sf_dir, "embeddings"), k=20, query_step=20)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grade, graded_labels, train
+
+    docs = load(spark, sf_dir, "documents")
+    rated = docs.select("doc_id", "text").join(graded_labels(load(spark, sf_dir, "labels")), "doc_id")
+    return grade(docs, train(rated))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_nearest, op4_quality, op5_simhash_dedup,
+                                   op6_language_id, op7_packing, op8_substring_dedup, op9_suffix_dedup,
+                                   op10_bpe_codec)}

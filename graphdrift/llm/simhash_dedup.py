@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_count, staged
+from .common import NO_ID, shuffle_count, staged
 from .components import connected_components
 
 BITS = 64
@@ -52,15 +52,16 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, row_key (a hash of id and text), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row_key": b["row_key"], "fp": fp.view(np.int64)})
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"),
+                      F.col(text_col).alias("text"))
+    return src.mapInPandas(run, "doc_id long, row_key long, fp long")
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -215,7 +216,7 @@ def links(fps: DataFrame, max_bits: int = 4, group_rows: int = 50_000, batch_row
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4, group_rows: int = 50_000) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
-    reachable over links of at most ``max_bits`` differing bits).
+    reachable over links of at most ``max_bits`` differing bits), and row_key.
 
     Null and blank texts have fingerprint zero and link like any other; texts of fewer words than a
     shingle hash as one whole.  Repeated rows and equal fingerprints are one class.  Null ids count
@@ -229,4 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = member.join(lowest, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                          "component_id")
+                                          "component_id", "row_key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                max_bits: int = 4) -> DataFrame:
+    """``docs`` with one document of each component, the smallest id (of equal ids, the smallest row
+    key; a null id only if there is no other); all columns as they were.  Rows alike in id and
+    text are not told apart."""
+    found = staged(near_duplicates(docs, id_col, text_col, shingle, max_bits), "simhash-found")
+    rank = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("row_key").alias("k"))
+    # component_id is null for components without an id: their lowest row key tells them apart no more
+    best = found.groupBy("component_id").agg(F.min(rank).alias("best"))
+    out = (found.join(best, found["component_id"].eqNullSafe(best["component_id"]))
+           .filter(rank != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct())
+    mine = F.xxhash64(docs[id_col], docs[text_col])
+    return docs.join(out, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (mine == F.col("__k")), "left_anti")

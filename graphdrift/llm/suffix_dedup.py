@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import key_exchange as X
-from .common import keyed, shuffle_count, staged
+from .common import NO_ID, keyed, shuffle_count, staged
 from .deep_shallow import deep_shallow_sort
 
 CHUNK_BYTES = 16 << 20
@@ -237,6 +238,22 @@ def repeated_spans(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
     return found.groupBy("_d", "_k").agg(F.collect_list(span).alias("spans"))
 
 
+def _merged(spans) -> list[list[int]]:
+    """Maximal runs (begin, end) of possibly overlapping spans."""
+    runs: list[list[int]] = []
+    for a, z in sorted((x["a"], x["z"]) for x in spans) if spans is not None else ():
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], z)
+        else:
+            runs.append([a, z])
+    return runs
+
+
+def _without(raw: bytes, runs: list[list[int]]) -> bytes:
+    edges = [0, *(x for run in runs for x in run), len(raw)]
+    return b"".join([raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
                    group_rows: int = 4096, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
@@ -258,14 +275,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = []
             for i, t, s in zip(b["doc_id"], b["text"], b["spans"], strict=True):
                 raw = t.encode("utf-8", "replace")
-                runs: list[list[int]] = []
-                for a, z in sorted((x["a"], x["z"]) for x in s) if s is not None else ():
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], z)
-                    else:
-                        runs.append([a, z])
-                edges = [0, *(x for run in runs for x in run), len(raw)]
-                kept = b"".join([raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)])
+                runs = _merged(s)
+                kept = _without(raw, runs)
                 out.append((None if pd.isna(i) else int(i), len(raw), len(raw) - len(kept), len(runs),
                             hashlib.sha256(kept).hexdigest(), kept if with_text else None,
                             [{"begin": a, "end": z} for a, z in runs] if with_text else None))
@@ -276,3 +287,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                   "kept binary, removed array<struct<begin: long, end: long>>")
     return out if with_text else out.drop("kept", "removed")
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
+             group_rows: int = 4096) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the text and every other column as it was.  Of a
+    character that is cut in two what is left goes too; texts that lose nothing stay as they are,
+    null included."""
+    src = keyed(docs, id_col, text_col)
+    spans = repeated_spans(src.select("_d", "_k", "text"), length, group_rows)
+    own = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+                            "__k": F.xxhash64(id_col, text_col)})
+    spans = spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans"))
+    joined = own.join(spans, ["__d", "__k"], "left").drop("__d", "__k")
+    at = docs.columns.index(text_col)
+
+    def cut(batches):
+        for b in batches:
+            texts, spans_ = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            new = [t if s is None else _without(t.encode("utf-8", "replace"), _merged(s)).decode("utf-8", "ignore")
+                   for t, s in zip(texts, spans_, strict=True)]
+            cols = b.columns[:-1]
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, names=list(docs.columns))
+
+    return joined.mapInArrow(cut, docs.schema)

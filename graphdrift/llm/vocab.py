@@ -57,18 +57,22 @@ class Memo(dict):
         return value
 
 
+def cut_pieces(text: str) -> list[str]:
+    """Pieces of a text that each start where a pre-token is known to start; they join to the text."""
+    if not text:
+        return []
+    parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+
+
 @lru_cache(maxsize=4)
 def _packed(path: str, pattern: str) -> Memo:
     enc = encoding(path, pattern)
-    return Memo(lambda piece: np.array(enc.encode_ordinary(" " + piece), "<u4").tobytes())
+    return Memo(lambda piece: np.array(enc.encode_ordinary(piece), "<u4").tobytes())
 
 
 def packed_ids(text: str, path: str, pattern: str) -> bytes:
     """All ids of ``text`` as little-endian 32-bit words.  The text is cut where a pre-token is
     known to start, and what lies between is encoded once and remembered."""
-    if not text:
-        return b""
-    parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
     memo = _packed(path, pattern)
-    first = np.array(encoding(path, pattern).encode_ordinary(parts[0]), "<u4").tobytes()
-    return first + b"".join([memo[p] for p in parts[1:]])
+    return b"".join([memo[p] for p in cut_pieces(text)])

@@ -9,7 +9,7 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (t)""",
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
-                                      x -> x <> '') AS w FROM documents),
+                                      lambda x: x <> '') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 low AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),

@@ -300,7 +300,8 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                             "__k": F.xxhash64(id_col, text_col)})
     spans = spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans"))
     joined = own.join(spans, ["__d", "__k"], "left").drop("__d", "__k")
-    at = docs.columns.index(text_col)
+    names = list(docs.columns)
+    at = names.index(text_col)
 
     def cut(batches):
         for b in batches:
@@ -309,6 +310,6 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                    for t, s in zip(texts, spans_, strict=True)]
             cols = b.columns[:-1]
             cols[at] = pa.array(new, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=list(docs.columns))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(cut, docs.schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,5 +62,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.xxhash64(F.col(id_col), t).alias("_k"), text_or_empty(t).alias("text"))
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, _d, _k, text) with the text as zstd-compressed UTF-8 in ``z``: joins by key move
+    the text in a third of its size."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            z = [squeeze.compress(t.encode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], ["doc_id", "_d", "_k", "z"])
+
+    return rows.select("doc_id", "_d", "_k", "text").mapInArrow(run, "doc_id long, _d long, _k long, z binary")
+
+
+def plain(z: bytes) -> bytes:
+    return zstandard.decompress(z)
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,13 +2,14 @@
 
 A chunk is a bounded run of documents read by one task.  Its distinct keys (sorted by shard and key,
 each with one value) travel to the key's shard; a packet with everything else about the chunk travels
-beside them, spread evenly.  A shard compares the entries of all chunks and answers with one bit per
-entry; the answers meet the chunk's packet again in a second shuffle.  A key that a third of all
-documents hold reaches its shard once per chunk, never once per occurrence.
+beside them, spread evenly.  A shard compares the entries of all chunks and answers those that matter;
+the answers meet the chunk's packet again in a second shuffle.  A key that a third of all documents
+hold reaches its shard once per chunk, never once per occurrence.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,64 +19,68 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_count
 
-#: chunk, kind (0 packet, 1 keys or their answer), shard, payload
+#: chunk, kind (0 packet, 1 keys or their answers), shard, payload
 SCHEMA = "chunk long, kind int, shard int, payload binary"
-ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("value", "<i8")])
 
 
 def shard_of(a: np.ndarray, shards: int) -> np.ndarray:
     return (a & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
 
 
-def entries(chunk: int, a: np.ndarray, b: np.ndarray, value: np.ndarray, shards: int) -> list[tuple]:
-    """Rows of a chunk's distinct keys, which are sorted by (shard, a, b)."""
-    rec = np.empty(len(a), ENTRY)
-    rec["a"], rec["b"], rec["value"] = a, b, value
+def sorted_keys(a: np.ndarray, b: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry of each key, first index of each entry): entries are the distinct keys (a, b) in the
+    order of (shard, a, b)."""
+    order = np.lexsort((b, a, shard_of(a, shards)))
+    x, y = a[order], b[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(a) else np.zeros(0, bool)
+    entry = np.empty(len(a), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    return entry, order[new]
+
+
+def key_rows(chunk: int, a: np.ndarray, b: np.ndarray, value: np.ndarray, shards: int) -> list[tuple]:
+    """Rows of a chunk's entries, in their order."""
     shard = shard_of(a, shards).astype(np.int64)
     heads = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(a) else np.zeros(0, np.int64)
     stops = np.append(heads[1:], len(a))
-    return [(chunk, 1, int(shard[i]), _split(rec[i:j])) for i, j in zip(heads.tolist(), stops.tolist(), strict=True)]
-
-
-def _split(rec: np.ndarray) -> bytes:
-    """Field by field; a value as 32 bits above the smallest, where that fits."""
-    low = rec["value"].min()
-    over = rec["value"].view(np.uint64) - low.view(np.uint64)
-    wide = bool((over >> np.uint64(32)).any())
-    tail = over.astype("<u8" if wide else "<u4")
-    head = np.array([len(rec), wide, low], "<i8")
-    return head.tobytes() + rec["a"].tobytes() + rec["b"].tobytes() + tail.tobytes()
-
-
-def _joined(raw: bytes) -> np.ndarray:
-    n, wide, low = (int(x) for x in np.frombuffer(raw, "<i8", 3))
-    out = np.empty(n, ENTRY)
-    out["a"] = np.frombuffer(raw, "<u8", n, 24)
-    out["b"] = np.frombuffer(raw, "<u4", n, 24 + 8 * n)
-    over = np.frombuffer(raw, "<u8" if wide else "<u4", n, 24 + 12 * n).astype(np.uint64)
-    out["value"] = (over + np.array([low], np.int64).view(np.uint64)).view(np.int64)
-    return out
+    return [(chunk, 1, int(shard[i]), pack_arrays(a[i:j], b[i:j], narrow(value[i:j])))
+            for i, j in zip(heads.tolist(), stops.tolist(), strict=True)]
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type, if none is negative."""
+    if len(x) and x.min() >= 0:
+        return x.astype(np.min_scalar_type(int(x.max())))
+    return x.astype(np.int64)
 
 
-def exchange(rows: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.ndarray],
-             finish: Callable[[bytes, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """``decide(first, value)``: for entries sorted by key, with ``first`` marking where a key
-    begins, the answer of each.  ``finish(packet, answers)``: result rows of one chunk."""
+def exchange(rows: DataFrame, decide: Callable[..., tuple[np.ndarray, list[np.ndarray]]],
+             finish: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """``decide(a, b, value)``: for a shard's entries sorted by (a, b, chunk), which of them get an
+    answer, and the answers as arrays.  ``finish(packet, entries, answers)``: result rows of one
+    chunk, given which of its entries were answered and how."""
     n = shuffle_count(rows.sparkSession)
     place = F.when(F.col("kind") == 0, F.xxhash64("chunk")).otherwise(F.xxhash64("shard"))
     asked = (rows.withColumn("place", place).repartition(n, "place")
              .sortWithinPartitions("kind", "shard", "chunk").drop("place"))
 
-    def answer(shard: int, chunks: list[int], held: list[np.ndarray]) -> pd.DataFrame:
-        rec = np.concatenate(held)
-        order = np.lexsort((rec["b"], rec["a"]))
-        a, b = rec["a"][order], rec["b"][order]
-        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        said = np.empty(len(rec), bool)
-        said[order] = decide(first, rec["value"][order])
-        cuts = np.cumsum([len(h) for h in held])[:-1]
-        bits = [np.array([len(x)], "<i8").tobytes() + np.packbits(x).tobytes() for x in np.split(said, cuts)]
-        return pd.DataFrame({"chunk": chunks, "kind": 1, "shard": shard, "payload": bits})
+    def answer(shard: int, chunks: list[int], held: list[list[np.ndarray]]) -> pd.DataFrame:
+        size = [len(h[0]) for h in held]
+        a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        value = np.concatenate([h[2].astype(np.int64) for h in held])
+        order = np.lexsort((b, a))                      # stable: equal keys stay in the order of chunks
+        told, answers = decide(a[order], b[order], value[order])
+        at = order[told]
+        back = np.argsort(at, kind="stable")
+        at, answers = at[back], [x[back] for x in answers]
+        ends = np.cumsum(size)
+        cuts = np.searchsorted(at, ends)
+        out, lo = [], 0
+        for i, hi in enumerate(cuts.tolist()):
+            own = (at[lo:hi] - (ends[i] - size[i])).astype("<u4")
+            out.append(pack_arrays(np.array([size[i]], "<u4"), own, *[x[lo:hi] for x in answers]))
+            lo = hi
+        return pd.DataFrame({"chunk": chunks, "kind": 1, "shard": shard, "payload": out})
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, chunks, held = -1, [], []
@@ -87,27 +92,31 @@ def exchange(rows: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.ndar
                     chunks, held = [], []
                 shard = r.shard
                 chunks.append(r.chunk)
-                held.append(_joined(r.payload))
+                held.append(unpack_arrays(r.payload))
         if held:
             yield answer(shard, chunks, held)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packet, said = None, []
+        packet, told, before = None, [], 0
 
-        def close() -> pd.DataFrame:
-            return finish(packet, np.concatenate(said) if said else np.zeros(0, bool))
+        def close() -> pd.DataFrame | None:
+            if packet is None:
+                return None
+            entries, *answers = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, int),)
+            return finish(packet, entries, answers)
 
         for b in batches:
             for r in b.itertuples(index=False):
                 if r.kind == 0:
-                    if packet is not None:
-                        yield close()
-                    packet, said = r.payload, []
+                    if (f := close()) is not None:
+                        yield f
+                    packet, told, before = r.payload, [], 0
                 else:
-                    size = int(np.frombuffer(r.payload, "<i8", 1)[0])
-                    said.append(np.unpackbits(np.frombuffer(r.payload, np.uint8, offset=8), count=size).astype(bool))
-        if packet is not None:
-            yield close()
+                    size, own, *answers = unpack_arrays(r.payload)
+                    told.append([own.astype(np.int64) + before, *answers])
+                    before += int(size[0])
+        if (f := close()) is not None:
+            yield f
 
     answered = asked.mapInPandas(resolve, SCHEMA)
     return (answered.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "shard")
@@ -118,8 +127,7 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays of any kinds as one value, each under its length and type."""
     out = [np.array([len(arrays)], "<i8").tobytes()]
     for x in arrays:
-        kind = x.dtype.str.encode().ljust(8)
-        out += [np.array([x.nbytes], "<i8").tobytes(), kind, x.tobytes()]
+        out += [np.array([x.nbytes], "<i8").tobytes(), x.dtype.str.encode().ljust(8), x.tobytes()]
     return b"".join(out)
 
 
@@ -131,3 +139,15 @@ def unpack_arrays(raw: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(raw[at + 16:at + 16 + size], kind))
         at += 16 + size
     return out
+
+
+def squeezed(x: np.ndarray) -> np.ndarray:
+    """Slowly rising 32-bit numbers as compressed differences (as bytes)."""
+    step = np.diff(x.astype(np.int64), prepend=0).astype("<i4")
+    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T)
+    return np.frombuffer(zlib.compress(planes.tobytes(), 1), np.uint8)
+
+
+def unsqueezed(x: np.ndarray) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(x.tobytes()), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").reshape(-1).astype(np.int64))

@@ -8,7 +8,8 @@ by deep-shallow sorting: multikey quicksort down to a shallow depth, blind tries
 share a longer prefix.  Sorted order and common prefixes give, from the bytes themselves, how far
 right and left each anchor's surroundings occur elsewhere in a string of at least ``length`` bytes.
 
-Equal surroundings are combined before the sort.  A gram with more than ``group_rows`` different
+Equal surroundings (told by a 64-bit hash beside the gram's) are combined before the sort, and a
+gram all of whose surroundings are alike needs none.  A gram with more than ``group_rows`` different
 surroundings is dealt out as pairs of chunks, which lose no pair of strings.
 """
 
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import key_exchange as X
-from .common import NO_ID, keyed, shuffle_count, staged
+from .common import NO_ID, compressed, keyed, plain, shuffle_count, staged
 from .deep_shallow import deep_shallow_sort
 
 CHUNK_BYTES = 16 << 20
@@ -93,51 +95,87 @@ def _byte_runs(batches: Iterator[pd.DataFrame], limit: int = CHUNK_BYTES) -> Ite
         yield held
 
 
-def repeated_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(_d, _k, places, grams): the anchors of a text whose gram occurs more than once."""
+#: What a shard says of the surroundings of an anchor: met more than once; others of its gram differ;
+#: this is the one whose bytes stand for all that are alike.
+TWICE, SEVERAL, FIRST = 1, 2, 4
+ANCHORS = "_d long, _k long, sure binary, places binary, grams binary, kinds binary, codes binary, parts binary"
+
+
+def repeated_anchors(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """One row per text with a repeated gram: ``sure``, spans (begin, end) of the bytes around
+    anchors whose whole surroundings are met twice; and the anchors to be sorted, those whose gram has
+    several surroundings: place, gram, surroundings, code, and into how many chunks the gram's
+    surroundings are dealt."""
     shards = 4 * shuffle_count(rows.sparkSession)
+    reach = length - length // 2
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors, base = Anchors(length), TaskContext.get().partitionId() << 32
         for i, run in enumerate(_byte_runs(batches)):
             got = [anchors(raw) for _, _, raw in run]
             place, h = (np.concatenate(x) for x in zip(*got, strict=True))
-            text = np.repeat(np.arange(len(run)), [len(g[0]) for g in got])
-            order = np.lexsort((place, text, h, X.shard_of(h, shards)))
-            h, text, place = h[order], text[order], place[order]
-            heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            count = np.diff(np.append(heads, len(h)))
-            d, k = (np.array([r[j] for r in run], np.int64) for j in (0, 1))
-            packet = X.pack_arrays(d, k, h[heads], count.astype("<u4"), text.astype("<u4"), place.astype("<u4"))
+            around = np.array([xxhash.xxh3_64_intdigest(raw[max(0, p - reach):p + length], min(p, reach))
+                               for (_, _, raw), (at, _) in zip(run, got, strict=True) for p in at.tolist()], np.uint64)
+            d, k, size = (np.array(x, np.int64) for x in zip(*[(r[0], r[1], len(r[2])) for r in run], strict=True))
+            entry, heads = X.sorted_keys(h, around, shards)
+            count = np.bincount(entry, minlength=len(heads))
+            packet = X.pack_arrays(d, k, size, X.narrow(np.array([len(g[0]) for g in got])), X.squeezed(place),
+                                   X.narrow(entry))
             chunk = base + i
-            yield pd.DataFrame([(chunk, 0, -1, packet),
-                                *X.entries(chunk, h[heads], np.zeros(len(heads), np.uint32), count, shards)],
+            yield pd.DataFrame([(chunk, 0, -1, packet), *X.key_rows(chunk, h[heads], around[heads], count, shards)],
                                columns=["chunk", "kind", "shard", "payload"])
 
-    def elsewhere(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        heads = np.flatnonzero(first)
-        return np.repeat(np.add.reduceat(count, heads), np.diff(np.append(heads, len(count)))) > 1
-
-    def finish(packet: bytes, repeated: np.ndarray) -> pd.DataFrame:
-        d, k, h, count, text, place = X.unpack_arrays(packet)
-        keep = np.repeat(repeated, count)
-        h, text, place = np.repeat(h, count)[keep], text[keep], place[keep]
-        order = np.lexsort((place, text))
-        h, text, place = h[order], text[order], place[order]
-        which, heads = np.unique(text, return_index=True)
-        cut = (lambda x: [p.tobytes() for p in np.split(x, heads[1:])]) if len(which) else (lambda x: [])
-        return pd.DataFrame({"_d": d[which], "_k": k[which], "places": cut(place), "grams": cut(h)})
-
-    schema = "_d long, _k long, places binary, grams binary"
-    found = X.exchange(rows.mapInPandas(find, X.SCHEMA), elsewhere, finish, schema)
-    return found.groupBy("_d", "_k").agg(F.max("places").alias("places"), F.max("grams").alias("grams"),
-                                         F.count(F.lit(1)).alias("times"))
-
-
-def reaches(left: list[bytes], right: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For surroundings of one gram (``left`` reversed, ``right`` from the anchor on; all different;
-    met ``times`` times): how far left and right of the anchor the strings of ``length`` bytes
-    reach that occur elsewhere too; (-1, -1) if there is none.
+    def decide(gram: np.ndarray, kind: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
+        new_kind = new_gram | np.concatenate(([True], kind[1:] != kind[:-1]))
+        which_gram, which_kind = np.cumsum(new_gram) - 1, np.cumsum(new_kind) - 1
+        kinds = np.bincount(which_gram, weights=new_kind).astype(np.int64)[which_gram]
+        times = np.bincount(which_kind, weights=count)[which_kind]
+        code = TWICE * (times > 1) + SEVERAL * (kinds > 1) + FIRST * new_kind
+        told = (times > 1) | (kinds > 1)
+        parts = -(-kinds // group_rows)
+        return told, [gram[told], kind[told], code[told].astype(np.uint8), parts[told].astype("<u4")]
+
+    def finish(packet: bytes, entries: np.ndarray, answers: list[np.ndarray]) -> pd.DataFrame:
+        d, k, size, per_text, place, entry = X.unpack_arrays(packet)
+        entry = entry.astype(np.int64)
+        row = np.full(int(entry.max(initial=-1)) + 1, -1)
+        row[entries] = np.arange(len(entries))
+        row = row[entry]                                # of every anchor, -1 if not answered
+        text, place = np.repeat(np.arange(len(d)), per_text), X.unsqueezed(place)
+        met, at = np.unique(row, return_index=True)     # first anchor of each entry
+        first = np.zeros(len(row), bool)
+        first[at[met >= 0]] = True
+        text, place, first, row = (x[row >= 0] for x in (text, place, first, row))
+        gram, kind, code, parts = (x[row] for x in answers) if len(row) else [np.zeros(0, "<u8")] * 4
+        code = np.where(first, code, code.astype(np.uint8) & ~np.uint8(FIRST)).astype(np.uint8)
+        begin, end = np.maximum(place - reach, 0), np.minimum(place + length, size[text])
+        sure = (code & TWICE > 0) & (end - begin >= length)
+        sort = (code & SEVERAL > 0) & ((code & FIRST > 0) | (code & TWICE == 0))
+        which = np.unique(text)
+
+        def cut(x: np.ndarray, of: np.ndarray, kind_: str) -> list[bytes]:
+            ends = np.searchsorted(of, which, side="right")
+            return [x[a:z].astype(kind_).tobytes() for a, z in zip(np.append(0, ends[:-1]), ends, strict=True)] \
+                if len(which) else []
+
+        return pd.DataFrame({"_d": d[which], "_k": k[which],
+                             "sure": cut(np.stack((begin, end), axis=1)[sure], text[sure], "<u4"),
+                             "places": cut(place[sort], text[sort], "<u4"), "grams": cut(gram[sort], text[sort], "<u8"),
+                             "kinds": cut(kind[sort], text[sort], "<u8"), "codes": cut(code[sort], text[sort], "u1"),
+                             "parts": cut(parts[sort], text[sort], "<u4")})
+
+    found = X.exchange(rows.mapInPandas(find, X.SCHEMA), decide, finish, ANCHORS)
+    # repeated rows: the first one read stands for surroundings, and so has the most of them
+    most = F.max(F.struct(F.octet_length("codes").alias("n"), "codes", "sure", "places", "grams", "kinds", "parts"))
+    return found.groupBy("_d", "_k").agg(most.alias("m")).select("_d", "_k", "m.sure", "m.places", "m.grams", "m.kinds",
+                                                                 "m.codes", "m.parts")
+
+
+def reaches(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For different surroundings of one gram (``left`` reversed, ``right`` from the anchor on): how
+    far left and right of the anchor the strings of ``length`` bytes reach that occur in another of
+    them too; (-1, -1) if there is none.
 
     ``right`` is sorted and cut into the intervals of its common-prefix tree.  Members of an
     interval of depth d share d bytes to the right; those whose nearest neighbour in the order of
@@ -145,16 +183,13 @@ def reaches(left: list[bytes], right: list[bytes], times: np.ndarray, length: in
     """
     m = len(left)
     far_left, far_right = np.full(m, -1), np.full(m, -1)
-    own = np.array([len(x) for x in left]), np.array([len(y) for y in right])
-    twice = (times > 1) & (own[0] + own[1] >= length)
-    far_left[twice], far_right[twice] = own[0][twice], own[1][twice]
     if m < 2:
         return far_left, far_right
     by_right, lcp_right = deep_shallow_sort(right)
     by_left, lcp_left = deep_shallow_sort(left)
     rank = np.empty(m, np.int64)
     rank[by_left] = np.arange(m)
-    most_left = int(own[0].max())
+    most_left = max(map(len, left))
 
     def interval(lo: int, hi: int, depth: int) -> None:
         if depth + most_left < length:
@@ -179,43 +214,45 @@ def reaches(left: list[bytes], right: list[bytes], times: np.ndarray, length: in
     return far_left, far_right
 
 
-def repeated_spans(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
-    """(_d, _k, spans): packed pairs of 32-bit numbers, begin and end of the repeated bytes around
-    each anchor."""
+def repeated_spans(rows: DataFrame, length: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with compressed texts, and (_d, _k, spans): packed pairs of 32-bit numbers, begin and
+    end of repeated bytes."""
     n = shuffle_count(rows.sparkSession)
-    gram = length // 2
-    reach_left = length - gram
+    reach = length - length // 2
+    anchors = staged(repeated_anchors(rows.select("_d", "_k", "text"), length, group_rows), "suffix-anchors")
+    texts = compressed(rows)
 
     def surround(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for d, k, t, places, grams in zip(b["_d"], b["_k"], b["text"], b["places"], b["grams"], strict=True):
-                raw, at = t.encode("utf-8", "replace"), np.frombuffer(places, "<u4").astype(np.int64)
-                f = pd.DataFrame({"gram": np.frombuffer(grams, "<i8"), "place": at})
+            for d, k, z, places, grams, kinds, codes, parts in b.itertuples(index=False):
+                raw, at = plain(z), np.frombuffer(places, "<u4").astype(np.int64)
+                kind, parts = np.frombuffer(kinds, "<u8"), np.frombuffer(parts, "<u4").astype(np.int64)
+                f = pd.DataFrame({"gram": np.frombuffer(grams, "<i8"), "kind": kind.view(np.int64), "place": at})
                 f["_d"], f["_k"] = d, k
-                f["before"] = np.minimum(at, reach_left)
-                f["around"] = [raw[max(0, p - reach_left):p + length] for p in at.tolist()]
-                yield f
-
-    anchors = repeated_anchors(rows, length)
-    schema = "gram long, place long, _d long, _k long, before long, around binary"
-    met = (rows.join(anchors, ["_d", "_k"]).mapInPandas(surround, schema)
-           .withColumn("kind", F.md5(F.concat(F.col("around"), F.col("before").cast("string").cast("binary")))))
-    met = staged(met, "suffix-anchors")                  # read twice: bytes for the sort, places after it
-    kinds = met.groupBy("gram", "kind", "before", "around").agg(F.count(F.lit(1)).alias("times"))
-    big = (met.groupBy("gram", "kind").count().groupBy("gram").count().filter(F.col("count") > group_rows)
-           .select("gram", F.ceil(F.col("count") / group_rows).cast("int").alias("chunks")))
-    kinds = kinds.join(big, "gram", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("kind"), F.col("chunks")).cast("int")
-    kinds = kinds.withColumn("part", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda j: F.least(j, mine) * F.col("chunks") + F.greatest(j, mine))))
+                f["twice"] = (np.frombuffer(codes, np.uint8) & TWICE) > 0
+                f["around"] = [raw[max(0, p - reach):p + length] for p in at.tolist()]
+                mine = (kind % parts.astype(np.uint64)).astype(np.int64)
+                every = [[min(j, m) * c + max(j, m) for j in range(c)]
+                         for m, c in zip(mine.tolist(), parts.tolist(), strict=True)]
+                f["part"] = every
+                yield f.explode("part")
+
+    schema = "gram long, kind long, place long, _d long, _k long, twice boolean, around binary, part long"
+    wanted = anchors.filter(F.octet_length("places") > 0)
+    met = texts.select("_d", "_k", "z").join(wanted, ["_d", "_k"]).select(
+        "_d", "_k", "z", "places", "grams", "kinds", "codes", "parts").mapInPandas(surround, schema)
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        cut = [(a[:n][::-1], a[n:]) for a, n in zip(f["around"], f["before"].tolist(), strict=True)]
-        l, r = reaches([c[0] for c in cut], [c[1] for c in cut], f["times"].to_numpy(), length)
-        ok = l >= 0
-        return pd.DataFrame({"gram": f["gram"].to_numpy()[ok], "kind": f["kind"].to_numpy()[ok],
-                             "l": l[ok], "r": r[ok]})
+        f = f[~f["kind"].duplicated()]                  # a chunk's own share of a group comes in every pair
+        place = f["place"].to_numpy()
+        before = np.minimum(place, reach).tolist()
+        left = [a[:n][::-1] for a, n in zip(f["around"], before, strict=True)]
+        right = [a[n:] for a, n in zip(f["around"], before, strict=True)]
+        l, r = reaches(left, right, length)
+        ok = (l >= 0) & ~f["twice"].to_numpy(bool)
+        pairs = np.stack((place - l, place + r), axis=1)[ok].astype("<u4")
+        return pd.DataFrame({"_d": f["_d"].to_numpy()[ok], "_k": f["_k"].to_numpy()[ok],
+                             "span": [p.tobytes() for p in pairs]})
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -230,22 +267,22 @@ def repeated_spans(rows: DataFrame, length: int, group_rows: int) -> DataFrame:
         if held:
             yield solve(held[0])
 
-    far = (kinds.select("gram", "part", "kind", "before", "around", "times").repartition(n, "gram", "part")
-           .sortWithinPartitions("gram", "part").mapInPandas(groups, "gram long, kind string, l long, r long")
-           .groupBy("gram", "kind").agg(F.max("l").alias("l"), F.max("r").alias("r")))
-    found = met.select("gram", "kind", "_d", "_k", "place").join(far, ["gram", "kind"])
-    span = F.struct((F.col("place") - F.col("l")).alias("a"), (F.col("place") + F.col("r")).alias("z"))
-    return found.groupBy("_d", "_k").agg(F.collect_list(span).alias("spans"))
+    solved = (met.repartition(n, "gram", "part").sortWithinPartitions("gram", "part")
+              .mapInPandas(groups, "_d long, _k long, span binary"))
+    sure = anchors.filter(F.octet_length("sure") > 0).select("_d", "_k", F.col("sure").alias("span"))
+    return texts, solved.unionByName(sure).groupBy("_d", "_k").agg(F.collect_list("span").alias("spans"))
 
 
-def _merged(spans) -> list[list[int]]:
-    """Maximal runs (begin, end) of possibly overlapping spans."""
+def _spans(packed: list[bytes] | None) -> list[list[int]]:
+    """Maximal runs (begin, end) of the packed, possibly overlapping spans."""
     runs: list[list[int]] = []
-    for a, z in sorted((x["a"], x["z"]) for x in spans) if spans is not None else ():
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], z)
-        else:
-            runs.append([a, z])
+    if packed is not None and len(packed):
+        pairs = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2)
+        for a, z in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], z)
+            else:
+                runs.append([a, z])
     return runs
 
 
@@ -265,21 +302,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every copy of a repeated row loses the same bytes.  An empty table gives no rows; other columns
     are not read.
     """
-    src = keyed(docs, id_col, text_col)
-    # rows alike in id and text share a key: a second one repeats the first from end to end
-    spans = repeated_spans(src.select("_d", "_k", "text"), length, group_rows)
-    joined = src.join(spans, ["_d", "_k"], "left").select("doc_id", "text", "spans")
+    texts, spans = repeated_spans(keyed(docs, id_col, text_col), length, group_rows)
+    joined = texts.join(spans, ["_d", "_k"], "left").select("doc_id", "z", "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t, s in zip(b["doc_id"], b["text"], b["spans"], strict=True):
-                raw = t.encode("utf-8", "replace")
-                runs = _merged(s)
+            for i, z, s in zip(b["doc_id"], b["z"], b["spans"], strict=True):
+                raw, runs = plain(z), _spans(s)
                 kept = _without(raw, runs)
                 out.append((None if pd.isna(i) else int(i), len(raw), len(raw) - len(kept), len(runs),
                             hashlib.sha256(kept).hexdigest(), kept if with_text else None,
-                            [{"begin": a, "end": z} for a, z in runs] if with_text else None))
+                            [{"begin": x, "end": y} for x, y in runs] if with_text else None))
             f = pd.DataFrame(out, columns="doc_id n_bytes n_removed n_spans kept_sha256 kept removed".split())
             f["doc_id"] = pd.array(f["doc_id"].tolist(), dtype="Int64")
             yield f
@@ -294,8 +328,7 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """``docs`` with the repeated bytes taken out of the text and every other column as it was.  Of a
     character that is cut in two what is left goes too; texts that lose nothing stay as they are,
     null included."""
-    src = keyed(docs, id_col, text_col)
-    spans = repeated_spans(src.select("_d", "_k", "text"), length, group_rows)
+    _, spans = repeated_spans(keyed(docs, id_col, text_col), length, group_rows)
     own = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
                             "__k": F.xxhash64(id_col, text_col)})
     spans = spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans"))
@@ -306,7 +339,7 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def cut(batches):
         for b in batches:
             texts, spans_ = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            new = [t if s is None else _without(t.encode("utf-8", "replace"), _merged(s)).decode("utf-8", "ignore")
+            new = [t if s is None else _without(t.encode("utf-8", "replace"), _spans(s)).decode("utf-8", "ignore")
                    for t, s in zip(texts, spans_, strict=True)]
             cols = b.columns[:-1]
             cols[at] = pa.array(new, b.schema.field(at).type)

@@ -7,7 +7,7 @@ Second pass: only windows estimated repeated are grouped exactly, on 96 bits of
 word sequence, which finds the smallest document each starts in.
 
 The merged sketch is broadcast as one bit a cell.  Its size follows the input up to ``max_cells`` cells
-a row (64 MB at the default), and stays there: beyond that the estimates let more windows through
+a row (128 MB for both rows at the default), and stays there: beyond that the estimates let more windows through
 and the second pass groups more, but still nothing is lost.
 """
 
@@ -20,19 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import key_exchange as X
-from .common import keyed, shuffle_count
+from .common import compressed, keyed, plain, shuffle_count, staged
 from .vocab import Memo
 
 ROWS = 2                                  # sketch rows
 BLOCKS = 64                               # cell blocks a row is merged in
-CHUNK_WINDOWS = 2_000_000                 # windows a task holds at a time
+CHUNK_WINDOWS = 1_000_000                 # windows a task holds at a time
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-FOUND = "_d long, _k long, starts binary"
+FOUND = "_d long, _k long, runs binary"
 
 
 class WindowHasher:
@@ -152,15 +153,17 @@ def sketch_bits(rows: DataFrame, max_cells: int) -> int:
 
 
 def repeated_starts(rows: DataFrame, words: int, max_cells: int) -> DataFrame:
-    """(_d, _k, starts): first words, as packed 32-bit numbers, of the windows of a document that
-    also start in a document with a smaller id."""
+    """(_d, _k, runs): first and last window, as packed 32-bit numbers, of each run of windows of a
+    document that also start in a document with a smaller id."""
     spark = rows.sparkSession
     bits = sketch_bits(rows, max_cells)
-    sketch = spark.sparkContext.broadcast(merged_sketch(rows, words, bits))
+    squeeze = zstandard.ZstdCompressor(level=1)
+    sketch = spark.sparkContext.broadcast([squeeze.compress(r.tobytes()) for r in merged_sketch(rows, words, bits)])
     shards = 4 * shuffle_count(spark)
 
     def estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, twice = WindowHasher(words), sketch.value
+        hasher = WindowHasher(words)
+        twice = [np.frombuffer(zstandard.decompress(r), np.uint8) for r in sketch.value]
         base = TaskContext.get().partitionId() << 32
         for i, b in enumerate(_text_runs(batches)):
             h1, h2, text, start = hasher(b["text"].tolist())
@@ -170,38 +173,46 @@ def repeated_starts(rows: DataFrame, words: int, max_cells: int) -> DataFrame:
                 maybe &= (row[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
             h1, h2, text, start = h1[maybe], h2[maybe].astype(np.uint32), text[maybe], start[maybe]
             d, k = b["_d"].to_numpy(np.int64), b["_k"].to_numpy(np.int64)
-            order = np.lexsort((h2, h1, X.shard_of(h1, shards)))
-            h1, h2, text, start = h1[order], h2[order], text[order], start[order]
-            heads = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))) \
-                if len(h1) else np.zeros(0, np.int64)
-            low = np.minimum.reduceat(d[text], heads) if len(heads) else np.zeros(0, np.int64)
-            count = np.diff(np.append(heads, len(h1))).astype("<u4")
-            packet = X.pack_arrays(d, k, low, count, text.astype("<u4"), start.astype("<u4"))
+            entry, heads = X.sorted_keys(h1, h2, shards)
+            low = np.full(len(heads), np.iinfo(np.int64).max)
+            np.minimum.at(low, entry, d[text])
+            packet = X.pack_arrays(d, k, X.squeezed(text), X.squeezed(start), X.narrow(entry))
             chunk = base + i
-            yield pd.DataFrame([(chunk, 0, -1, packet), *X.entries(chunk, h1[heads], h2[heads], low, shards)],
+            yield pd.DataFrame([(chunk, 0, -1, packet), *X.key_rows(chunk, h1[heads], h2[heads], low, shards)],
                                columns=["chunk", "kind", "shard", "payload"])
 
-    def beaten(first: np.ndarray, low: np.ndarray) -> np.ndarray:
-        heads = np.flatnonzero(first)
-        least = np.minimum.reduceat(low, heads)
-        return np.repeat(least, np.diff(np.append(heads, len(low)))) < low
-
-    def finish(packet: bytes, lost: np.ndarray) -> pd.DataFrame:
-        d, k, low, count, text, start = X.unpack_arrays(packet)
-        gone = np.repeat(lost, count) | (d[text] > np.repeat(low, count))
-        text, start = text[gone], start[gone]
-        order = np.lexsort((start, text))
-        text, start = text[order], start[order]
-        which, heads = np.unique(text, return_index=True)
-        runs = np.split(start.astype("<u4"), heads[1:]) if len(which) else []
-        return pd.DataFrame({"_d": d[which], "_k": k[which], "starts": [r.tobytes() for r in runs]})
-
-    found = X.exchange(rows.mapInPandas(estimated, X.SCHEMA), beaten, finish, FOUND)
-    return found.groupBy("_d", "_k").agg(F.max("starts").alias("starts"))     # repeated rows agree
+    def decide(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        least = np.repeat(np.minimum.reduceat(low, heads), np.diff(np.append(heads, len(low))))
+        told = least < low                              # another chunk has a smaller document
+        return told, [least[told]]
+
+    def finish(packet: bytes, entries: np.ndarray, answers: list[np.ndarray]) -> pd.DataFrame:
+        d, k, text, start, entry = X.unpack_arrays(packet)
+        text, start, entry = X.unsqueezed(text), X.unsqueezed(start), entry.astype(np.int64)
+        least = np.full(int(entry.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, entry, d[text])
+        if len(entries):
+            least[entries] = answers[0]
+        gone = d[text] > least[entry]
+        text, start = text[gone], start[gone]           # by text and place, as they were read
+        head = np.concatenate(([True], (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1))) \
+            if len(text) else np.zeros(0, bool)
+        begin = np.flatnonzero(head)
+        pairs = np.stack((start[begin], start[np.append(begin[1:], len(start)) - 1]), axis=1).astype("<u4") \
+            if len(text) else np.zeros((0, 2), "<u4")
+        which, first = np.unique(text[begin], return_index=True)
+        runs = [p.tobytes() for p in np.split(pairs, first[1:])] if len(which) else []
+        return pd.DataFrame({"_d": d[which], "_k": k[which], "runs": runs})
+
+    found = X.exchange(rows.mapInPandas(estimated, X.SCHEMA), decide, finish, FOUND)
+    found = staged(found.groupBy("_d", "_k").agg(F.max("runs").alias("runs")), "repeated-runs")   # repeated rows agree
+    sketch.destroy()
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13,
-                   max_cells: int = 1 << 28, with_text: bool = True) -> DataFrame:
+                   max_cells: int = 1 << 29, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with ``with_text``, the kept
     words joined by one space.
 
@@ -212,20 +223,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    starts = repeated_starts(rows.select("_d", "_k", "text"), words, max_cells)
-    joined = rows.join(starts, ["_d", "_k"], "left").select("doc_id", "text", "starts")
+    runs = repeated_starts(rows.select("_d", "_k", "text"), words, max_cells)
+    joined = compressed(rows).join(runs, ["_d", "_k"], "left").select("doc_id", "z", "runs")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, t, s in zip(b["doc_id"], b["text"], b["starts"], strict=True):
-                w = t.encode("utf-8", "replace").split()
+            for i, z, r in zip(b["doc_id"], b["z"], b["runs"], strict=True):
+                w = plain(z).split()
                 n, gone = len(w), 0
-                if s is not None:
-                    at = np.frombuffer(s, "<u4").astype(np.int64)
+                if r is not None:
                     edge = np.zeros(n + 1, np.int64)
-                    edge[at] += 1
-                    edge[at + words] -= 1
+                    for first, last in np.frombuffer(r, "<u4").reshape(-1, 2).tolist():
+                        edge[first] += 1
+                        edge[last + words] -= 1
                     keep = np.cumsum(edge[:n]) == 0
                     w = [x for x, k in zip(w, keep.tolist(), strict=True) if k]
                     gone = n - len(w)

@@ -61,6 +61,18 @@ def clamp(v: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), v))
 
 
+def on_grid(v: Column, step: float) -> Column:
+    """The nearest point of the grid of ``step``.  Positions live on this grid, so vertices that
+    meet in exact arithmetic meet in floating point too, in whatever order sums were taken."""
+    return F.floor(v / F.lit(float(step)) + F.lit(0.5)).cast("double") * F.lit(float(step))
+
+
+def unit_hash(*parts: Column) -> Column:
+    """A number in [0, 1) with 48 random bits from the parts (md5, so any engine can repeat it)."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def r4(c: Column) -> Column:
     """Round to 4 decimals and normalise -0.0 (used where results are compared)."""
     return F.round(c, 4) + F.lit(0.0)

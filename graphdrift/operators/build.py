@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from ..model import DEFAULT_LABEL, Graph, check_columns
 
-# Multipliers of the deterministic initial-position rule x = (id*PX + seed) mod width,
-# y = (id*PY + seed) mod height (fixed values, shared with the SQL oracle).
-POSITION_MULTIPLIER_X = 7919
-POSITION_MULTIPLIER_Y = 104729
+# Fixed value: the attribute given to vertices known only from their links.
+EDGE_VERTEX_LABEL = "defaultProperty"
 
 
 def vertex_ids(edges: DataFrame) -> DataFrame:
-    """Distinct ids of both endpoints (one shuffle, partial distinct on each side)."""
-    return edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    """Distinct ids of both endpoints (one pass over the links, one shuffle)."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def vertices_from_edges(edges: DataFrame, label: str = "defaultProperty") -> DataFrame:
+def vertices_from_edges(edges: DataFrame, label: str = EDGE_VERTEX_LABEL) -> DataFrame:
     """Every endpoint id once, with a constant attribute."""
     return vertex_ids(edges).select("id", F.lit(label).alias("label"))
 
@@ -28,9 +27,9 @@ def duplicate_ids(vertices: DataFrame) -> DataFrame:
 
 
 def complete_graph(vertices: DataFrame, edges: DataFrame, default_label: str = DEFAULT_LABEL,
-                   validate: bool = False) -> Graph:
+                   validate: bool = True) -> Graph:
     """Vertices for every id of the edges: ids only in edges get the default record,
-    isolated vertices stay.  ``validate`` rejects duplicate vertex ids (one small job)."""
+    isolated vertices stay.  ``validate`` rejects duplicate vertex ids (one keyed count)."""
     check_columns(vertices, ["id"], "vertices")
     if validate and duplicate_ids(vertices).limit(1).count() > 0:
         raise ValueError("vertex ids are not unique")
@@ -44,38 +43,45 @@ def complete_graph(vertices: DataFrame, edges: DataFrame, default_label: str = D
     return Graph(v.select(*cols), edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
 
 
-def position_x(id_col, width: float, seed: int = 0):
-    return F.pmod(id_col * F.lit(POSITION_MULTIPLIER_X) + F.lit(seed), F.lit(int(width))).cast("double")
+def start_box(width: float, height: float, bounds: str) -> tuple[float, float]:
+    """Lowest corner of the area start positions are drawn in: that of the bounds."""
+    return (-width / 2, -height / 2) if bounds == "center" else (0.0, 0.0)
 
 
-def position_y(id_col, height: float, seed: int = 0):
-    return F.pmod(id_col * F.lit(POSITION_MULTIPLIER_Y) + F.lit(seed), F.lit(int(height))).cast("double")
+def start_position(id_col, width: float, height: float, seed: int = 0, bounds: str = "center", eps: float = 1e-4):
+    """(x, y) drawn evenly from the box of the bounds by a hash of (seed, axis, id), on the grid of
+    step ``eps``.  The axes are independent; any 64-bit id and any positive size will do."""
+    x0, y0 = start_box(width, height, bounds)
+    draw = lambda axis, size: vec.unit_hash(F.lit(seed), F.lit(axis), id_col) * F.lit(float(size))
+    return (vec.on_grid(F.lit(x0) + draw("x", width), eps), vec.on_grid(F.lit(y0) + draw("y", height), eps))
 
 
-def shuffle_positions(vertices: DataFrame, width: float, height: float, seed: int = 0) -> DataFrame:
-    """Re-draw every position in [0,w) x [0,h) as a deterministic function of (id, seed);
-    label and displacement are kept.  Partition-independent, so recomputation after an
-    executor loss gives the same positions."""
+def shuffle_positions(vertices: DataFrame, width: float, height: float, seed: int = 0, bounds: str = "center",
+                      eps: float = 1e-4) -> DataFrame:
+    """Re-draw every position in the box of the bounds as a function of (id, seed); label and
+    displacement are kept.  Partition-independent, so recomputation after an executor loss gives
+    the same positions."""
     keep = [c for c in vertices.columns if c not in ("x", "y")]
-    return vertices.select(*keep, position_x(F.col("id"), width, seed).alias("x"),
-                           position_y(F.col("id"), height, seed).alias("y"))
+    x, y = start_position(F.col("id"), width, height, seed, bounds, eps)
+    return vertices.select(*keep, x.alias("x"), y.alias("y"))
 
 
-def convert(raw_edges: DataFrame, width: float, height: float, seed: int = 0) -> Graph:
-    """Normalise a raw edge table: label = id as text, deterministic position, zero
-    displacement, weight text -> double (ANSI cast fails the job on bad input)."""
+def convert(raw_edges: DataFrame, width: float, height: float, seed: int = 0, bounds: str = "center",
+            eps: float = 1e-4) -> Graph:
+    """Normalise a raw edge table: label = id as text, start position, zero displacement,
+    weight text -> double (ANSI cast fails the job on bad input)."""
     edges = raw_edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    v = vertex_ids(edges).select(
-        "id", F.col("id").cast("string").alias("label"),
-        position_x(F.col("id"), width, seed).alias("x"), position_y(F.col("id"), height, seed).alias("y"),
-        F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    x, y = start_position(F.col("id"), width, height, seed, bounds, eps)
+    v = vertex_ids(edges).select("id", F.col("id").cast("string").alias("label"), x.alias("x"), y.alias("y"),
+                                 F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
     return Graph(v, edges)
 
 
 def symmetric_edges(edges: DataFrame) -> DataFrame:
     """Each link both ways, once per ordered pair, weight 1.0."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.distinct().select("src", "dst", F.lit(1.0).alias("weight"))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return edges.select(ends.alias("e")).select("e.src", "e.dst").distinct().select(
+        "src", "dst", F.lit(1.0).alias("weight"))
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:

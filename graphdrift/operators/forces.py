@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..model import Graph, LayoutParams
+from ..session import Scratch
 from . import build
-from .multipole import NEAR_OFFSETS, offsets_col, cauchy_repulsion
+from .multipole import cauchy_repulsion
 
 
 def ideal_length_frame(vertices: DataFrame, params: LayoutParams) -> DataFrame:
@@ -30,47 +31,17 @@ def _zero_filled(vertices: DataFrame, per_id: DataFrame, fx: str = "fx", fy: str
 
 # --------------------------------------------------------------------------- repulsion
 
-def repulsion_all(vertices: DataFrame, k: float, params: LayoutParams, terms: int = 32) -> DataFrame:
+def repulsion_all(vertices: DataFrame, k: float, params: LayoutParams, terms: int = 32,
+                  scratch: Scratch | None = None) -> DataFrame:
     """Repulsion on every vertex from all others, (id, dx, dy), via the multipole sum:
     O(n) rows, no pair enumeration."""
-    raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms)
+    raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms, scratch=scratch)
     f = params.rep_scale * k * k
     return raw.select("id", (F.col("fx") * F.lit(f)).alias("dx"), (F.col("fy") * F.lit(f)).alias("dy"))
 
 
-def _positions(vertices: DataFrame) -> DataFrame:
-    """Distinct positions with multiplicity: coincident vertices act as one weighted source."""
-    return vertices.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q"))
-
-
-def radius_position_pairs(vertices: DataFrame, radius: float) -> DataFrame:
-    """Ordered pairs of distinct positions at distance <= radius (range join on a grid:
-    cell = floor(p / radius); sources are copied to the 3x3 neighbour cells and joined
-    on the cell key, then filtered by exact distance)."""
-    pos = _positions(vertices)
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
-    tgt = pos.select("x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    src = pos.select(F.col("x").alias("ox"), F.col("y").alias("oy"), "q",
-                     cell("x").alias("scx"), cell("y").alias("scy"), offsets_col(NEAR_OFFSETS).alias("o"))
-    src = src.select("ox", "oy", "q", (F.col("scx") + F.col("o.ox")).alias("cx"),
-                     (F.col("scy") + F.col("o.oy")).alias("cy"))
-    pairs = tgt.join(src, ["cx", "cy"], "inner")
-    ddx = F.col("x") - F.col("ox")
-    ddy = F.col("y") - F.col("oy")
-    within = (ddx * ddx + ddy * ddy <= F.lit(float(radius) ** 2)) & ((ddx != 0) | (ddy != 0))
-    return pairs.filter(within).select("x", "y", "ox", "oy", "q")
-
-
-def repulsion_position_pairs(vertices: DataFrame, k: float, params: LayoutParams, radius: float) -> DataFrame:
-    """Pair table: force on a position from each other position within the radius,
-    with the source multiplicity q (columns x, y, ox, oy, q, fx, fy)."""
-    p = radius_position_pairs(vertices, radius)
-    fx, fy = vec.repulsion(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), k, params.rep_scale, params.eps)
-    return p.select("x", "y", "ox", "oy", "q", (F.col("q") * fx).alias("fx"), (F.col("q") * fy).alias("fy"))
-
-
 def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius: float,
-                     terms: int = 32, leaf_capacity: int = 256) -> DataFrame:
+                     terms: int = 32, leaf_capacity: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """Repulsion from vertices within ``radius`` only, (id, dx, dy).
 
     Same tree traversal as the all-pairs sum with the radius as a cut: cell pairs wholly
@@ -79,7 +50,7 @@ def repulsion_radius(vertices: DataFrame, k: float, params: LayoutParams, radius
     Leaves hold up to 256 positions here: a translation costs about as much as a thousand
     direct pairs, so it only pays off between well-filled cells."""
     raw = cauchy_repulsion(vertices.select("id", "x", "y"), params.eps, terms=terms, radius=radius,
-                           leaf_capacity=leaf_capacity)
+                           leaf_capacity=leaf_capacity, scratch=scratch)
     f = params.rep_scale * k * k
     return raw.select("id", (F.col("fx") * F.lit(f)).alias("dx"), (F.col("fy") * F.lit(f)).alias("dy"))
 
@@ -154,12 +125,12 @@ def gravity(vertices: DataFrame, params: LayoutParams) -> DataFrame:
     return vertices.select("id", gx.alias("dx"), gy.alias("dy"))
 
 
-def _repulsion_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame | None:
+def _repulsion_rows(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None) -> DataFrame | None:
     """Per-vertex repulsion (id, dx, dy); vertices without a contribution may be missing."""
     if params.repulsion == "all":
-        return repulsion_all(g.vertices, k, params)
+        return repulsion_all(g.vertices, k, params, scratch=scratch)
     if params.repulsion == "radius":
-        return repulsion_radius(g.vertices, k, params, params.radius)
+        return repulsion_radius(g.vertices, k, params, params.radius, scratch=scratch)
     if params.repulsion == "neighbors":
         return _neighbor_rows(g, k, params).select("id", F.col("fx").alias("dx"), F.col("fy").alias("dy"))
     return None
@@ -173,7 +144,7 @@ def _attraction_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame:
     return _both_ends(m)
 
 
-def force_parts(g: Graph, k: float, params: LayoutParams) -> DataFrame:
+def force_parts(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None = None) -> DataFrame:
     """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy).
 
     Repulsion rows and raw per-link-end attraction rows are unioned and summed by id in
@@ -182,7 +153,7 @@ def force_parts(g: Graph, k: float, params: LayoutParams) -> DataFrame:
     zero = F.lit(0.0)
     parts = [_attraction_rows(g, k, params).select("id", zero.alias("rep_dx"), zero.alias("rep_dy"),
                                                    F.col("dx").alias("attr_dx"), F.col("dy").alias("attr_dy"))]
-    rep = _repulsion_rows(g, k, params)
+    rep = _repulsion_rows(g, k, params, scratch)
     if rep is not None:
         parts.append(rep.select("id", F.col("dx").alias("rep_dx"), F.col("dy").alias("rep_dy"),
                                 zero.alias("attr_dx"), zero.alias("attr_dy")))

@@ -1,17 +1,17 @@
-"""Iterative force-directed layout (Fruchterman-Reingold) as a checkpointed Spark job.
+"""Iterative force-directed layout (Fruchterman-Reingold) as a Spark job.
 
 Every iteration is one logical plan: repulsion + attraction + gravity (keyed on id) ->
-step scaling -> move + clamp.  The iteration's frame is written as a table bucketed by
-id in the checkpoint folder (``spark.checkpoint.dir``): that cuts the lineage, so a lost
-executor re-reads the last iteration instead of recomputing from the start, keeps the
-plan size constant, and lets the next iteration join the (src-bucketed) edges to it
-without shuffling either side.  Loop variables (iteration, temperature, k) enter the plan as
-literals when the plan is built, never read lazily.
+step scaling -> move + clamp.  The iteration's frame is written as a work table in the
+checkpoint folder (``spark.checkpoint.dir``): that cuts the lineage, so a lost executor
+re-reads the last iteration instead of recomputing from the start, and keeps the plan size
+constant.  The links join the vertices in an ordinary shuffle join, so the links of a hub are
+split at runtime by AQE.  A work table is deleted once the next iteration is written (kept for a
+trace).  Loop variables (iteration, temperature, k) enter the plan as literals when the plan is
+built, never read lazily.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..model import Graph, LayoutParams, VERTEX_COLUMNS
-from ..session import ensure_checkpoint_dir, materialize_bucketed
+from ..session import Scratch
 from . import build, forces, step
 
 
@@ -28,7 +28,7 @@ class LayoutResult:
     graph: Graph
     k: float
     trace: DataFrame | None = None      # iteration, phase, id, x, y, dx, dy
-    report: DataFrame | None = None     # iteration, temperature, n, total_step, max_step
+    report: DataFrame | None = None     # iteration, temperature, k, n, n_edges, total_step, max_step
 
 
 def _normalise(vertices: DataFrame) -> DataFrame:
@@ -43,49 +43,43 @@ def _normalise(vertices: DataFrame) -> DataFrame:
     return vertices.select(*cols)
 
 
-def iteration_frame(g: Graph, k: float, params: LayoutParams, iteration: int, temperature: float) -> DataFrame:
+def iteration_frame(g: Graph, k: float, params: LayoutParams, iteration: int, temperature: float,
+                    scratch: Scratch | None = None) -> DataFrame:
     """All columns of one iteration: forces by kind, applied step, new position."""
-    p = forces.force_parts(g, k, params)
+    p = forces.force_parts(g, k, params, scratch)
     tot_x = F.col("rep_dx") + F.col("attr_dx") + F.col("grav_dx")
     tot_y = F.col("rep_dy") + F.col("attr_dy") + F.col("grav_dy")
     p = p.select("*", tot_x.alias("dx"), tot_y.alias("dy"))
     p = p.select("*", step.step_factor(params, iteration, temperature).alias("factor"))
     p = p.select("*", (F.col("dx") * F.col("factor")).alias("sx"), (F.col("dy") * F.col("factor")).alias("sy"))
-    nx, ny = F.col("x") + F.col("sx"), F.col("y") + F.col("sy")
-    b = step.bounds_of(params)
-    if b is not None:
-        nx, ny = vec.clamp(nx, b[0], b[1]), vec.clamp(ny, b[2], b[3])
+    nx, ny = step.new_position(F.col("sx"), F.col("sy"), params)
     return p.select("*", nx.alias("nx"), ny.alias("ny"))
 
 
 def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = False,
-           k: float | None = None, complete: bool = False) -> LayoutResult:
-    """Run ``params.rounds`` iterations.  ``complete=True`` first gives ids that occur only
-    in edges the default vertex record (one distinct over the edges and a full outer join);
-    otherwise links to unknown ids do not act."""
+           k: float | None = None, complete: bool = True) -> LayoutResult:
+    """Run ``params.rounds`` iterations.  Ids that occur only in edges first get the default vertex
+    record, and duplicate vertex ids are rejected; with ``complete=False`` (a graph known to be
+    complete) both checks are left out and links to unknown ids do not act."""
     spark = g.vertices.sparkSession
-    ensure_checkpoint_dir(spark)
-    if complete:
-        g = build.complete_graph(g.vertices, g.edges)
-    vertices = _normalise(g.vertices)
-    edges = g.edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    n = vertices.count()
+    kept = Scratch(spark)
+    edges = kept.table(g.edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "edges")
+    vertices = build.complete_graph(g.vertices, edges).vertices if complete else g.vertices
+    before, work = None, Scratch(spark)
+    cur = work.table(_normalise(vertices), "vertices")
+    n = cur.count()
     if k is None:
         k = params.ideal_length(n)
-    # the edge table is reused by every iteration: materialise it once, bucketed by src,
-    # and every iteration's vertex frame bucketed by id (same bucket count), so the
-    # edge-source join is a bucket join with no shuffle on either side.  One bucket per
-    # 100k vertices, at most one per shuffle partition.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(parts, max(1, math.ceil(n / 100_000)))
-    edges = materialize_bucketed(edges, "src", "edges", buckets)
-    vertices = materialize_bucketed(vertices, "id", "vertices", buckets)
+    n_edges = edges.count() if report else 0
     traces, reports = [], []
-    cur = vertices
     for it in range(1, params.rounds + 1):
         temp = params.temperature(it - 1)
-        frame = materialize_bucketed(iteration_frame(Graph(cur, edges), k, params, it, temp), "id", f"iter{it}",
-                                     buckets)
+        before, work = work, Scratch(spark)
+        inner = Scratch(spark)
+        frame = work.table(iteration_frame(Graph(cur, edges), k, params, it, temp, inner), f"iter{it}")
+        inner.drop()
+        if not (trace and it > 1):
+            before.drop()
         cur = frame.select("id", "label", F.col("nx").alias("x"), F.col("ny").alias("y"),
                            (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy"))
         if trace:
@@ -100,15 +94,16 @@ def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = F
                                        (-F.col("sx")).alias("dx"), (-F.col("sy")).alias("dy")))
         if report:
             slen = vec.length(F.col("sx"), F.col("sy"))
-            reports.append(frame.agg(F.lit(it).cast("int").alias("iteration"),
-                                     F.lit(float(temp)).alias("temperature"),
-                                     F.count(F.lit(1)).alias("n"),
-                                     F.sum(slen).alias("total_step"), F.max(slen).alias("max_step")))
+            total, most = frame.agg(F.sum(slen), F.max(slen)).first()
+            reports.append((it, float(temp), float(k), n, n_edges, total, most))
     tr = _union_all(traces) if traces else None
-    rp = _union_all(reports) if reports else None
+    rp = spark.createDataFrame(reports, REPORT) if report else None
     return LayoutResult(Graph(cur, edges), k, tr, rp)
 
 
+REPORT = "iteration int, temperature double, k double, n long, n_edges long, total_step double, max_step double"
+
+
 def _union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -117,5 +112,5 @@ def _union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def layout_shuffled(g: Graph, params: LayoutParams, **kw) -> LayoutResult:
-    v = build.shuffle_positions(g.vertices, params.width, params.height, params.seed)
+    v = build.shuffle_positions(g.vertices, params.width, params.height, params.seed, params.bounds, params.eps)
     return layout(Graph(v, g.edges), params, **kw)

@@ -34,16 +34,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import Scratch
 
 # The Arrow-batch kernels below run in Python workers; ship this module's code with
 # them instead of requiring the package on every worker's import path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The 3x3 neighbourhood of a grid cell (used by the grid range join of the pair table).
-NEAR_OFFSETS = [(ox, oy) for ox in (-1, 0, 1) for oy in (-1, 0, 1)]
-
-
 def offsets_col(offsets) -> Column:
     """explode() of a literal array of (ox, oy) structs, built as one SQL expression."""
     items = ", ".join(f"named_struct('ox', {a}, 'oy', {b})" for a, b in offsets)
@@ -229,15 +225,15 @@ def _add_locals(a: DataFrame, b: DataFrame, terms: int) -> DataFrame:
 
 
 def choose_depth(pos_norm: DataFrame, n_points: int, leaf_capacity: int, max_depth: int) -> int:
-    """Smallest depth (>= 2) whose fullest leaf holds at most ``leaf_capacity`` positions.
+    """Smallest depth whose fullest leaf holds at most ``leaf_capacity`` positions.
 
     Starts two levels below the uniform estimate from the point count (coincident points
     make the distinct positions fewer); each probe job counts cells at six candidate
     depths at once (one keyed count, one number per depth to the driver) and deepens
     while a dense spot overflows.
     """
-    est = math.ceil(math.log(n_points / leaf_capacity, 4)) if n_points > leaf_capacity else 2
-    depth = min(max(2, est - 2), max_depth)
+    est = math.ceil(math.log(max(1.0, n_points / leaf_capacity), 4))
+    depth = min(max(0, est - 2), max_depth)
     while True:
         cands = list(range(depth, min(depth + 6, max_depth + 1)))
         lv = F.explode(F.array(*[F.lit(c) for c in cands])).alias("lv")
@@ -287,7 +283,8 @@ def _refine(open_pairs: DataFrame, child_cells: DataFrame) -> DataFrame:
 
 
 def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capacity: int = 64,
-                     depth: int | None = None, radius: float | None = None) -> DataFrame:
+                     depth: int | None = None, radius: float | None = None,
+                     scratch: Scratch | None = None) -> DataFrame:
     """(id, fx, fy) = sum over j != i with |p_i - p_j| <= radius (all j when radius is None)
     of (p_i - p_j) / max(eps, |p_i - p_j|)^2, exactly up to the series truncation.
 
@@ -296,10 +293,13 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     it is handled by one multipole-to-local translation; otherwise it is refined into its
     child pairs.  Pairs still open at the leaves are summed exactly between distinct
     positions.  A pile of vertices on one spot is one weighted row; the leaf depth is
-    chosen so no leaf holds more than ``leaf_capacity`` positions.  Distinct positions,
-    each level's cells, cell pairs and local expansions are reliable checkpoints.
+    chosen so no leaf holds more than ``leaf_capacity`` positions, the same way for every
+    number of points.  Where the tree is as deep as ``eps`` allows, a leaf is under 8 eps wide,
+    so of points on the grid of step eps it holds at most 81 positions.  Distinct positions,
+    each level's cells, cell pairs and local expansions are work tables in ``scratch``, which
+    the caller may drop once the result is written.
     """
-    ensure_checkpoint_dir(points.sparkSession)
+    scratch = scratch or Scratch(points.sparkSession)
     bb = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
                     F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     zero = points.select("id", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"))
@@ -314,15 +314,11 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     # cells of the deepest level must stay wider than eps, so translated pairs never need the floor
     max_depth = max(2, min(30, int(math.floor(math.log2(span / (4.0 * eps))))))
     pos = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("q"))
-    small = bb["n"] <= leaf_capacity
-    if not small:
-        pos = pos.checkpoint(eager=True)
+    pos = scratch.table(pos, "positions")
     pos_norm = pos.select("x", "y", "q", ((F.col("x") - F.lit(x0)) / F.lit(span)).alias("nx"),
                           ((F.col("y") - F.lit(y0)) / F.lit(span)).alias("ny"))
     if depth is not None:
         L = depth
-    elif small:
-        L = 0                       # one cell: everything is summed directly (at most capacity^2 pairs)
     else:
         L = choose_depth(pos_norm, int(bb["n"]), leaf_capacity, max_depth)
         if radius_n is not None and L > 0:
@@ -353,7 +349,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     # above it (down to l0) only which cells are non-empty is needed
     cells: dict[int, DataFrame] = {}
     if first_t is not None:
-        every = _cells_all_levels(leaf, L, first_t, terms).checkpoint(eager=True)
+        every = scratch.table(_cells_all_levels(leaf, L, first_t, terms), "cells", partition_by="lvl")
         for lvl in range(first_t, L + 1):
             cells[lvl] = every.filter(F.col("lvl") == lvl).drop("lvl")
     for lvl in range(l0, L + 1):
@@ -381,11 +377,12 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
         else:
             cand = _refine(open_pairs, cells[lvl])
         if translates(lvl):
-            cand = cand.filter(keep).select("tx", "ty", "sx", "sy", far.alias("far")).checkpoint(eager=True)
+            cand = cand.filter(keep).select("tx", "ty", "sx", "sy", far.alias("far"))
+            cand = scratch.table(cand, "pairs")
             m2l = _m2l(cand.filter("far"), cells[lvl], lvl, terms)
             local = m2l if local is None else _add_locals(_l2l(local, cells[lvl], terms), m2l, terms)
             # materialised per level: keeps every job's plan one level deep
-            local = local.checkpoint(eager=True)
+            local = scratch.table(local, "local")
             open_pairs = cand.filter(~F.col("far")).select("tx", "ty", "sx", "sy")
         else:
             # used once, by the next refinement: stays lazy

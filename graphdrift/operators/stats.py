@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..session import ensure_checkpoint_dir, materialize_bucketed
+from ..session import Scratch
 from . import build
 
 
 def degree(g: Graph) -> DataFrame:
     """(id, in_degree, out_degree, degree) counting every link (self-links count at both ends)."""
-    ends = g.edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
-        g.edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    both = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+                             F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"))))
+    ends = g.edges.select(both.alias("e")).select("e.id", "e.i", "e.o")
     d = ends.groupBy("id").agg(F.sum("i").cast("long").alias("in_degree"), F.sum("o").cast("long").alias("out_degree"))
     v = g.vertices.select("id").join(d, "id", "left")
     i = F.coalesce(F.col("in_degree"), F.lit(0).cast("long"))
@@ -23,68 +22,64 @@ def degree(g: Graph) -> DataFrame:
     return v.select("id", i.alias("in_degree"), o.alias("out_degree"), (i + o).alias("degree"))
 
 
-def label_propagation(g: Graph, rounds: int = 5, checkpoint: bool = True) -> DataFrame:
+def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
     """(id, module): synchronous label propagation on the undirected simple graph.
 
     Start: module = id.  Each round every vertex takes the module held by most of its
     neighbours, ties broken by the smallest module; vertices without neighbours keep
     theirs.  The arg-max is an aggregation of max(struct(count, -module)) per vertex, so a
-    hub's candidates are combined map-side and never gathered into one task.
+    hub's candidates are combined map-side and never gathered into one task; the join of links
+    and labels is an ordinary shuffle join, which AQE splits at a hub.  Every round's labels
+    are a work table, deleted after the next round; the last one is the result.
     """
-    if checkpoint:
-        ensure_checkpoint_dir(g.vertices.sparkSession)
-    pairs = build.undirected_pairs(g.edges)
-    labels = g.vertices.select("id", F.col("id").alias("module"))
-    buckets = None
-    if checkpoint:
-        # pairs bucketed by src and labels by id: the per-round join reads both without a
-        # shuffle.  One bucket per 100k vertices, at most one per shuffle partition.
-        parts = int(g.vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(parts, max(1, math.ceil(g.vertices.count() / 100_000)))
-        pairs = materialize_bucketed(pairs, "src", "lp_pairs", buckets)
-        labels = materialize_bucketed(labels, "id", "lp_labels0", buckets)
+    spark = g.vertices.sparkSession
+    links = Scratch(spark)
+    pairs = links.table(build.undirected_pairs(g.edges), "lp_pairs")
+    labels, work = g.vertices.select("id", F.col("id").alias("module")), None
     for r in range(1, rounds + 1):
         votes = (pairs.join(labels.select(F.col("id").alias("src"), "module"), "src")
                  .groupBy(F.col("dst").alias("id"), "module").agg(F.count(F.lit(1)).alias("votes")))
         best = votes.groupBy("id").agg(F.max(F.struct(F.col("votes"), (-F.col("module")).alias("neg"))).alias("b"))
-        labels = labels.join(best, "id", "left").select(
-            "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module"))
-        if checkpoint:
-            labels = materialize_bucketed(labels, "id", f"lp_labels{r}", buckets)
+        before, work = work, Scratch(spark)
+        labels = work.table(labels.join(best, "id", "left").select(
+            "id", F.coalesce(-F.col("b.neg"), F.col("module")).alias("module")), f"lp_labels{r}")
+        if before is not None:
+            before.drop()
+    links.drop()
     return labels
 
 
-def oriented_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Simple undirected graph with each edge oriented from lower to higher (degree, id)
-    rank, plus the undirected degree per vertex."""
+def oriented_edges(g: Graph) -> DataFrame:
+    """(u, v, du, dv): simple undirected graph with each edge oriented from lower to higher
+    (degree, id) rank, with both undirected degrees."""
     pairs = build.undirected_pairs(g.edges)
     deg = pairs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    r = pairs.join(deg.select(F.col("id").alias("src"), F.col("deg").alias("ds")), "src") \
-             .join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("dd")), "dst")
-    lower = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    return r.filter(lower).select(F.col("src").alias("u"), F.col("dst").alias("v")), deg
+    r = pairs.join(deg.select(F.col("id").alias("src"), F.col("deg").alias("du")), "src") \
+             .join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("dv")), "dst")
+    lower = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("src") < F.col("dst")))
+    return r.filter(lower).select(F.col("src").alias("u"), F.col("dst").alias("v"), "du", "dv")
 
 
-def triangles(g: Graph) -> DataFrame:
-    """(id, triangles) via degree-ordered wedges: every vertex only pairs neighbours of
-    higher rank, which bounds the wedges of a hub by sqrt(2m) per vertex; each triangle is
-    found once at its lowest-rank corner and credited to its three corners."""
-    oe, _ = oriented_edges(g)
-    w = (oe.alias("a").join(oe.alias("b"), F.col("a.u") == F.col("b.u"))
-         .filter(F.col("a.v") != F.col("b.v"))
-         .select(F.col("a.u").alias("u"), F.col("a.v").alias("v"), F.col("b.v").alias("w")))
-    closed = w.join(oe.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
+def triangles(oriented: DataFrame) -> DataFrame:
+    """(id, triangles) from oriented edges via degree-ordered wedges: every vertex only pairs
+    neighbours of higher rank, of which no vertex has more than sqrt(2m), and each such pair once,
+    in the order of rank.  A triangle is found at its lowest-rank corner and credited to all three."""
+    a = oriented.select("u", "v", F.struct("dv", "v").alias("rv"))
+    b = oriented.select("u", F.col("v").alias("w"), F.struct("dv", "v").alias("rw"))
+    wedges = a.join(b, "u").filter(F.col("rv") < F.col("rw")).select("u", "v", "w")
+    closed = wedges.join(oriented.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
     corners = closed.select(F.explode(F.array("u", "v", "w")).alias("id"))
-    # a wedge appears as (v, w) and (w, v); only the one matching the oriented closing
-    # edge v -> w survives, so each triangle is counted exactly once
     return corners.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 def clustering_coefficient(g: Graph) -> DataFrame:
-    """(id, degree, triangles, clustering) with c = 2 t / (d (d - 1)), 0 when d < 2."""
-    _, deg = oriented_edges(g)
-    t = triangles(g)
-    v = g.vertices.select("id").join(deg, "id", "left").join(t, "id", "left")
+    """(id, degree, triangles, clustering) with c = 2 t / (d (d - 1)), 0 when d < 2.  The oriented
+    edges are derived once, as a work table."""
+    oriented = Scratch(g.vertices.sparkSession).table(oriented_edges(g), "oriented")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("du").alias("deg")),
+                             F.struct(F.col("v").alias("id"), F.col("dv").alias("deg"))))
+    deg = oriented.select(ends.alias("e")).select("e.id", "e.deg").groupBy("id").agg(F.first("deg").alias("deg"))
+    v = g.vertices.select("id").join(deg, "id", "left").join(triangles(oriented), "id", "left")
     d = F.coalesce(F.col("deg"), F.lit(0).cast("long"))
     tr = F.coalesce(F.col("triangles"), F.lit(0).cast("long"))
     c = F.when(d >= 2, F.lit(2.0) * tr / (d * (d - F.lit(1)))).otherwise(F.lit(0.0))

@@ -44,14 +44,18 @@ def bounds_of(params: LayoutParams) -> tuple[float, float, float, float] | None:
     return None
 
 
+def new_position(sx, sy, params: LayoutParams):
+    """(x, y) after a step: on the grid of step ``eps``, inside the bounds."""
+    nx, ny = vec.on_grid(F.col("x") + sx, params.eps), vec.on_grid(F.col("y") + sy, params.eps)
+    b = bounds_of(params)
+    return (nx, ny) if b is None else (vec.clamp(nx, b[0], b[1]), vec.clamp(ny, b[2], b[3]))
+
+
 def move(vertices: DataFrame, steps: DataFrame, params: LayoutParams) -> DataFrame:
     """New position = clamp(p + step); the vertex keeps (-step) in dx, dy so the trail
     can be drawn.  Vertices without a step keep their position and get (0, 0)."""
     j = vertices.select("id", "label", "x", "y").join(steps, "id", "left")
     sx = F.coalesce(F.col("sx"), F.lit(0.0))
     sy = F.coalesce(F.col("sy"), F.lit(0.0))
-    nx, ny = F.col("x") + sx, F.col("y") + sy
-    b = bounds_of(params)
-    if b is not None:
-        nx, ny = vec.clamp(nx, b[0], b[1]), vec.clamp(ny, b[2], b[3])
+    nx, ny = new_position(sx, sy, params)
     return j.select("id", "label", nx.alias("x"), ny.alias("y"), (-sx).alias("dx"), (-sy).alias("dy"))

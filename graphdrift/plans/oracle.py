@@ -9,12 +9,7 @@ same doubles.
 
 from __future__ import annotations
 
-import math
-
 from ..model import LayoutParams
-from ..operators.build import POSITION_MULTIPLIER_X, POSITION_MULTIPLIER_Y
-from ..sources.edgelist import SAMPLE_BUCKETS, SAMPLE_MULTIPLIER_DST, SAMPLE_MULTIPLIER_SRC
-from ..sources.views import FUNCTIONAL_YEAR
 from . import queries as Q
 
 
@@ -27,15 +22,25 @@ def r4(expr: str, alias: str) -> str:
     return f"ROUND({expr}, 4) + 0.0 AS \"{alias}\""
 
 
-def pos(id_expr: str, width: float, height: float, seed: int = 0) -> str:
-    return (f"CAST((({id_expr}) * {POSITION_MULTIPLIER_X} + {seed}) % {int(width)} AS DOUBLE) AS x, "
-            f"CAST((({id_expr}) * {POSITION_MULTIPLIER_Y} + {seed}) % {int(height)} AS DOUBLE) AS y")
+def unit_hash(*parts: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12) AS BIGINT) AS DOUBLE) / {d(1 << 48)})"
+
+
+def on_grid(expr: str, eps: float) -> str:
+    return f"(floor(({expr}) / {d(eps)} + {d(0.5)}) * {d(eps)})"
+
+
+def pos(id_expr: str, width: float, height: float, seed: int = 0, bounds: str = "center", eps: float = 1e-4) -> str:
+    x0, y0 = (-width / 2, -height / 2) if bounds == "center" else (0.0, 0.0)
+    draw = lambda axis, lo, size: on_grid(
+        f"{d(lo)} + {unit_hash(str(seed), repr(axis), f'CAST({id_expr} AS VARCHAR)')} * {d(size)}", eps)
+    return f"{draw('x', x0, width)} AS x, {draw('y', y0, height)} AS y"
 
 
 # ----------------------------------------------------------------------------- views
 
-def v_trade(width=10000.0, height=10000.0, seed=0):
-    return (f"SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS label, {pos('CAST(n_nationkey AS BIGINT)', width, height, seed)}, "
+def v_trade(width=10000.0, height=10000.0, seed=0, bounds="center"):
+    return (f"SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS label, {pos('n_nationkey', width, height, seed, bounds)}, "
             f"{d(0)} AS dx, {d(0)} AS dy FROM nation")
 
 
@@ -43,20 +48,16 @@ LI_NATION = ("SELECT l_orderkey, s_nationkey, COUNT(*) AS n_items, SUM(l_extende
              "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey, s_nationkey")
 
 
-def order_nation(year=None):
-    where = ""
-    if year is not None:
-        where = f" WHERE o_orderdate >= TIMESTAMP '{year}-01-01' AND o_orderdate < TIMESTAMP '{year + 1}-01-01'"
-    return f"SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey{where}"
+ORDER_NATION = "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 E_TRADE = (f"SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, "
-           f"CAST(SUM(n_items) AS DOUBLE) AS weight FROM ({LI_NATION}) li JOIN ({order_nation()}) oc "
+           f"CAST(SUM(n_items) AS DOUBLE) AS weight FROM ({LI_NATION}) li JOIN ({ORDER_NATION}) oc "
            f"ON l_orderkey = o_orderkey GROUP BY s_nationkey, c_nationkey")
 
 E_TRADE_FUNC = (f"SELECT src, dst, w / MAX(w) OVER () AS weight FROM ("
                 f"SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, SUM(revenue) AS w "
-                f"FROM ({LI_NATION}) li JOIN ({order_nation(FUNCTIONAL_YEAR)}) oc ON l_orderkey = o_orderkey "
+                f"FROM ({LI_NATION}) li JOIN ({ORDER_NATION}) oc ON l_orderkey = o_orderkey "
                 f"GROUP BY s_nationkey, c_nationkey) t")
 
 
@@ -89,7 +90,7 @@ def lines(with_comments: bool) -> str:
           "CAST(l_quantity AS VARCHAR)) AS value FROM lineitem")
     if not with_comments:
         return li
-    return li + " UNION ALL SELECT '# order ' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'"
+    return li + " UNION ALL SELECT '# order ' || CAST(o_orderkey AS VARCHAR) FROM orders"
 
 
 PARSE = (f"SELECT CAST(split_part(value, chr(9), 1) AS BIGINT) AS src, CAST(split_part(value, chr(9), 2) AS BIGINT) AS dst, "
@@ -131,6 +132,15 @@ def rep_term(dx: str, dy: str, k: str, p: LayoutParams) -> tuple[str, str]:
     return f"{f} * ({dx})", f"{f} * ({dy})"
 
 
+def rep_neighbors(v: str, e: str, k: str, p: LayoutParams) -> str:
+    """(id, dx, dy): from linked vertices, each neighbour once."""
+    nx, ny = rep_term("s.x - t.x", "s.y - t.y", k, p)
+    pairs = UNDIRECTED.format(e=e)
+    return (f"SELECT a.id, COALESCE(f.fx, 0) AS dx, COALESCE(f.fy, 0) AS dy FROM {v} a LEFT JOIN (SELECT pr.src AS id, "
+            f"SUM({nx}) AS fx, SUM({ny}) AS fy FROM ({pairs}) pr JOIN {v} s ON pr.src = s.id JOIN {v} t ON pr.dst = t.id "
+            f"GROUP BY pr.src) f ON a.id = f.id")
+
+
 def attr_links(v: str, e: str, k: str, p: LayoutParams, weighted: bool) -> str:
     dx, dy = "(s.x - t.x)", "(s.y - t.y)"
     l = f"GREATEST({d(p.eps)}, sqrt({dx} * {dx} + {dy} * {dy}))"
@@ -160,7 +170,8 @@ def grav(x: str, y: str, p: LayoutParams) -> tuple[str, str]:
 
 def parts(v: str, e: str, k: str, p: LayoutParams) -> str:
     """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy)."""
-    rep = rep_radius(v, k, p) if p.repulsion == "radius" else rep_all(v, k, p)
+    rep = {"radius": lambda: rep_radius(v, k, p), "all": lambda: rep_all(v, k, p),
+           "neighbors": lambda: rep_neighbors(v, e, k, p)}[p.repulsion]()
     att = (attr_target if p.attraction == "target" else attr_both)(v, e, k, p, p.weighted)
     gx, gy = grav("vv.x", "vv.y", p)
     return (f"SELECT vv.id, vv.label, vv.x, vv.y, r.dx AS rep_dx, r.dy AS rep_dy, a.dx AS attr_dx, a.dy AS attr_dy, "
@@ -191,6 +202,7 @@ def bounds(p: LayoutParams):
 
 def moved(expr_x: str, expr_y: str, p: LayoutParams) -> tuple[str, str]:
     b = bounds(p)
+    expr_x, expr_y = on_grid(expr_x, p.eps), on_grid(expr_y, p.eps)
     if b is None:
         return expr_x, expr_y
     return clamp(expr_x, b[0], b[1]), clamp(expr_y, b[2], b[3])
@@ -316,11 +328,8 @@ def build_oracle() -> dict[str, str]:
     o["edge_list_parse"] = with_(("lines", lines(False)), body=PARSE)
     o["edge_list_comments"] = with_(("lines", f"SELECT * FROM ({lines(True)}) x WHERE NOT starts_with(value, '#')"),
                                     body=PARSE)
-    h = (f"((src * {SAMPLE_MULTIPLIER_SRC} + dst * {SAMPLE_MULTIPLIER_DST}) % {SAMPLE_BUCKETS} + {SAMPLE_BUCKETS}) "
-         f"% {SAMPLE_BUCKETS}")
-    o["edge_sample_hash"] = with_(("lines", f"SELECT * FROM ({lines(True)}) x WHERE NOT starts_with(value, '#')"),
-                                  ("parsed", PARSE),
-                                  body=f"SELECT * FROM parsed WHERE {h} < {int(round(Q.SAMPLE_FRACTION * SAMPLE_BUCKETS))}")
+    o["edge_sample"] = with_(("lines", f"SELECT * FROM ({lines(True)}) x WHERE NOT starts_with(value, '#') AND "
+                                       f"{unit_hash(str(Q.SAMPLE_SEED), 'value')} < {d(Q.SAMPLE_FRACTION)}"), body=PARSE)
     o["functional_layer"] = f"SELECT src, dst, {r4('weight', 'weight')} FROM ({E_TRADE_FUNC}) t"
 
     o["vertices_from_edges"] = (f"SELECT DISTINCT id, 'defaultProperty' AS label FROM (SELECT src AS id FROM ({E_SUPPLY}) a "
@@ -331,17 +340,16 @@ def build_oracle() -> dict[str, str]:
         body=(f"SELECT COALESCE(v.id, i.id) AS id, COALESCE(v.label, 'NONODE') AS label, "
               f"{r4('COALESCE(v.x, 0.0)', 'x')}, {r4('COALESCE(v.y, 0.0)', 'y')}, {r4('COALESCE(v.dx, 0.0)', 'dx')}, "
               f"{r4('COALESCE(v.dy, 0.0)', 'dy')} FROM v FULL OUTER JOIN ids i ON v.id = i.id"))
+    raw = ("raw", "SELECT CAST(split_part(value, chr(9), 1) AS BIGINT) AS src, CAST(split_part(value, chr(9), 2) AS BIGINT) "
+                  "AS dst, CAST(split_part(value, chr(9), 3) AS DOUBLE) AS weight FROM lines")
+    ids = ("ids", "SELECT src AS id FROM raw UNION SELECT dst FROM raw")
+    converted = (f"SELECT id, CAST(id AS VARCHAR) AS label, {pos('id', T.width, T.height)}, {d(0)} AS dx, {d(0)} AS dy FROM ids")
     o["graph_convert"] = with_(
-        ("lines", lines(False)),
-        ("raw", "SELECT CAST(split_part(value, chr(9), 1) AS BIGINT) AS src, CAST(split_part(value, chr(9), 2) AS BIGINT) AS dst FROM lines"),
-        ("ids", "SELECT src AS id FROM raw UNION SELECT dst FROM raw"),
-        body=(f"SELECT id, CAST(id AS VARCHAR) AS label, {r4(f'CAST((id * {POSITION_MULTIPLIER_X}) % {int(T.width)} AS DOUBLE)', 'x')}, "
-              f"{r4(f'CAST((id * {POSITION_MULTIPLIER_Y}) % {int(T.height)} AS DOUBLE)', 'y')}, "
-              f"{r4('0.0', 'dx')}, {r4('0.0', 'dy')} FROM ids"))
-    o["positions_shuffle"] = (
-        f"SELECT id, label, {r4(f'CAST((id * {POSITION_MULTIPLIER_X} + {Q.SHUFFLE_SEED}) % {int(T.width)} AS DOUBLE)', 'x')}, "
-        f"{r4(f'CAST((id * {POSITION_MULTIPLIER_Y} + {Q.SHUFFLE_SEED}) % {int(T.height)} AS DOUBLE)', 'y')} "
-        f"FROM ({v_supply()}) v")
+        ("lines", lines(False)), raw, ids, ("v", converted),
+        ("w", "SELECT src, SUM(weight) AS weight_out FROM raw GROUP BY src"),
+        body=(f"SELECT id, label, {r4('x', 'x')}, {r4('y', 'y')}, {r4('dx', 'dx')}, {r4('dy', 'dy')}, "
+              f"{r4('COALESCE(weight_out, 0.0)', 'weight_out')} FROM v LEFT JOIN w ON v.id = w.src"))
+    o["positions_shuffle"] = (f"SELECT id, label, {r4('x', 'x')}, {r4('y', 'y')} FROM ({v_supply(seed=Q.SHUFFLE_SEED)}) v")
     o["edges_symmetric"] = (f"SELECT DISTINCT src, dst, {d(1)} AS weight FROM (SELECT src, dst FROM ({E_TRADE}) a "
                             f"UNION ALL SELECT dst, src FROM ({E_TRADE}) b) u")
     o["graph_size"] = (f"SELECT (SELECT COUNT(*) FROM ({v_supply()}) v) AS n_vertices, "
@@ -368,12 +376,6 @@ def build_oracle() -> dict[str, str]:
                          f"FROM ({v_supply()}) v")
     rad = Q.RADIUS
     rx, ry = rep_term("a.x - b.x", "a.y - b.y", ks, T)
-    o["repulsion_pairs"] = with_(
-        ("v", v_supply()), ("p", "SELECT x, y, COUNT(*) AS q FROM v GROUP BY x, y"),
-        body=(f"SELECT b.q, {r4('a.x', 'x')}, {r4('a.y', 'y')}, {r4('b.x', 'ox')}, {r4('b.y', 'oy')}, "
-              f"{r4(f'b.q * {rx}', 'fx')}, {r4(f'b.q * {ry}', 'fy')} FROM p a JOIN p b "
-              f"ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {d(rad * rad)} "
-              f"AND (a.x <> b.x OR a.y <> b.y)"))
     o["repulsion_all_pairs"] = with_(("v", v_supply()), body=(
         f"SELECT id, {r4('dx', 'dx')}, {r4('dy', 'dy')} FROM ({rep_all('v', ks, T)}) r"))
     nx_, ny_ = rep_term("s.x - t.x", "s.y - t.y", ks, T)
@@ -397,11 +399,6 @@ def build_oracle() -> dict[str, str]:
     p, base = _trade_total_ctes()
     o["force_total"] = with_(*base, body=f"SELECT id, {r4('dx', 'dx')}, {r4('dy', 'dy')} FROM tot")
 
-    sched_k = f"{d(T.kf)} * sqrt({d(T.area)} / (SELECT COUNT(*) FROM ({v_supply()}) v))"
-    t0 = T.cf * math.sqrt(T.area)
-    o["cooling_schedule"] = (
-        f"SELECT CAST(i AS BIGINT) AS iteration, {r4(f'(1.0 - i / {d(T.iterations)}) * {d(t0)}', 'temperature')}, "
-        f"{r4(sched_k, 'k')} FROM range(0, {T.iterations + 1}) r(i)")
     o["displacement_length"] = with_(*base, body=(
         f"SELECT id, {r4('dx', 'dx')}, {r4('dy', 'dy')}, {r4('sqrt(dx * dx + dy * dy)', 'length')} FROM tot"))
     fac = factor(p, 1, p.temperature(0))
@@ -420,10 +417,17 @@ def build_oracle() -> dict[str, str]:
 
     o["layout_fr_1"] = layout_sql(v_trade(), E_TRADE, T.but(iterations=1))
     o["layout_fr_3"] = layout_sql(v_trade(), E_TRADE, T.but(iterations=3))
-    o["layout_fr_unit"] = layout_sql(v_trade(Q.UNIT.width, Q.UNIT.height), E_TRADE, Q.UNIT)
+    o["layout_fr_unit"] = layout_sql(v_trade(Q.UNIT.width, Q.UNIT.height, bounds=Q.UNIT.bounds), E_TRADE, Q.UNIT)
     o["layout_early_stop"] = layout_sql(v_trade(), E_TRADE, T.but(max_iterations=2))
     o["layout_radius"] = layout_sql(v_supply(), E_SUPPLY, T.but(iterations=2, repulsion="radius", radius=Q.RADIUS))
     o["layout_shuffled"] = layout_sql(v_trade(seed=Q.SHUFFLE_SEED), E_TRADE, T.but(iterations=2, seed=Q.SHUFFLE_SEED))
+    for name, p_ in Q.VARIANTS.items():
+        o[name] = layout_sql(v_supply(), E_SUPPLY, p_)
+    ctes, last, _ = layout_ctes("v0", "e", Q.JOB)
+    o["edge_list_layout"] = with_(
+        ("lines", f"SELECT * FROM ({lines(True)}) x WHERE NOT starts_with(value, '#')"), raw, ids, ("v0", converted),
+        ("e", "SELECT src, dst, weight FROM raw"), *ctes, body=(
+            f"SELECT label AS Id, {r4('x', 'X')}, {r4('y', 'Y')}, {r4('dx', 'dX')}, {r4('dy', 'dY')} FROM {last}"))
     pt = T.but(iterations=2)
     ctes, _, _ = layout_ctes("v0", "e", pt)
     tr = []
@@ -434,13 +438,20 @@ def build_oracle() -> dict[str, str]:
     o["layout_trace"] = with_(("v0", v_trade()), ("e", E_TRADE), *ctes, ("tr", " UNION ALL ".join(tr)), body=(
         f"SELECT iteration, phase, id, {r4('x', 'x')}, {r4('y', 'y')}, {r4('dx', 'dx')}, {r4('dy', 'dy')} FROM tr"))
     pr3 = T.but(iterations=3)
-    ctes, _, _ = layout_ctes("v0", "e", pr3)
-    rp = [f"SELECT {t} AS iteration, {d(pr3.temperature(t - 1))} AS temperature, COUNT(*) AS n, "
+    ctes, _, k3 = layout_ctes("v0", "e", pr3)
+    rp = [f"SELECT {t} AS iteration, {d(pr3.temperature(t - 1))} AS temperature, {k3} AS k, COUNT(*) AS n, "
+          f"(SELECT COUNT(*) FROM e) AS n_edges, "
           f"SUM(sqrt(sx * sx + sy * sy)) AS total_step, MAX(sqrt(sx * sx + sy * sy)) AS max_step FROM f{t}"
           for t in range(1, pr3.rounds + 1)]
-    o["layout_report"] = with_(("v0", v_trade()), ("e", E_TRADE), *ctes, ("rp", " UNION ALL ".join(rp)), body=(
-        f"SELECT iteration, n, {r4('temperature', 'temperature')}, {r4('total_step', 'total_step')}, "
-        f"{r4('max_step', 'max_step')} FROM rp"))
+    base3 = [("v0", v_trade()), ("e", E_TRADE), *ctes, ("rp", " UNION ALL ".join(rp))]
+    o["layout_report"] = with_(*base3, body=(
+        f"SELECT iteration, n, n_edges, {r4('temperature', 'temperature')}, {r4('k', 'k')}, "
+        f"{r4('total_step', 'total_step')}, {r4('max_step', 'max_step')} FROM rp"))
+    planned = (f"SELECT CAST(i AS BIGINT) AS iteration, (1.0 - i / {d(pr3.iterations)}) * {d(pr3.temperature(0))} AS planned "
+               f"FROM range(0, {pr3.iterations + 1}) r(i)")
+    o["cooling_schedule"] = with_(*base3, ("plan", planned), body=(
+        f"SELECT plan.iteration, {r4('planned', 'temperature')}, {r4('COALESCE(rp.max_step, 0.0)', 'max_step')} "
+        f"FROM plan LEFT JOIN rp ON plan.iteration + 1 = rp.iteration"))
 
     o["degree"] = with_(("v", v_supply()), ("e", E_SUPPLY), body=degree_sql("v", "e"))
     lp, lpn = lp_ctes("v", "e", Q.LP_ROUNDS)
@@ -485,7 +496,7 @@ def build_oracle() -> dict[str, str]:
         f"SELECT id AS ID, 'rep' AS label, 1 AS iteration, {r4('dx', 'dX')}, {r4('dy', 'dY')} "
         f"FROM ({rep_all('v', k_expr('v', T), T)}) r"))
     ctes, last, _ = layout_ctes("v0", "e", Q.UNIT)
-    o["export_layout_nodes"] = with_(("v0", v_trade(Q.UNIT.width, Q.UNIT.height)), ("e", E_TRADE), *ctes, body=(
+    o["export_layout_nodes"] = with_(("v0", v_trade(Q.UNIT.width, Q.UNIT.height, bounds=Q.UNIT.bounds)), ("e", E_TRADE), *ctes, body=(
         f"SELECT label, {r4('x', 'posX')}, {r4('y', 'posY')} FROM {last}"))
     o["export_layout_links"] = f"SELECT src AS SOURCE, dst AS TARGET, {d(1)} AS WEIGHT FROM ({E_TRADE}) e"
     o["inspect_links"] = with_(("v", v_trade()), ("e", E_TRADE), body=(

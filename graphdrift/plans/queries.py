@@ -29,6 +29,15 @@ LP_ROUNDS = 5
 UNIT = LayoutParams(width=1000.0, height=1000.0, rep_scale=0.0001, attr_scale=0.00001, step="unit",
                     bounds="none", iterations=3)
 LAYER_ITERATIONS = 2
+# Layouts of the part-supplier graph, one for each kind of force, step and bounds.
+VARIANTS = {
+    "layout_all_pairs_supply": TRADE.but(iterations=2),
+    "layout_gravity": TRADE.but(iterations=2, gravity=GRAVITY),
+    "layout_inverse_corner": TRADE.but(iterations=2, step="inverse_iteration", bounds="corner", repulsion="neighbors"),
+    "layout_target_only": TRADE.but(iterations=2, attraction="target", repulsion="neighbors"),
+    "layout_neighbors": TRADE.but(iterations=2, repulsion="neighbors"),
+}
+JOB = TRADE.but(iterations=1, weighted=True)
 
 
 def _r(df: DataFrame, keep: list[str], rnd: list[str]) -> DataFrame:
@@ -54,11 +63,6 @@ def q_edge_sample(spark, d):
     return edgelist.parse_edge_lines(edgelist.sample_lines(lines, SAMPLE_FRACTION, SAMPLE_SEED))
 
 
-def q_edge_sample_hash(spark, d):
-    e = edgelist.parse_edge_lines(edgelist.drop_comments(views.edge_lines(spark, d, with_comments=True)))
-    return edgelist.hash_sample_edges(e, SAMPLE_FRACTION)
-
-
 def q_functional_layer(spark, d):
     return _r(views.trade_functional_edges(spark, d), ["src", "dst"], ["weight"])
 
@@ -74,13 +78,18 @@ def q_graph_complete(spark, d):
     return _r(g.vertices, ["id", "label"], ["x", "y", "dx", "dy"])
 
 
-def q_graph_convert(spark, d):
-    lines = views.edge_lines(spark, d, with_comments=False)
+def _raw_edges(lines):
     parts = F.split(F.col("value"), "\t")
-    raw = lines.select(parts.getItem(0).cast("long").alias("src"), parts.getItem(1).cast("long").alias("dst"),
-                       parts.getItem(2).alias("weight"))
-    g = build.convert(raw, TRADE.width, TRADE.height)
-    return _r(g.vertices, ["id", "label"], ["x", "y", "dx", "dy"])
+    return lines.select(parts.getItem(0).cast("long").alias("src"), parts.getItem(1).cast("long").alias("dst"),
+                        parts.getItem(2).alias("weight"))
+
+
+def q_graph_convert(spark, d):
+    """Converted vertices, with the sum of the converted weights of the links each one starts."""
+    g = build.convert(_raw_edges(views.edge_lines(spark, d, with_comments=False)), TRADE.width, TRADE.height)
+    w = g.edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("weight_out"))
+    v = g.vertices.join(w, "id", "left").withColumn("weight_out", F.coalesce("weight_out", F.lit(0.0)))
+    return _r(v, ["id", "label"], ["x", "y", "dx", "dy", "weight_out"])
 
 
 def q_positions_shuffle(spark, d):
@@ -123,12 +132,6 @@ def q_ideal_length(spark, d):
     return _r(forces.ideal_length_frame(views.supply_vertices(spark, d), TRADE), ["n"], ["k"])
 
 
-def q_repulsion_pairs(spark, d):
-    g = views.supply(spark, d)
-    pairs = forces.repulsion_position_pairs(g.vertices, _k(g, TRADE), TRADE, RADIUS)
-    return _r(pairs, ["q"], ["x", "y", "ox", "oy", "fx", "fy"])
-
-
 def q_repulsion_all_pairs(spark, d):
     g = views.supply(spark, d)
     return _r(forces.repulsion_all(g.vertices, _k(g, TRADE), TRADE), ["id"], ["dx", "dy"])
@@ -176,10 +179,13 @@ def q_force_total(spark, d):
 # ----------------------------------------------------------------------------- step
 
 def q_cooling_schedule(spark, d):
-    n = views.supply_vertices(spark, d).select(F.count(F.lit(1))).scalar()
-    k = F.lit(TRADE.kf) * F.sqrt(F.lit(TRADE.area) / n)
-    return _r(step.cooling_schedule(spark, TRADE).select("iteration", "temperature", k.alias("k")),
-              ["iteration"], ["temperature", "k"])
+    """The cooling plan beside the longest step a run of it took at each temperature (after the
+    last one there is none)."""
+    p = TRADE.but(iterations=3)
+    run = layout.layout(views.trade(spark, d), p, report=True).report
+    run = run.select((F.col("iteration") - 1).cast("long").alias("iteration"), "max_step")
+    plan = step.cooling_schedule(spark, p).join(run, "iteration", "left")
+    return _r(plan.withColumn("max_step", F.coalesce("max_step", F.lit(0.0))), ["iteration"], ["temperature", "max_step"])
 
 
 def q_displacement_length(spark, d):
@@ -227,7 +233,7 @@ def q_layout_fr_3(spark, d):
 
 
 def q_layout_fr_unit(spark, d):
-    return _layout_vertices(layout.layout(views.trade(spark, d, UNIT.width, UNIT.height), UNIT))
+    return _layout_vertices(layout.layout(views.trade(spark, d, UNIT.width, UNIT.height, bounds=UNIT.bounds), UNIT))
 
 
 def q_layout_early_stop(spark, d):
@@ -245,6 +251,21 @@ def q_layout_radius(spark, d):
     return _layout_vertices(layout.layout(views.supply(spark, d), p))
 
 
+def _variant(name):
+    def run(spark, d):
+        return _layout_vertices(layout.layout(views.supply(spark, d), VARIANTS[name]))
+    return run
+
+
+def q_edge_list_layout(spark, d):
+    """The edge-list job over derived text: comments dropped, lines converted, laid out, node table."""
+    lines = edgelist.drop_comments(views.edge_lines(spark, d, with_comments=True))
+    g = build.convert(_raw_edges(lines), JOB.width, JOB.height, JOB.seed, JOB.bounds, JOB.eps)
+    v = layout.layout(g, JOB, complete=False).graph.vertices
+    return _r(v.select(F.col("label").alias("Id"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("dx").alias("dX"),
+                       F.col("dy").alias("dY")), ["Id"], ["X", "Y", "dX", "dY"])
+
+
 def q_layout_trace(spark, d):
     res = layout.layout(views.trade(spark, d), TRADE.but(iterations=2), trace=True)
     return _r(res.trace, ["iteration", "phase", "id"], ["x", "y", "dx", "dy"])
@@ -252,7 +273,7 @@ def q_layout_trace(spark, d):
 
 def q_layout_report(spark, d):
     res = layout.layout(views.trade(spark, d), TRADE.but(iterations=3), report=True)
-    return _r(res.report, ["iteration", "n"], ["temperature", "total_step", "max_step"])
+    return _r(res.report, ["iteration", "n", "n_edges"], ["temperature", "k", "total_step", "max_step"])
 
 
 # ----------------------------------------------------------------------------- statistics
@@ -335,7 +356,7 @@ def q_export_displacements(spark, d):
 
 
 def q_export_layout_nodes(spark, d):
-    res = layout.layout(views.trade(spark, d, UNIT.width, UNIT.height), UNIT)
+    res = layout.layout(views.trade(spark, d, UNIT.width, UNIT.height, bounds=UNIT.bounds), UNIT)
     return _r(export.layout_nodes(res.graph.vertices), ["label"], ["posX", "posY"])
 
 
@@ -349,7 +370,4 @@ def q_inspect_links(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
-}
-
-# Queries whose result depends on Spark's partition-local sampler: row-count check only.
-ROWS_ONLY = {"edge_sample"}
+} | {name: _variant(name) for name in VARIANTS}

@@ -7,7 +7,6 @@ has none (tests, local runs).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -36,42 +35,63 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _scheme(spark: SparkSession, folder: str) -> str:
+    """Scheme of the file system a folder is on (the default one if it names none)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only where none is configured.
+    """Return the shared folder for checkpoints and work tables.
 
-    Order: the SparkContext's folder, then ``spark.checkpoint.dir`` from the session
-    conf; only when both are unset and the master is local (tests) a fresh temporary
-    folder is used.  On a cluster an unset folder is an error, never a machine-local path.
+    Order: the SparkContext's folder, then ``spark.checkpoint.dir`` from the session.  Only in
+    local mode, and only when both are unset, a fresh temporary folder is made.  On a cluster an
+    unset folder, or one on the machines' own file systems (``file:``), is an error.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if not configured:
-        if not sc.master.startswith("local"):
+    local = sc.master.startswith("local")
+    folder = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not folder:
+        if not local:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="graphdrift-ckpt-")   # local mode only
-    if "://" not in configured:
-        os.makedirs(configured, exist_ok=True)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        folder = tempfile.mkdtemp(prefix="graphdrift-ckpt-")
+    if not local and _scheme(spark, folder) == "file":
+        raise ValueError(f"{CHECKPOINT_CONF} ({folder}) is on each machine's own disk; use a shared file system")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
+
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def materialize_bucketed(df: DataFrame, key: str, name_hint: str, buckets: int | None = None) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key`` under the checkpoint folder and read it back.
 
-    Used instead of ``checkpoint()`` inside iterative jobs: like a checkpoint it cuts the
-    lineage and survives executor loss (the files live in the shared folder), and in
-    addition the bucketing is kept, so the next iteration's joins on ``key`` read this
-    side without a shuffle.  The bucket count defaults to ``spark.sql.shuffle.partitions``
-    so keyed aggregations line up with the buckets as well.
+class Scratch:
+    """Work tables of one run, as Parquet folders below the checkpoint folder.
+
+    Like a checkpoint a work table cuts the lineage and survives a lost executor; unlike one it
+    is columnar (later reads take only the columns they need), can be laid out by a partition
+    column, and is deleted as soon as its run needs it no more.  Nothing enters the catalog.
     """
-    spark = df.sparkSession
-    folder = ensure_checkpoint_dir(spark).rstrip("/")
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"graphdrift_{name_hint}_{uuid.uuid4().hex[:12]}"
-    # one task per bucket (same hash as the bucketing), so each bucket is one file
-    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
-     .option("path", f"{folder}/tables/{name}").saveAsTable(name))
-    return spark.table(name)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        self.folder = f"{root}/graphdrift-work/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
+
+    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        w = df.write if partition_by is None else df.write.partitionBy(partition_by)
+        w.parquet(path)
+        return self.spark.read.parquet(path) if partition_by else self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.folder)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete every work table this application has left (results of layouts included)."""
+    _delete(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/graphdrift-work/{spark.sparkContext.applicationId}")

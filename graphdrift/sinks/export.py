@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..operators import build, stats
+from ..session import Scratch
 
 # Export headers and the readable link format.
 EDGE_HEADER = ("Source", "Target", "Weight")
@@ -27,7 +28,9 @@ def edge_table(g: Graph, weight_name: str = EDGE_HEADER[2]) -> DataFrame:
 
 
 def node_table(g: Graph, lp_rounds: int = 5, modules: DataFrame | None = None) -> DataFrame:
-    """Id (label), X, Y, dX, dY, k (degree), m (module), c (clustering coefficient)."""
+    """Id (label), X, Y, dX, dY, k (degree), m (module), c (clustering coefficient).  The links are
+    written once as a work table and read by all three statistics."""
+    g = Graph(g.vertices, Scratch(g.vertices.sparkSession).table(g.edges.select("src", "dst"), "links"))
     deg = stats.degree(g).select("id", F.col("degree").alias("k"))
     mod = (modules if modules is not None else stats.label_propagation(g, lp_rounds)).select(
         "id", F.col("module").alias("m"))

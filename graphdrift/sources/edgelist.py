@@ -1,16 +1,12 @@
 """Edge-list text source: tab-separated lines, first two columns are ids, '#' lines are
-comments; optional Bernoulli line sample before parsing."""
+comments; optional seeded sample of the lines before parsing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hash-sample multipliers (fixed values, shared with the SQL oracle).
-SAMPLE_MULTIPLIER_SRC = 7919
-SAMPLE_MULTIPLIER_DST = 104729
-SAMPLE_BUCKETS = 1000
-
+from ..functions import vec
 
 def drop_comments(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.col("value").startswith("#"))
@@ -26,16 +22,10 @@ def parse_edge_lines(lines: DataFrame) -> DataFrame:
 
 
 def sample_lines(lines: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    """Bernoulli sample without replacement (Spark's per-partition sampler)."""
-    return lines.sample(False, fraction, seed)
-
-
-def hash_sample_edges(edges: DataFrame, fraction: float) -> DataFrame:
-    """Partition-independent sample: keep a link when its (src, dst) hash bucket falls
-    below ``fraction``.  The same links are kept on any cluster layout and on retry."""
-    h = F.pmod(F.col("src") * F.lit(SAMPLE_MULTIPLIER_SRC) + F.col("dst") * F.lit(SAMPLE_MULTIPLIER_DST),
-               F.lit(SAMPLE_BUCKETS))
-    return edges.filter(h < F.lit(int(round(fraction * SAMPLE_BUCKETS))))
+    """Bernoulli sample without replacement: a line stays when the 48-bit hash of (seed, line) falls
+    below ``fraction``.  The same lines stay on any cluster layout and on retry; repeated lines
+    stay or go together."""
+    return lines.filter(vec.unit_hash(F.lit(seed), F.col("value")) < F.lit(float(fraction)))
 
 
 def read_edge_list(spark: SparkSession, path: str, fraction: float | None = None, seed: int = 1) -> DataFrame:

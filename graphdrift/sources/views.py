@@ -1,7 +1,7 @@
 """Graphs derived from the order/supply tables.
 
 * ``trade``: nations; link supplier nation -> customer nation, weight = number of line items.
-* ``trade_functional``: same vertices; weight = revenue of one order year, scaled to max 1.
+* ``trade_functional``: same vertices; weight = revenue of all orders, scaled to max 1.
 * ``supply``: parts (id 2*key) and suppliers (id 2*key+1); link part -> supplier,
   weight = total quantity.
 * ``geo``: regions (3*key), nations (3*key+1), customers (3*key+2); tree links.
@@ -13,38 +13,30 @@ one per line item.
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..operators.build import position_x, position_y
-
-FUNCTIONAL_YEAR = 1997
+from ..operators.build import start_position
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _positioned(v: DataFrame, width: float, height: float, seed: int) -> DataFrame:
-    return v.select("id", "label", position_x(F.col("id"), width, seed).alias("x"),
-                    position_y(F.col("id"), height, seed).alias("y"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+def _positioned(v: DataFrame, width: float, height: float, seed: int, bounds: str = "center") -> DataFrame:
+    x, y = start_position(F.col("id"), width, height, seed, bounds)
+    return v.select("id", "label", x.alias("x"), y.alias("y"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
 
 
-def nation_vertices(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> DataFrame:
+def nation_vertices(spark, sf_dir, width=10000.0, height=10000.0, seed=0, bounds="center") -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"),
                                               F.col("n_name").alias("label"))
-    return _positioned(n, width, height, seed)
+    return _positioned(n, width, height, seed, bounds)
 
 
-def _order_nation(spark, sf_dir, year: int | None = None) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if year is not None:
-        # date literals: exact wall-clock bounds for timestamp and timestamp_ntz columns alike
-        o = o.filter((F.col("o_orderdate") >= F.lit(datetime.date(year, 1, 1)))
-                     & (F.col("o_orderdate") < F.lit(datetime.date(year + 1, 1, 1))))
+def _order_nation(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
 
@@ -64,8 +56,8 @@ def trade_edges(spark, sf_dir) -> DataFrame:
         F.col("w").cast("double").alias("weight"))
 
 
-def trade_functional_edges(spark, sf_dir, year: int = FUNCTIONAL_YEAR) -> DataFrame:
-    j = _lineitem_nation(spark, sf_dir).join(_order_nation(spark, sf_dir, year),
+def trade_functional_edges(spark, sf_dir) -> DataFrame:
+    j = _lineitem_nation(spark, sf_dir).join(_order_nation(spark, sf_dir),
                                               F.col("l_orderkey") == F.col("o_orderkey"))
     e = j.groupBy("s_nationkey", "c_nationkey").agg(F.sum("revenue").alias("w"))
     top = e.select(F.max("w")).scalar()
@@ -73,8 +65,8 @@ def trade_functional_edges(spark, sf_dir, year: int = FUNCTIONAL_YEAR) -> DataFr
                     (F.col("w") / top).alias("weight"))
 
 
-def trade(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> Graph:
-    return Graph(nation_vertices(spark, sf_dir, width, height, seed), trade_edges(spark, sf_dir))
+def trade(spark, sf_dir, width=10000.0, height=10000.0, seed=0, bounds="center") -> Graph:
+    return Graph(nation_vertices(spark, sf_dir, width, height, seed, bounds), trade_edges(spark, sf_dir))
 
 
 def trade_functional(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> Graph:
@@ -124,13 +116,13 @@ def geo(spark, sf_dir, with_regions: bool = True) -> Graph:
 
 
 def edge_lines(spark, sf_dir, with_comments: bool = True) -> DataFrame:
-    """Edge-list text built from line items (part, supplier, quantity), plus '#' lines
-    for urgent orders when ``with_comments``."""
+    """Edge-list text built from line items (part, supplier, quantity), plus one '#' line
+    for every order when ``with_comments``."""
     li = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("\t", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                     F.col("l_quantity").cast("string")).alias("value"))
     if not with_comments:
         return li
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(
+    o = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("# order "), F.col("o_orderkey").cast("string")).alias("value"))
     return li.unionByName(o)

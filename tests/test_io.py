@@ -6,6 +6,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from graphdrift import job
+from graphdrift.model import LayoutParams
 from graphdrift.sinks import export
 from graphdrift.sources import edgelist, fixtures
 from graphdrift.streaming.edges import append_edges, edge_stream
@@ -35,9 +37,26 @@ def test_read_and_sample(spark):
     assert full.count() == 200
     part = edgelist.read_edge_list(spark, path, fraction=0.5, seed=1).count()
     assert 0 < part < 200
-    h1 = {(r.src, r.dst) for r in edgelist.hash_sample_edges(full, 0.25).collect()}
-    h2 = {(r.src, r.dst) for r in edgelist.hash_sample_edges(full.repartition(7), 0.25).collect()}
-    assert h1 == h2 and 0 < len(h1) < 200
+    lines = edgelist.drop_comments(spark.read.text(path))
+    h1 = {r.value for r in edgelist.sample_lines(lines, 0.25, 3).collect()}
+    assert h1 == {r.value for r in edgelist.sample_lines(lines.repartition(7), 0.25, 3).collect()} and 20 < len(h1) < 80
+    assert h1 != {r.value for r in edgelist.sample_lines(lines, 0.25, 4).collect()}
+    many = spark.range(1_000_000).select(F.col("id").cast("string").alias("value"))
+    assert 60 < edgelist.sample_lines(many, 1e-4, 1).count() < 140
+
+
+def test_job_from_edge_list_to_tables(spark):
+    d = tempfile.mkdtemp(prefix="gd-job-")
+    os.makedirs(os.path.join(d, "in"))
+    with open(os.path.join(d, "in", "edges.txt"), "w") as f:
+        f.write("# comment\n" + "".join(f"{i}\t{(i * 7) % 30}\n" for i in range(30)))
+    back = job.run(spark, os.path.join(d, "in"), os.path.join(d, "out"),
+                   LayoutParams(iterations=2, repulsion="neighbors"))
+    nodes = back["nodes"].toPandas()
+    assert len(nodes) == 30 and list(nodes.columns) == ["Id", "X", "Y", "dX", "dY", "k", "m", "c"]
+    assert nodes.X.astype(float).abs().max() <= 5000 and nodes.k.astype(int).sum() == 60
+    assert back["links"].count() == 30 and back["displacements"].count() == 30
+    assert [int(r.n_edges) for r in back["report"].collect()] == [30, 30]
 
 
 def test_sinks_roundtrip(spark):

@@ -97,9 +97,9 @@ def test_construction(spark):
     assert len(sym) == 8 and (7, 3) in sym
     with pytest.raises(ValueError):
         dup = g.vertices.unionByName(g.vertices.limit(1))
-        build.complete_graph(dup, g.edges, validate=True)
+        build.complete_graph(dup, g.edges)
     shuffled = build.shuffle_positions(g.vertices, 1000.0, 1000.0, 5).collect()
-    assert all(0 <= r.x < 1000 and 0 <= r.y < 1000 for r in shuffled)
+    assert all(-500 <= r.x <= 500 and -500 <= r.y <= 500 for r in shuffled)
     assert {r.id: r.x for r in shuffled} == {r.id: r.x for r in build.shuffle_positions(g.vertices, 1000.0, 1000.0, 5).collect()}
 
 
@@ -150,6 +150,8 @@ def test_layer_measures(spark):
 def test_layout_completes_missing_endpoints(spark):
     g = fixtures.pair(spark)
     extra = spark.createDataFrame([(1, 9, 1.0)], "src long, dst long, weight double")
-    res = layout.layout(Graph(g.vertices, g.edges.unionByName(extra)), LayoutParams(iterations=1), complete=True)
+    res = layout.layout(Graph(g.vertices, g.edges.unionByName(extra)), LayoutParams(iterations=1))
     rows = {r.id: r for r in res.graph.vertices.collect()}
     assert set(rows) == {1, 2, 9} and rows[9].label == "NONODE"
+    with pytest.raises(ValueError):
+        layout.layout(Graph(g.vertices.unionByName(g.vertices), g.edges), LayoutParams(iterations=1))

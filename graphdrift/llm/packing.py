@@ -45,11 +45,10 @@ def plan_cuts(places: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
             queue.popleft()
         best = queue[0]
         cost = f[best] + width - (p - pos[best])
-        if cost > f[best]:
-            for size in free:
-                i = at.get(p - size)
-                if i is not None and f[i] < cost:
-                    cost, best = f[i], i
+        for size in free:
+            i = at.get(p - size)
+            if i is not None and f[i] < cost:
+                cost, best = f[i], i
         f[j], back[j] = cost + pen[j] + PER_WINDOW, best
         g = f[j] + p
         while queue and f[queue[-1]] + pos[queue[-1]] >= g:

@@ -52,7 +52,7 @@ def test_centroid_fixed_without_clamp_cap_and_gravity(spark):
     p = LayoutParams(width=1000.0, height=1000.0, rep_scale=0.01, step="unit", bounds="none", iterations=2)
     before = g.vertices.agg(F.avg("x"), F.avg("y")).first()
     after = layout.layout(g, p).graph.vertices.agg(F.avg("x"), F.avg("y")).first()
-    assert tuple(after) == pytest.approx(tuple(before), abs=1e-6)
+    assert tuple(after) == pytest.approx(tuple(before), abs=p.eps)     # each position moves to the grid
 
 
 def test_step_modes(spark):

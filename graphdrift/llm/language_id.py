@@ -7,7 +7,6 @@ Viterbi over the words of a text, with a penalty for switching language, labels
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -19,14 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import Memo
-
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 SWITCH = 10.0           # score a change of language costs
 FLOOR = -6.0            # no word speaks against a language by more
 SHARE = 0.01            # of a language's letters: less in a script, and the script is not the language's
-LETTER = re.compile(r"[^\W\d_]")
 
 # First code point, one past the last, script (Unicode blocks).
 SCRIPTS = [
@@ -47,15 +43,31 @@ def script_of(letter: str) -> str:
     return SCRIPTS[i][2] if i >= 0 and c < SCRIPTS[i][1] else "other"
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and of its letter pairs and triples, word ends marked."""
-    w = f"^{word}$"
-    grams = [w] + [w[i:i + 3] for i in range(len(w) - 2)] + [w[i:i + 2] for i in range(len(w) - 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
-
-
 def clean_word(token: str) -> str:
-    return "".join(LETTER.findall(token.lower()))
+    """The letters of a token, lower-cased."""
+    w = token.lower()
+    return w if w.isalpha() else "".join(filter(str.isalpha, w))
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of the word) of the words and of their letter pairs and triples, ends marked."""
+    marked = [f"^{w}$" for w in words]
+    n = np.fromiter(map(len, marked), np.int64, len(marked))
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), n)
+    buckets = [np.fromiter((zlib.crc32(m.encode("utf-8", "replace")) % BUCKETS for m in marked), np.int64, len(marked))]
+    owners = [np.arange(len(words))]
+    for size in (2, 3):
+        if len(c) < size:
+            continue
+        h = np.full(len(c) - size + 1, size, np.uint64)
+        for i in range(size):
+            h = (h ^ c[i:len(c) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        whole = owner[:len(h)] == owner[size - 1:]
+        buckets.append((h[whole] % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[:len(h)][whole])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
@@ -68,18 +80,20 @@ class Model:
     scripts: dict[str, np.ndarray]
     prior: int
 
-    def word(self, token: str) -> tuple[np.ndarray, int, bool]:
-        """(score per language, letters, whether any language is possible)."""
+    def score(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each token: score per language, letters, whether any language is possible."""
         n = len(self.langs)
-        word = clean_word(token)
-        if not word:
-            return np.zeros(n, np.float32), 0, False
-        fits = self.scripts.get(Counter(map(script_of, word)).most_common(1)[0][0])
-        if fits is None or not fits.any():
-            return np.zeros(n, np.float32), len(word), False
-        score = 3.0 * self.logp[word_features(word)].mean(axis=0)
-        score = score - score[fits].max()
-        return np.where(fits, np.maximum(score, FLOOR), FLOOR).astype(np.float32), len(word), True
+        words = [clean_word(t) for t in tokens]
+        letters = np.fromiter(map(len, words), np.int64, len(words))
+        bucket, owner = word_features(words)
+        count = np.bincount(owner, minlength=len(words))[:, None]
+        mean = np.column_stack([np.bincount(owner, weights=self.logp[bucket, i], minlength=len(words)) for i in range(n)])
+        none = np.zeros(n, bool)
+        fits = np.array([self.scripts.get(script_of(w[0]), none) if w else none for w in words]).reshape(len(words), n)
+        sure = fits.any(axis=1)
+        score = np.where(fits, 3.0 * mean / count, -np.inf)
+        score -= np.where(sure, score.max(axis=1), 0.0)[:, None]
+        return (np.where(sure[:, None], np.maximum(score, FLOOR), 0.0).astype(np.float32), letters, sure)
 
 
 def held_out(id_col: Column) -> Column:
@@ -104,22 +118,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = usable.filter(draw < share[F.col("lang")])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
-        letters: Counter = Counter()
-        features = Memo(word_features)
         for b in batches:
-            for t, lang in zip(b["t"], b["lang"], strict=True):
-                table = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for token, times in Counter(t.split()).items():
-                    if word := clean_word(token):
-                        np.add.at(table, features[word], times)
-                        letters[lang, script_of(word[0])] += times * len(word)
-        for lang, table in total.items():
-            at = np.flatnonzero(table)
-            yield pd.DataFrame({"lang": lang, "script": None, "bucket": at, "n": table[at]})
-        if letters:
-            yield pd.DataFrame([(lang, s, -1, c) for (lang, s), c in letters.items()],
-                               columns=["lang", "script", "bucket", "n"])
+            for lang, part in b.groupby("lang"):
+                words: Counter = Counter()
+                for t in part["t"]:
+                    words.update(t.split())
+                clean: Counter = Counter()
+                for token, times in words.items():
+                    if w := clean_word(token):
+                        clean[w] += times
+                if not clean:
+                    continue
+                bucket, owner = word_features(list(clean))
+                times = np.fromiter(clean.values(), np.int64, len(clean))
+                table = np.bincount(bucket, weights=times[owner], minlength=BUCKETS).astype(np.int64)
+                at = np.flatnonzero(table)
+                yield pd.DataFrame({"lang": lang, "script": None, "bucket": at, "n": table[at]})
+                letters: Counter = Counter()
+                for w, c in clean.items():
+                    letters[script_of(w[0])] += c * len(w)
+                yield pd.DataFrame([(lang, s, -1, c) for s, c in letters.items()],
+                                   columns=["lang", "script", "bucket", "n"])
 
     counts = (sample.select("t", "lang").mapInPandas(count, "lang string, script string, bucket int, n long")
               .groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas())
@@ -165,6 +184,7 @@ def viterbi(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, switch:
 def _solve(texts: list[str], model: Model, table: Words, spans: bool) -> list[tuple]:
     """(lang_pred, score, spans) of non-empty texts, longest (in words) first."""
     lengths = np.array([len(t) for t in texts])
+    table.learn({w for t in texts for w in t})
     ids = np.array([table[w] for t in texts for w in t], np.int64)
     starts = np.cumsum(lengths) - lengths
     path = viterbi(table.scores[ids], starts, lengths)
@@ -188,36 +208,26 @@ def _solve(texts: list[str], model: Model, table: Words, spans: bool) -> list[tu
     return out
 
 
-class Words(Memo):
-    """Row of every distinct word in growing score tables."""
+class Words(dict):
+    """Row of every distinct word in score tables; emptied between batches once it holds ``limit``."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
-        super().__init__(self._row, limit)
-        self.model = model
-        self._reset()
+    def __init__(self, model: Model, limit: int = 400_000):
+        super().__init__()
+        self.model, self.limit = model, limit
+        self.scores = np.zeros((0, len(model.langs)), np.float32)
+        self.letters, self.sure = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def _reset(self) -> None:
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.letters, self.sure, self.used = np.zeros(1024, np.int64), np.zeros(1024, bool), 0
-
-    def fresh(self) -> None:
-        """Between batches only: rows in use must not move."""
-        if self.used >= self.limit:
+    def learn(self, words: set[str]) -> None:
+        """Scores for those of ``words`` (all of one batch) that are not known yet."""
+        if len(self) > self.limit:
             self.clear()
-            self._reset()
-
-    def __missing__(self, key):
-        row = self[key] = self._row(key)
-        return row
-
-    def _row(self, token: str) -> int:
-        i = self.used
-        if i == len(self.letters):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-            self.letters, self.sure = (np.concatenate((x, np.zeros_like(x))) for x in (self.letters, self.sure))
-        self.scores[i], self.letters[i], self.sure[i] = self.model.word(token)
-        self.used += 1
-        return i
+            self.scores, self.letters, self.sure = self.scores[:0], self.letters[:0], self.sure[:0]
+        new = sorted(words - self.keys())
+        if new:
+            got = self.model.score(new)
+            self.update(zip(new, range(len(self.letters), len(self.letters) + len(new))))
+            self.scores, self.letters, self.sure = (
+                np.concatenate(x) for x in zip((self.scores, self.letters, self.sure), got, strict=True))
 
 
 SPANS = "array<struct<first_word: int, n_words: int, lang: string>>"
@@ -239,7 +249,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         table = Words(model)
         for b in batches:
             rows: list[tuple] = [(UNKNOWN, 0.0, None)] * len(b)
-            words = {i: t.split() for i, t in enumerate(b["text"]) if t and model.langs and LETTER.search(t)}
+            words = {i: t.split() for i, t in enumerate(b["text"]) if t and model.langs and any(map(str.isalpha, t))}
             order = sorted(words, key=lambda i: -len(words[i]))
             at = 0
             while at < len(order):
@@ -251,7 +261,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                                 strict=True):
                     rows[i] = r
                 at = end
-                table.fresh()
             yield pd.DataFrame({"doc_id": b["doc_id"], "row_key": b["row_key"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
                                 "n_spans": [len(r[2] or ()) for r in rows],
                                 "spans": [r[2] if spans else None for r in rows]})

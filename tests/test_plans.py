@@ -29,7 +29,8 @@ def test_hub_links_are_split(spark):
     """A third of the links start at one vertex: the join to the vertices deals them to many tasks."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.shuffle.partitions": "16",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     old = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
@@ -41,7 +42,7 @@ def test_hub_links_are_split(spark):
         j = e.join(v.withColumnRenamed("id", "src"), "src")
         sizes = j.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert sum(r["count"] for r in sizes) == n
-        assert max(r["count"] for r in sizes) < n / 6
+        assert max(r["count"] for r in sizes) < n / 4                  # the hub alone holds n / 3
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

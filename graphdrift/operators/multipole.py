@@ -40,6 +40,9 @@ from ..session import Scratch
 # them instead of requiring the package on every worker's import path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BLOCK_BITS = 3      # translations are summed in blocks of 8 x 8 target cells
+
+
 def offsets_col(offsets) -> Column:
     """explode() of a literal array of (ox, oy) structs, built as one SQL expression."""
     items = ", ".join(f"named_struct('ox', {a}, 'oy', {b})" for a, b in offsets)
@@ -174,28 +177,39 @@ def _cells_all_levels(leaf: DataFrame, L: int, top: int, terms: int) -> DataFram
 def _m2l(pairs: DataFrame, cells: DataFrame, level: int, terms: int) -> DataFrame:
     """Local expansions at target cells from the multipoles of well-separated source cells.
 
-    ``pairs`` holds (tx, ty, sx, sy) at this level.  With D = (c_T - c_S) / h:
-    B_l = (1/h) sum_k (-1)^l C(k+l, l) D^-(k+l+1) A_k, evaluated per Arrow batch.
+    ``pairs`` holds (tx, ty, sx, sy) at this level, far ones only.  With D = (c_T - c_S) / h:
+    B_l = (1/h) sum_k (-1)^l C(k+l, l) D^-(k+l+1) A_k.
+
+    Pairs stay narrow: they meet by blocks of neighbouring target cells, and a source cell's
+    moments go once to each block that needs them (about three), not once per pair.  A
+    block's sums per target leave it as one row each, so no wide row is summed after a shuffle.
+    A block has at most 4^BLOCK_BITS targets, each with a number of far pairs that does not
+    grow with the data.
     """
     inv_h = float(2 ** level)
     binom = _m2l_binomials(terms)
-    src = cells.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), *_names("a", terms))
-    rows = pairs.join(src, ["sx", "sy"], "inner").select("tx", "ty", "sx", "sy", *_names("a", terms))
-
-    def translate(batches):
-        for pdf in batches:
-            a = _complex_block(pdf, "a", terms)
-            dd = ((pdf["tx"].to_numpy() - pdf["sx"].to_numpy()).astype(float)
-                  + 1j * (pdf["ty"].to_numpy() - pdf["sy"].to_numpy()).astype(float))
-            inv = 1.0 / dd
-            pw = np.cumprod(np.repeat(inv[:, None], 2 * terms, axis=1), axis=1)   # pw[:, n] = D^-(n+1)
-            out = np.empty_like(a)
-            for l in range(terms):
-                out[:, l] = (a * pw[:, l:l + terms]) @ binom[l]
-            yield _complex_frame({"ix": pdf["tx"], "iy": pdf["ty"]}, out * inv_h, "b", terms)
-
-    contrib = rows.mapInPandas(translate, _schema(["ix", "iy"], "b", terms))
-    return _sum_by(contrib, ["ix", "iy"], _names("b", terms))
+    block = [F.shiftright("tx", BLOCK_BITS).alias("bx"), F.shiftright("ty", BLOCK_BITS).alias("by")]
+    narrow = pairs.select(*block, "tx", "ty", "sx", "sy")
+    wanted = narrow.select(F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("sx").alias("ix"),
+                           F.col("sy").alias("iy")).distinct()
+    moments = wanted.join(cells.select("ix", "iy", *_names("a", terms)), ["ix", "iy"], "inner")
+
+    def translate(p, s):
+        p = p.sort_values(["tx", "ty"])
+        tx, ty, sx, sy = (p[c].to_numpy() for c in ("tx", "ty", "sx", "sy"))
+        have = s["ix"].to_numpy() * (1 << 31) + s["iy"].to_numpy()
+        order = np.argsort(have)
+        a = _complex_block(s, "a", terms)[order[np.searchsorted(have, sx * (1 << 31) + sy, sorter=order)]]
+        inv = 1.0 / ((tx - sx).astype(float) + 1j * (ty - sy).astype(float))
+        pw = np.cumprod(np.repeat(inv[:, None], 2 * terms, axis=1), axis=1)   # pw[:, n] = D^-(n+1)
+        out = np.empty_like(a)
+        for l in range(terms):
+            out[:, l] = (a * pw[:, l:l + terms]) @ binom[l]
+        first = np.flatnonzero(np.r_[True, (np.diff(tx) != 0) | (np.diff(ty) != 0)])
+        return _complex_frame({"ix": tx[first], "iy": ty[first]}, np.add.reduceat(out, first) * inv_h, "b", terms)
+
+    return (narrow.groupBy("bx", "by").cogroup(moments.groupBy("cx", "cy"))
+            .applyInPandas(translate, _schema(["ix", "iy"], "b", terms)))
 
 
 def _l2l(parent_local: DataFrame, child_cells: DataFrame, terms: int) -> DataFrame:

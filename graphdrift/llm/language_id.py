@@ -230,6 +230,23 @@ class Words(dict):
                 np.concatenate(x) for x in zip((self.scores, self.letters, self.sure), got, strict=True))
 
 
+def _labels(texts: pd.Series, model: Model, table: Words, spans: bool, batch_words: int) -> list[tuple]:
+    """(lang_pred, score, spans) of any texts, solved some ``batch_words`` words at a time."""
+    rows: list[tuple] = [(UNKNOWN, 0.0, None)] * len(texts)
+    words = {i: t.split() for i, t in enumerate(texts) if t and model.langs and any(map(str.isalpha, t))}
+    order = sorted(words, key=lambda i: -len(words[i]))
+    at = 0
+    while at < len(order):
+        end, n = at, 0
+        while end < len(order) and (end == at or n + len(words[order[end]]) <= batch_words):
+            n += len(words[order[end]])
+            end += 1
+        for i, r in zip(order[at:end], _solve([words[i] for i in order[at:end]], model, table, spans), strict=True):
+            rows[i] = r
+        at = end
+    return rows
+
+
 SPANS = "array<struct<first_word: int, n_words: int, lang: string>>"
 
 
@@ -248,19 +265,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Words(model)
         for b in batches:
-            rows: list[tuple] = [(UNKNOWN, 0.0, None)] * len(b)
-            words = {i: t.split() for i, t in enumerate(b["text"]) if t and model.langs and any(map(str.isalpha, t))}
-            order = sorted(words, key=lambda i: -len(words[i]))
-            at = 0
-            while at < len(order):
-                end, n = at, 0
-                while end < len(order) and (end == at or n + len(words[order[end]]) <= batch_words):
-                    n += len(words[order[end]])
-                    end += 1
-                for i, r in zip(order[at:end], _solve([words[i] for i in order[at:end]], model, table, True),
-                                strict=True):
-                    rows[i] = r
-                at = end
+            rows = _labels(b["text"], model, table, True, batch_words)
             yield pd.DataFrame({"doc_id": b["doc_id"], "row_key": b["row_key"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows],
                                 "n_spans": [len(r[2] or ()) for r in rows],
                                 "spans": [r[2] if spans else None for r in rows]})
@@ -271,11 +276,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return out if spans else out.drop("spans")
 
 
-def in_known_language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-                      min_score: float = 0.2) -> DataFrame:
+def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.2,
+                      batch_words: int = 400_000) -> DataFrame:
     """``docs`` without those labelled ``und`` or with a score below ``min_score`` (most letters in
-    scripts that no learnt language uses, or spread over many languages); all columns as they were."""
-    found = identify(docs, model, id_col, text_col, spans=False)
-    bad = found.filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)) \
-               .select(F.col("row_key").alias("__k")).distinct()
-    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__k"), "left_anti")
+    scripts that no learnt language uses, or spread over many languages); all columns as they were.
+    Judged in one pass over the rows: nothing is joined or shuffled."""
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = Words(model)
+        for texts in batches:
+            found = _labels(texts, model, table, False, batch_words)
+            yield pd.Series([lang != UNKNOWN and score >= min_score for lang, score, _ in found], dtype=bool)
+
+    return docs.filter(known(F.col(text_col)))

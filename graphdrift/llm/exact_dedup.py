@@ -110,8 +110,9 @@ def kept_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows that exact deduplication drops, all columns as they were."""
     path = work_path(spark, "dedup-source")
     docs.write.option("compression", "zstd").parquet(path)
-    found = exact_dedup(spark, path, id_col, text_col).filter("kept").select("_file", "_row")
+    # a table of the rows that go: its size is known before the join, so texts are shuffled only if it is large
+    gone = staged(exact_dedup(spark, path, id_col, text_col).filter(~F.col("kept"))
+                  .select(F.col("_file").alias("__file"), F.col("_row").alias("__row")), "dedup-gone")
     rows = spark.read.schema(docs.schema).parquet(path)
     here = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    keep = found.select(F.col("_file").alias("__file"), F.col("_row").alias("__row"))
-    return here.join(keep, ["__file", "__row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return here.join(gone, ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -244,5 +244,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = found.groupBy("component_id").agg(F.min(rank).alias("best"))
     out = (found.join(best, found["component_id"].eqNullSafe(best["component_id"]))
            .filter(rank != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct())
+    out = staged(out, "simhash-gone")       # its size is known before the join: texts are shuffled only if it is large
     mine = F.xxhash64(docs[id_col], docs[text_col])
     return docs.join(out, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (mine == F.col("__k")), "left_anti")

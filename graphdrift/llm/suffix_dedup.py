@@ -331,7 +331,9 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     _, spans = repeated_spans(keyed(docs, id_col, text_col), length, group_rows)
     own = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
                             "__k": F.xxhash64(id_col, text_col)})
-    spans = spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans"))
+    # a table: its size is known before the join, so texts are shuffled only if it is large
+    spans = staged(spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans")),
+                   "suffix-spans")
     joined = own.join(spans, ["__d", "__k"], "left").drop("__d", "__k")
     names = list(docs.columns)
     at = names.index(text_col)

@@ -88,7 +88,11 @@ def test_exact_dedup(spark, docs, rows, none, weak):
     kept = [r for r in got if r.kept]
     assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
     assert exact_dedup.exact_dedup(spark, _path(spark, none)).count() == 0
-    assert exact_dedup.kept_documents(spark, docs).columns == docs.columns
+    stay = exact_dedup.kept_documents(spark, docs)
+    assert stay.columns == docs.columns
+    assert _sorted((r.doc_id, r.text is None) for r in stay.select("doc_id", "text").collect() if _lower(r.text)) == \
+        _sorted((max((i for i in ids if i is not None), default=None), False) for t, ids in groups.items() if t)
+    assert exact_dedup.kept_documents(spark, none).count() == 0
 
 
 def test_exact_dedup_takes_only_new_files(spark, docs):
@@ -369,6 +373,10 @@ def test_language_spans_and_edge_cases(spark, docs, none):
     assert right.filter("lang_pred = lang").count() >= 0.95 * right.count() > 0
     kept = language_id.in_known_language(test, m)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 6]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert language_id.in_known_language(docs, m).columns == docs.columns
+    assert language_id.in_known_language(none, m).count() == 0
     empty = language_id.train(none)
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
     assert language_id.identify(none, m).count() == 0

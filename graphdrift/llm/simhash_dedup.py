@@ -213,6 +213,20 @@ def links(fps: DataFrame, max_bits: int = 4, group_rows: int = 50_000, batch_row
     return rows.mapInPandas(run, "u long, v long")
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int,
+             group_rows: int = 50_000) -> DataFrame:
+    """One row per document: doc_id, row_key, fp, component_id, root (the smallest fingerprint of the
+    component as a signed long, never null)."""
+    fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    tree = staged(connected_components(links(low.select("fp"), max_bits, group_rows)), "simhash-tree")
+    member = low.join(tree.select(F.col("node").alias("fp"), "root"), "fp", "left") \
+                .select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = member.join(lowest, "root").select("fp", "component_id", "root")
+    return fps.join(classes, "fp").select("doc_id", "row_key", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4, group_rows: int = 50_000) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
@@ -222,28 +236,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle hash as one whole.  Repeated rows and equal fingerprints are one class.  Null ids count
     only if a component has no other id (component_id is then null).  An empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    tree = staged(connected_components(links(low.select("fp"), max_bits, group_rows)), "simhash-tree")
-    member = low.join(tree.select(F.col("node").alias("fp"), "root"), "fp", "left") \
-                .select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = member.join(lowest, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                          "component_id", "row_key")
+    found = _members(docs, id_col, text_col, shingle, max_bits, group_rows)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                 max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of each component, the smallest id (of equal ids, the smallest row
-    key; a null id only if there is no other); all columns as they were.  Rows alike in id and
-    text are not told apart."""
-    found = staged(near_duplicates(docs, id_col, text_col, shingle, max_bits), "simhash-found")
+    key; a null id only if there is no other); all columns as they were.  Components without an id
+    are told apart by their root.  Rows alike in id and text are not told apart."""
+    found = _members(docs, id_col, text_col, shingle, max_bits).select("doc_id", "row_key", "root")
+    found = staged(found, "simhash-found")
     rank = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("row_key").alias("k"))
-    # component_id is null for components without an id: their lowest row key tells them apart no more
-    best = found.groupBy("component_id").agg(F.min(rank).alias("best"))
-    out = (found.join(best, found["component_id"].eqNullSafe(best["component_id"]))
-           .filter(rank != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct())
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    out = (found.join(best, "root").filter(rank != F.col("best"))
+           .select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct())
     out = staged(out, "simhash-gone")       # its size is known before the join: texts are shuffled only if it is large
     mine = F.xxhash64(docs[id_col], docs[text_col])
     return docs.join(out, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (mine == F.col("__k")), "left_anti")

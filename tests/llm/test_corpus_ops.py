@@ -138,6 +138,25 @@ def test_simhash(docs, rows, none):
     assert sorted(r.doc_id for r in one.dropDuplicates(["doc_id"]).collect()) == sorted(x for x in low.values() if x is not None)
 
 
+def test_simhash_keeps_one_of_each_component_without_ids(spark):
+    rnd = random.Random(21)
+    prose = lambda n: [f"{rnd.getrandbits(40):x}" for _ in range(n)]
+    base = [prose(400) for _ in range(12)]
+    near = [[*w[:200], "changed", *w[201:]] for w in base]
+    text = lambda w: " ".join(w)
+    rows_ = [(None, text(w)) for w in base] + [(None, text(w)) for w in near[:6]]       # components without an id
+    rows_ += [(7, text(near[6])), (9, text(near[6])), (None, text(near[7])), (8, text(near[7])), (None, None), (None, " ")]
+    fp = [_fingerprint(t) for _, t in rows_]
+    root = _classes(len(rows_), [(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 4])
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(df).collect()]
+    assert len(set(kept)) == len(kept) == len(set(root)) >= 12
+    assert {root[rows_.index(r)] for r in kept} == set(root)
+    for r in kept:
+        ids = [i for (i, _), c in zip(rows_, root, strict=True) if c == root[rows_.index(r)] and i is not None]
+        assert r[0] == min(ids, default=None)
+
+
 @pytest.mark.parametrize("group_rows", [50_000, 40])
 def test_gray_index_links_every_pair(spark, group_rows):
     rng = np.random.default_rng(3)

@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by inner product over shifted Hilbert curves.
 
-Vectors are put on the unit sphere one dimension up (so that the largest inner product is the nearest
-point), projected onto a few random axes, shifted, and ordered along a Hilbert curve; this is done for
-several independent projections.  Spark range-partitions each curve by its key.  A query takes all
-vectors whose place on a curve is within a window of its own; the windows of all curves are merged
-and reranked by the exact inner product.
-
-The window is a share of all rows, so recall does not fall as the table grows; its cost is that share
-of an exhaustive search.  Rows deal out as (curve, block of places), and a task meets one block of vectors
-with the queries whose windows touch it.
+Vectors are split into ranges of norms within a factor of ``RANGE``; in a range the largest inner
+product is, but for that factor, the nearest direction.  Directions are projected onto a few random
+axes, shifted, and ordered along a Hilbert curve; this is done for several independent projections.
+Spark range-partitions each curve of each range by its key.  A query takes a place on the curves of
+every range and meets all vectors within a window of it; the windows of all ranges and curves are merged
+and reranked by the exact inner product.  A few long vectors so crowd no others together.
+
+The window is a share of the rows of a range, so recall does not fall as the table grows; its cost is that
+share of an exhaustive search.  Rows deal out as (range and curve, block of places), and a task meets one
+block of vectors with the queries whose windows touch it.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_count, staged
 from .hilbert import hilbert_key
 
+RANGE = math.sqrt(2.0)   # norms of one range lie within this factor
 SPARE = 8           # vectors kept beyond those asked for until scores are final
 
 
@@ -75,27 +78,31 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     kinds = staged(rows.groupBy("kind").agg(F.any_value("v").alias("v"), F.max(asks).alias("asks"))
                    .join(ids, "kind"), "ann-kinds")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    norm = F.least(F.greatest(norm, F.lit(sys.float_info.min)), F.lit(sys.float_info.max))
     top = kinds.agg(F.max(norm).alias("m"), F.max(F.size("v")).alias("d")).first()
     longest, dim = top["m"] or 1.0, top["d"] or 1
+    below = (F.lit(math.log(longest)) - F.log(norm)) / math.log(RANGE)
+    kinds = kinds.withColumn("range", F.greatest(F.floor(below), F.lit(0)).cast("int"))
+    ranges = sorted(r["range"] for r in kinds.select("range").distinct().collect())
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = Curves(dim + 1, curves, axes, bits, seed)
+        made = Curves(dim, curves, axes, bits, seed)
         for b in batches:
             if not len(b):
                 continue
             v = np.stack(b["v"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(v, axis=1)
-            lift = np.sqrt(np.maximum(0.0, 1.0 - (size / longest) ** 2))
-            point = np.column_stack((v / longest, lift))
-            ask = b["asks"].to_numpy(bool)
-            query = np.column_stack((v[ask] / size[ask, None], np.zeros(int(ask.sum()))))
-            raw = [x.tobytes() for x in v]
+            point = v / np.abs(v).max(axis=1, keepdims=True)
+            point /= np.linalg.norm(point, axis=1, keepdims=True)
+            ask = np.tile(np.flatnonzero(b["asks"].to_numpy(bool)), len(ranges))
+            asked = np.repeat(ranges, len(ask) // len(ranges)) * curves
+            raw = np.array([x.tobytes() for x in v], object)
             for c in range(curves):
-                yield pd.DataFrame({"curve": c, "key": made.keys(c, point), "query": False, "kind": b["kind"],
+                key = made.keys(c, point)
+                yield pd.DataFrame({"curve": b["range"] * curves + c, "key": key, "query": False, "kind": b["kind"],
                                     "ids": b["ids"], "v": raw})
-                if ask.any():
-                    yield pd.DataFrame({"curve": c, "key": made.keys(c, query), "query": True,
-                                        "kind": b["kind"][ask], "ids": None, "v": [r for r, a in zip(raw, ask) if a]})
+                if len(ask):
+                    yield pd.DataFrame({"curve": asked + c, "key": key[ask], "query": True,
+                                        "kind": b["kind"].to_numpy()[ask], "ids": None, "v": raw[ask]})
 
     placed = "curve int, key long, query boolean, kind string, ids array<long>, v binary"
     line = (kinds.mapInPandas(order, placed).repartitionByRange(n, "curve", "key", "kind")
@@ -106,28 +113,30 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
         part, at = TaskContext.get().partitionId(), {}
         for b in batches:
-            b["part"], b["place"] = part, 0
-            for c, rows_of in b.groupby("curve").groups.items():
-                b.loc[rows_of, "place"] = np.arange(at.get(c, 0), at.get(c, 0) + len(rows_of))
-                at[c] = at.get(c, 0) + len(rows_of)
-            yield b
+            stored, place = ~b["query"].to_numpy(bool), np.zeros(len(b), np.int64)
+            for c, rows_of in b.groupby("curve").indices.items():
+                ends = at.get(c, 0) + np.cumsum(stored[rows_of])
+                place[rows_of], at[c] = ends - stored[rows_of], ends[-1]     # vectors before this one
+            yield b.assign(part=part, place=place)
 
     line = staged(line.mapInPandas(count, placed + ", part int, place long"), "ann-line")
-    sizes = sorted((r["curve"], r["part"], r["count"]) for r in line.groupBy("curve", "part").count().collect())
-    offset, total = {}, {}                                # a number per range partition, not per row
+    sizes = sorted((r["curve"], r["part"], r["count"]) for r in line.groupBy("curve", "part").agg(
+        F.count_if(~F.col("query")).alias("count")).collect())
+    offset, total = {}, {}                                # a number per curve and range partition, not per row
     for c, p, m in sizes:
         offset[c, p] = total.get(c, 0)
         total[c] = total.get(c, 0) + m
-    starts = spark.createDataFrame([(c, p, o) for (c, p), o in offset.items()], "curve int, part int, start long")
-    window = math.ceil(window_share * max(total.values(), default=0)) + k
+    starts = spark.createDataFrame([(c, p, o, total[c], math.ceil(window_share * total[c]) + k)
+                                    for (c, p), o in offset.items()],
+                                   "curve int, part int, start long, total long, window long")
     line = line.join(F.broadcast(starts), ["curve", "part"]).withColumn("place", F.col("start") + F.col("place"))
+    line = line.filter((F.col("window") < F.col("total")) | (F.col("curve") % curves == 0))   # a window over all: one curve is enough
     block = F.floor(F.col("place") / block_rows)
-    last = max(total.values(), default=1) - 1
     vectors = line.filter(~F.col("query")).select(F.col("curve").alias("c"), block.alias("b"), F.col("place").alias("at"),
                                                   F.col("ids").alias("members"), F.col("v").alias("w"))
-    reach = F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block_rows),
-                       F.floor(F.least(F.col("place") + window, F.lit(last)) / block_rows))
-    queries = line.filter("query").select("curve", F.explode(reach).alias("block"), "place", "kind", "v")
+    reach = F.sequence(F.floor(F.greatest(F.col("place") - F.col("window"), F.lit(0)) / block_rows),
+                       F.floor((F.least(F.col("place") + F.col("window"), F.col("total")) - 1) / block_rows))
+    queries = line.filter("query").select("curve", F.explode(reach).alias("block"), "place", "window", "kind", "v")
     found = "kind string, ids array<long>, scores array<double>"
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +144,9 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         if len(q) and len(c):
             a, b = (np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1) for x in (q["v"], c["w"]))
             score = a @ b.T
-            score[np.abs(q["place"].to_numpy()[:, None] - c["at"].to_numpy()) > window] = -np.inf
+            off = c["at"].to_numpy() - q["place"].to_numpy()[:, None]
+            reach = q["window"].to_numpy()[:, None]
+            score[(off < -reach) | (off >= reach)] = -np.inf
             most = min(k + 1 + SPARE, len(c))
             best = np.argpartition(-score, most - 1, axis=1)[:, :most]
             members = c["members"].tolist()

@@ -372,6 +372,26 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def _recall(spark, v, k=20, **how):
+    rows_ = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    got = nearest.nearest(df, k=k, **how).toPandas().groupby("query_id").vec_id.apply(set)
+    asked = np.arange(0, len(v), 20)
+    s = v[asked] @ v.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :k]
+    return np.mean([len(got[q] & set(b.tolist())) / k for q, b in zip(asked.tolist(), best, strict=True)])
+
+
+@pytest.mark.parametrize("norms", ["one", "some"])
+def test_nearest_finds_beside_long_vectors(spark, norms):
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(2000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v *= np.where(np.arange(2000) == 5, 1000.0, 1.0)[:, None] if norms == "one" else 1.0 + rng.pareto(1.0, (2000, 1))
+    assert _recall(spark, v) >= 0.9                         # the window of production
+
+
 def test_language_spans_and_edge_cases(spark, docs, none):
     rnd = random.Random(1)
     make = {"aa": "tho ent ing the wan", "bb": "szy prz ska ego nie", "gr": "και του την στο για"}

@@ -27,7 +27,6 @@ from .common import shuffle_count, staged
 from .hilbert import hilbert_key
 
 RANGE = math.sqrt(2.0)   # norms of one range lie within this factor
-SPARE = 8           # vectors kept beyond those asked for until scores are final
 
 
 class Curves:
@@ -147,11 +146,13 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             off = c["at"].to_numpy() - q["place"].to_numpy()[:, None]
             reach = q["window"].to_numpy()[:, None]
             score[(off < -reach) | (off >= reach)] = -np.inf
-            most = min(k + 1 + SPARE, len(c))
-            best = np.argpartition(-score, most - 1, axis=1)[:, :most]
+            most = min(k + 1, len(c))
+            cut = np.partition(score, len(c) - most, axis=1)[:, len(c) - most]
+            noise = 4 * a.shape[1] * sys.float_info.epsilon * np.linalg.norm(b, axis=1).max() * np.linalg.norm(a, axis=1)
+            near_cut = (score > -np.inf) & (score >= (cut - noise)[:, None])     # all that tie with the last wanted
             members = c["members"].tolist()
             for i, kind in enumerate(q["kind"]):
-                near = [j for j in best[i].tolist() if score[i, j] > -np.inf]
+                near = np.flatnonzero(near_cut[i]).tolist()
                 if near:
                     exact = (b[near] * a[i]).sum(axis=1).tolist()
                     each = sorted((-s, int(v)) for s, j in zip(exact, near, strict=True) for v in members[j])[:k + 1]

@@ -392,6 +392,17 @@ def test_nearest_finds_beside_long_vectors(spark, norms):
     assert _recall(spark, v) >= 0.9                         # the window of production
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(23)
+    signs = 1.0 - 2.0 * (np.arange(512)[:, None] >> np.arange(9) & 1)         # 512 vectors alike in score
+    v = np.column_stack((np.ones(512), signs))
+    ids = rng.permutation(np.arange(1, 2000)[np.arange(1, 2000) % 20 != 0])[:512]
+    rows_ = [(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)] + [(0, [1.0] + [0.0] * 9)]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(4)
+    got = nearest.nearest(df, k=20, window_share=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == sorted(ids.tolist())[:20] and {r.score for r in got} == {1.0}
+
+
 def test_language_spans_and_edge_cases(spark, docs, none):
     rnd = random.Random(1)
     make = {"aa": "tho ent ing the wan", "bb": "szy prz ska ego nie", "gr": "και του την στο για"}

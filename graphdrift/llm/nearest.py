@@ -9,7 +9,7 @@ and reranked by the exact inner product.  A few long vectors so crowd no others
 
 The window is a share of the rows of a range, so recall does not fall as the table grows; its cost is that
 share of an exhaustive search.  Rows deal out as (range and curve, block of places), and a task meets one
-block of vectors with the queries whose windows touch it.
+block of vectors with the queries whose windows touch it, or a slice of them where they are many.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .common import shuffle_count, staged
 from .hilbert import hilbert_key
 
 RANGE = math.sqrt(2.0)   # norms of one range lie within this factor
+SPAN = 512               # queries scored at a time
 
 
 class Curves:
@@ -57,9 +58,23 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.size("v") == (dims[0]["d"] if dims else 0))
 
 
+def dealt(queries: DataFrame, vectors: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``slice``: where more than ``most`` queries (curve, block) meet one block of
+    vectors (c, b), they are dealt into slices by kind, and the block's vectors go to every slice."""
+    crowded = (queries.groupBy("curve", "block").count().filter(F.col("count") > most)
+               .select("curve", "block", F.ceil(F.col("count") / most).cast("int").alias("slices")))
+    crowded = staged(crowded, "ann-crowded")                # its size is known before the joins; mostly empty
+    slices = F.coalesce("slices", F.lit(1))
+    mine = queries.join(crowded, ["curve", "block"], "left") \
+                  .withColumn("slice", F.pmod(F.xxhash64("kind"), slices).cast("int")).drop("slices")
+    all_ = vectors.join(crowded.select(F.col("curve").alias("c"), F.col("block").alias("b"), "slices"), ["c", "b"], "left") \
+                  .withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+    return mine, all_
+
+
 def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20,
             query_step: int = 20, curves: int = 12, axes: int = 8, bits: int = 8, window_share: float = 0.06,
-            block_rows: int = 2048, seed: int = 11) -> DataFrame:
+            block_rows: int = 2048, seed: int = 11, query_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row whose id is divisible by ``query_step``
     the ``k`` nearest found among all other rows, ties to the smaller id.
 
@@ -140,18 +155,22 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(q) and len(c):
-            a, b = (np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1) for x in (q["v"], c["w"]))
+        if not len(q) or not len(c):
+            return pd.DataFrame(out, columns=["kind", "ids", "scores"])
+        b = np.frombuffer(b"".join(c["w"]), np.float64).reshape(len(c), -1)
+        members, most = c["members"].tolist(), min(k + 1, len(c))
+        largest = np.linalg.norm(b, axis=1).max()
+        for at in range(0, len(q), SPAN):
+            some = q.iloc[at:at + SPAN]
+            a = np.frombuffer(b"".join(some["v"]), np.float64).reshape(len(some), -1)
             score = a @ b.T
-            off = c["at"].to_numpy() - q["place"].to_numpy()[:, None]
-            reach = q["window"].to_numpy()[:, None]
+            off = c["at"].to_numpy() - some["place"].to_numpy()[:, None]
+            reach = some["window"].to_numpy()[:, None]
             score[(off < -reach) | (off >= reach)] = -np.inf
-            most = min(k + 1, len(c))
             cut = np.partition(score, len(c) - most, axis=1)[:, len(c) - most]
-            noise = 4 * a.shape[1] * sys.float_info.epsilon * np.linalg.norm(b, axis=1).max() * np.linalg.norm(a, axis=1)
+            noise = 4 * a.shape[1] * sys.float_info.epsilon * largest * np.linalg.norm(a, axis=1)
             near_cut = (score > -np.inf) & (score >= (cut - noise)[:, None])     # all that tie with the last wanted
-            members = c["members"].tolist()
-            for i, kind in enumerate(q["kind"]):
+            for i, kind in enumerate(some["kind"]):
                 near = np.flatnonzero(near_cut[i]).tolist()
                 if near:
                     exact = (b[near] * a[i]).sum(axis=1).tolist()
@@ -167,7 +186,8 @@ def nearest(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         return pd.DataFrame([(f["kind"].iloc[0], [v for _, v in each], [-s for s, _ in each])],
                             columns=["kind", "ids", "scores"])
 
-    near = (queries.groupBy("curve", "block").cogroup(vectors.groupBy("c", "b")).applyInPandas(meet, found)
+    queries, vectors = dealt(queries, vectors, query_rows)
+    near = (queries.groupBy("curve", "block", "slice").cogroup(vectors.groupBy("c", "b", "slice")).applyInPandas(meet, found)
             .groupBy("kind").applyInPandas(merge, found))
     answer = (rows.filter(asks).select(F.col("vec_id").alias("query_id"), "kind").join(near, "kind")
               .select("query_id", F.slice(F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id")),

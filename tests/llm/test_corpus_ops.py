@@ -403,6 +403,17 @@ def test_nearest_ties_go_to_smaller_ids(spark):
     assert [r.vec_id for r in got] == sorted(ids.tolist())[:20] and {r.score for r in got} == {1.0}
 
 
+def test_nearest_deals_crowded_blocks(spark):
+    queries = spark.range(3000).select(F.lit(1).alias("curve"), F.when(F.col("id") < 2950, 0).otherwise(1).cast("long").alias("block"),
+                                       F.md5(F.col("id").cast("string")).alias("kind"))
+    vectors = spark.range(40).select(F.lit(1).alias("c"), (F.col("id") % 2).alias("b"), F.col("id").alias("at"))
+    q, v = nearest.dealt(queries, vectors, 100)
+    held = {(r.block, r.slice): r["count"] for r in q.groupBy("block", "slice").count().collect()}
+    assert sum(held.values()) == 3000 and max(held.values()) < 200 and held[1, 0] == 50
+    met = q.join(v, (q.block == v.b) & (q.slice == v.slice)).groupBy("kind").agg(F.countDistinct("at").alias("n"), F.count("at").alias("m"))
+    assert [tuple(r) for r in met.select("n", "m").distinct().collect()] == [(20, 20)]
+
+
 def test_language_spans_and_edge_cases(spark, docs, none):
     rnd = random.Random(1)
     make = {"aa": "tho ent ing the wan", "bb": "szy prz ska ego nie", "gr": "και του την στο για"}

@@ -414,6 +414,15 @@ def test_nearest_deals_crowded_blocks(spark):
     assert [tuple(r) for r in met.select("n", "m").distinct().collect()] == [(20, 20)]
 
 
+@pytest.mark.parametrize("n", [500, 6000])
+def test_nearest_recall_at_the_production_window(spark, n):
+    v = np.random.default_rng(29).normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    whole = _recall(spark, v)
+    assert whole >= 0.9
+    assert _recall(spark, v, query_rows=20) == whole          # dealt into slices: the same answers
+
+
 def test_language_spans_and_edge_cases(spark, docs, none):
     rnd = random.Random(1)
     make = {"aa": "tho ent ing the wan", "bb": "szy prz ska ego nie", "gr": "και του την στο για"}

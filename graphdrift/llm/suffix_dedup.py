@@ -187,6 +187,7 @@ def reaches(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndar
         return far_left, far_right
     by_right, lcp_right = deep_shallow_sort(right)
     by_left, lcp_left = deep_shallow_sort(left)
+    lcp_left = np.append(lcp_left, 0)                    # a bound behind the last pair of neighbours
     rank = np.empty(m, np.int64)
     rank[by_left] = np.arange(m)
     most_left = max(map(len, left))
@@ -195,7 +196,7 @@ def reaches(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndar
         if depth + most_left < length:
             return
         at = np.sort(rank[by_right[lo:hi]])
-        shared = np.minimum.reduceat(lcp_left, np.stack((at[:-1] + 1, at[1:] + 1)).T.ravel()[:-1])[::2]
+        shared = np.minimum.reduceat(lcp_left, np.stack((at[:-1] + 1, at[1:] + 1)).T.ravel())[::2]
         best = np.maximum(np.append(shared, 0), np.insert(shared, 0, 0))
         ok = best + depth >= length
         who = by_left[at[ok]]

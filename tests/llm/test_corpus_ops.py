@@ -231,6 +231,23 @@ def test_suffix_dedup(docs, rows, none, length, group_rows):
     assert out.filter("_k <> 'clash' or kind <> 1").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_reaches_of_random_groups(seed):
+    """Far right and left of each member: the longest pair of sides shared with one other member."""
+    rnd = random.Random(seed)
+    for _ in range(60):
+        length, m = rnd.randint(4, 14), rnd.randint(1, 24)
+        side = lambda: bytes(rnd.choice(b"ab" if rnd.random() < 0.9 else b"abc") for _ in range(rnd.randint(0, length)))  # noqa: E731,B023
+        both = list({(side(), side()) for _ in range(m)})
+        share = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        got_l, got_r = suffix_dedup.reaches([a for a, _ in both], [b for _, b in both], length)
+        for i, (a, b) in enumerate(both):
+            pairs = [(share(a, x), share(b, y)) for j, (x, y) in enumerate(both) if j != i]
+            pairs = [p for p in pairs if p[1] > 0 and sum(p) >= length]
+            want = (max(p[0] for p in pairs), max(p[1] for p in pairs)) if pairs else (-1, -1)
+            assert (got_l[i], got_r[i]) == want
+
+
 def test_long_texts_cross_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     rnd = random.Random(2)

@@ -32,9 +32,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
-    from .packing import default_vocabulary, pack
+    from .packing import default_added, default_vocabulary, pack
 
-    return pack(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN, with_ids=False)
+    return pack(load(spark, sf_dir, "documents"), default_vocabulary(), PATTERN, with_ids=False, added=default_added())
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade(docs, train(rated))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_overlap
+
+    found = find_overlap(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_nearest, op4_quality, op5_simhash_dedup,
                                    op6_language_id, op7_packing, op8_substring_dedup, op9_suffix_dedup,
-                                   op10_bpe_codec)}
+                                   op10_bpe_codec, op11_decontaminate)}

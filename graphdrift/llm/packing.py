@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import packed_ids, rank_path, token_bytes
+from .vocab import added_tokens, packed_ids_with_added, rank_path, token_bytes
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
@@ -146,20 +146,23 @@ class Packer:
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
          width: int = 2048, end_id: int = 1, horizon_windows: int = 128, sentence_gap: int = 16,
-         with_ids: bool = True) -> DataFrame:
+         with_ids: bool = True, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece of a document: doc_id, start (ids of the document before it), length,
     ids_crc32, doc_tokens, sequence_id, offset (place in the sequence), and ids (little-endian
     unsigned 32-bit) if ``with_ids``.
 
     A document is its ids by ``vocabulary`` (a rank file) and ``end_id``; a null or empty text is
-    ``end_id`` alone.  Texts of any length are taken whole; every id lies in exactly one piece.
+    ``end_id`` alone.  Each occurrence of an ``added`` token (content -> id) in a text is that one id.  Texts of any length are taken whole; every id lies in exactly one piece.
     Repeated rows are packed each by itself; null ids stay null; an empty table gives no rows.
     Sequence ids are unique, not dense: the input partition is in their upper half.
     """
 
+    extra = added or {}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = token_bytes(vocabulary)
-        ends = np.array([any(c in b".!?\n" for c in t) for t in tokens] + [False] * 2, bool)
+        ends = np.zeros(max(len(tokens) - 1, end_id, *extra.values()) + 1, bool)
+        ends[:len(tokens)] = [any(c in b".!?\n" for c in t) for t in tokens]
         packer = Packer(TaskContext.get().partitionId() << 32, width, ends, horizon_windows * width, sentence_gap)
         tail = np.array([end_id], "<u4").tobytes()
 
@@ -174,7 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             rows = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.frombuffer(packed_ids(t or "", vocabulary, pattern) + tail, "<u4")
+                ids = np.frombuffer(packed_ids_with_added(t or "", vocabulary, pattern, extra) + tail, "<u4")
                 rows += packer.add(None if pd.isna(i) else int(i), ids)
             yield frame(rows)
         yield frame(packer.close())
@@ -186,3 +189,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
 
 def default_vocabulary() -> str:
     return rank_path("byte_bpe_50k.tiktoken")
+
+
+def default_added() -> dict[str, int]:
+    return added_tokens(rank_path("byte_bpe_50k.json"))

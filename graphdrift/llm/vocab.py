@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
@@ -76,3 +77,23 @@ def packed_ids(text: str, path: str, pattern: str) -> bytes:
     known to start, and what lies between is encoded once and remembered."""
     memo = _packed(path, pattern)
     return b"".join([memo[p] for p in cut_pieces(text)])
+
+
+@lru_cache(maxsize=4)
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file adds to its ranks (content -> id): each occurrence in a text is that one
+    id, before anything else is split.  Only plain ones are known here (no stripping, no whole words)."""
+    with open(json_path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError(f"{json_path}: added tokens with stripping or word rules are not supported")
+    return {t["content"]: int(t["id"]) for t in added}
+
+
+def packed_ids_with_added(text: str, path: str, pattern: str, added: dict[str, int]) -> bytes:
+    """``packed_ids`` of a text whose added tokens (leftmost first, of several the longest) are cut out first."""
+    if not any(a in text for a in added):
+        return packed_ids(text, path, pattern)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    return b"".join([np.array([added[p]], "<u4").tobytes() if i % 2 else packed_ids(p, path, pattern)
+                     for i, p in enumerate(cut.split(text))])

@@ -41,4 +41,32 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op13_spelling": r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+         CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents)),
+own AS (SELECT doc_id, r, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || r)) AS x
+        FROM runs GROUP BY doc_id, r),
+hashed AS (SELECT r, c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(range(1, len(x)::BIGINT, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+             lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]))) AS h FROM own, crc),
+slipped AS (SELECT c, CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w
+            FROM hashed),
+words AS (SELECT w, sum(c)::BIGINT AS n FROM slipped WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+cut AS (SELECT w, n, i, substr(w, 1, i - 1) AS a, substr(w, i + 1) AS z
+        FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+pairs AS (SELECT DISTINCT p.w AS w, p.n AS n, q.w AS v, q.n AS m FROM cut p JOIN cut q USING (i, a, z) WHERE p.w <> q.w
+          UNION SELECT p.w, p.n, q.w, q.n FROM cut p JOIN words q ON p.a || p.z = q.w
+          UNION SELECT q.w, q.n, p.w, p.n FROM cut p JOIN words q ON p.a || p.z = q.w),
+near AS (SELECT w, n, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY w, n),
+best AS (SELECT near.w, n_near, near.m, min(v) AS v FROM near JOIN pairs ON pairs.w = near.w AND pairs.m = near.m
+         GROUP BY near.w, n_near, near.m),
+forms AS (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN v END AS form,
+                 CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (w)),
+walk AS (SELECT w, w AS at FROM forms
+         UNION SELECT walk.w, forms.form FROM walk JOIN forms ON forms.w = walk.at WHERE forms.form IS NOT NULL),
+ends AS (SELECT walk.w, walk.at AS root FROM walk JOIN forms ON forms.w = walk.at WHERE forms.form IS NULL)
+SELECT forms.w AS word, form, root, n, n_near, form_n FROM forms JOIN ends USING (w)""",
 }

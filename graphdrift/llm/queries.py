@@ -88,6 +88,12 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(load(spark, sf_dir, "documents"), slip=97, min_length=5, min_count=3), factor=2)
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_nearest, op4_quality, op5_simhash_dedup,
                                    op6_language_id, op7_packing, op8_substring_dedup, op9_suffix_dedup,
-                                   op10_bpe_codec, op11_decontaminate)}
+                                   op10_bpe_codec, op11_decontaminate, op13_spelling)}

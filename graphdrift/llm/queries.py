@@ -88,6 +88,14 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import integer_vectors, mine
+
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = integer_vectors(load(spark, sf_dir, "embeddings"), label=noisy)
+    return mine(rows, F.col("id") % 100 == 0, positives=5, negatives=5, low_share=80, high_share=100)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants, word_counts
 
@@ -96,4 +104,5 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_nearest, op4_quality, op5_simhash_dedup,
                                    op6_language_id, op7_packing, op8_substring_dedup, op9_suffix_dedup,
-                                   op10_bpe_codec, op11_decontaminate, op13_spelling)}
+                                   op10_bpe_codec, op11_decontaminate, op12_hard_negatives,
+                                   op13_spelling)}

@@ -3,8 +3,9 @@
 All grades share one weight vector over hashed text features; ordered thresholds turn a document's
 score s into P(grade <= j) = sigmoid(threshold_j - s).  Weights are fitted by follow-the-regularised-
 leader steps with an L1 penalty (most words get weight zero), on ``parts`` shards of a bounded sample whose states
-are averaged after every round.  The expected grade ranks documents, the tail probability
-selects them.
+are averaged after every round: each shard gives its non-zero buckets as rows, Spark sums them by bucket, and the
+sum (at most one small row per bucket) goes back as one broadcast that is destroyed after its round.  The expected
+grade ranks documents, the tail probability selects them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,33 +124,69 @@ def train(rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", grad
     sample = staged(rows.filter(draw < max_rows / max(size, 1)).select(part.alias("part"), F.xxhash64("i").alias("i"),
                                                                      "g", "t")
                     .mapInPandas(extract, "part int, i long, g int, at binary"), "quality-sample")
-    state = (np.zeros(BUCKETS), np.zeros(BUCKETS), np.concatenate(([-3.0], np.zeros(grades - 2))))
+    cuts = np.concatenate(([-3.0], np.zeros(grades - 2)))
+    state = (np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32), cuts)
+    context = rated.sparkSession.sparkContext
 
-    def one_round(state: tuple, r: int):
+    def one_round(sent, r: int) -> pa.Table:
         def fit(f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values(["i", "g"])
-            m = _Ftrl(*(x.copy() for x in state), alpha, l1, l2)
+            m = _Ftrl(*_dense(sent.value), alpha, l1, l2)
             order = np.random.Generator(np.random.PCG64(r)).permutation(len(f))
             at = [np.frombuffer(x, "<i4") for x in f["at"]]
             grade = f["g"].to_numpy()
             for j in order.tolist():
                 m.step(at[j], int(grade[j]), 0.05 / (1 + r))
-            return pd.DataFrame([(len(f), m.z.tobytes(), m.n.tobytes(), m.cuts.tobytes())], columns=list("cznt"))
+            return _rows(m, len(f))
 
-        # ``parts`` rows of a fixed size
-        got = sample.groupBy("part").applyInPandas(fit, "c long, z binary, n binary, t binary").collect()
-        return sorted(got, key=lambda x: bytes(x["t"]))
+        return (sample.groupBy("part").applyInPandas(fit, "bucket int, z long, n long")
+                .groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow())
 
     for r in range(rounds):
-        got = one_round(state, r)
-        if not got:
+        sent = context.broadcast(state)
+        got = _state(one_round(sent, r), grades - 1)
+        sent.destroy()
+        if got is None:
             break
-        share = np.array([x["c"] for x in got], float) / sum(x["c"] for x in got)
-        state = tuple(sum(s * np.frombuffer(x[k]) for s, x in zip(share, got, strict=True)) for k in "znt")
-    m = _Ftrl(*state, alpha, l1, l2)
+        state = got
+    m = _Ftrl(*_dense(state), alpha, l1, l2)
     return OrdinalModel(m.weights(slice(None)).astype(np.float32), m.thresholds())
 
 
+UNIT = float(1 << 24)                   # shards are summed in whole 2^-24, so their order does not matter
+
+
+def _dense(state: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(z, n, cuts) of a state (buckets, z, n, cuts) with one entry per bucket."""
+    at, z, n, cuts = state
+    out = np.zeros(BUCKETS), np.zeros(BUCKETS), cuts.copy()
+    out[0][at], out[1][at] = z, n
+    return out
+
+
+def _rows(m: _Ftrl, size: int) -> pd.DataFrame:
+    """A shard's non-zero buckets times its size; behind them its cuts, and the size itself (bucket -1)."""
+    at = np.flatnonzero(m.n)
+    whole = lambda x: np.rint(np.asarray(x) * (size * UNIT)).astype(np.int64)
+    k = len(m.cuts)
+    return pd.DataFrame({"bucket": np.concatenate((at, BUCKETS + np.arange(k), [-1])).astype(np.int32),
+                         "z": np.concatenate((whole(m.z[at]), whole(m.cuts), [size])),
+                         "n": np.concatenate((whole(m.n[at]), np.zeros(k + 1, np.int64)))})
+
+
+def _state(summed: pa.Table, cuts: int) -> tuple | None:
+    """The mean state of summed shard rows (None if there are none), by rising bucket."""
+    bucket, z, n = (summed.column(c).to_numpy() for c in ("bucket", "z", "n"))
+    if not len(bucket):
+        return None
+    order = np.argsort(bucket)
+    bucket, z, n = bucket[order], z[order], n[order]
+    total = float(z[0]) * UNIT                               # bucket -1 comes first, the cuts last
+    body = slice(1, len(bucket) - cuts)
+    return (bucket[body].astype(np.int32), (z[body] / total).astype(np.float32), (n[body] / total).astype(np.float32),
+            z[len(bucket) - cuts:] / total)
+
+
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text",
           target: int = 2, select_at: float = 0.5) -> DataFrame:
     """One row per document: doc_id, expected_grade, p_at_least (one probability per grade above 0),

@@ -230,20 +230,32 @@ class Words(dict):
                 np.concatenate(x) for x in zip((self.scores, self.letters, self.sure), got, strict=True))
 
 
-def _labels(texts: pd.Series, model: Model, table: Words, spans: bool, batch_words: int) -> list[tuple]:
-    """(lang_pred, score, spans) of any texts, solved some ``batch_words`` words at a time."""
+def _labels(texts: pd.Series, model: Model, table: Words, spans: bool, batch_words: int,
+            batch_chars: int = 1 << 20) -> list[tuple]:
+    """(lang_pred, score, spans) of any texts, longest first.  At most ``batch_chars`` characters (or one
+    text) are split into words at a time and ``batch_words`` words solved at a time, so memory does
+    not grow with the number of texts."""
     rows: list[tuple] = [(UNKNOWN, 0.0, None)] * len(texts)
-    words = {i: t.split() for i, t in enumerate(texts) if t and model.langs and any(map(str.isalpha, t))}
-    order = sorted(words, key=lambda i: -len(words[i]))
+    texts = texts.tolist()
+    order = sorted((i for i, t in enumerate(texts) if t and model.langs and any(map(str.isalpha, t))),
+                   key=lambda i: -len(texts[i]))
     at = 0
     while at < len(order):
         end, n = at, 0
-        while end < len(order) and (end == at or n + len(words[order[end]]) <= batch_words):
-            n += len(words[order[end]])
+        while end < len(order) and (end == at or n + len(texts[order[end]]) <= batch_chars):
+            n += len(texts[order[end]])
             end += 1
-        for i, r in zip(order[at:end], _solve([words[i] for i in order[at:end]], model, table, spans), strict=True):
-            rows[i] = r
-        at = end
+        words = sorted(((i, texts[i].split()) for i in order[at:end]), key=lambda w: -len(w[1]))
+        at, lo = end, 0
+        while lo < len(words):
+            hi, n = lo, 0
+            while hi < len(words) and (hi == lo or n + len(words[hi][1]) <= batch_words):
+                n += len(words[hi][1])
+                hi += 1
+            part = words[lo:hi]
+            for (i, _), r in zip(part, _solve([w for _, w in part], model, table, spans), strict=True):
+                rows[i] = r
+            lo = hi
     return rows
 
 

@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ascii_lower, staged, text_or_empty, work_path
 
@@ -41,6 +42,12 @@ def _rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column],
     return rows.select("doc_id", "_norm", digest(F.col("_norm")).alias("_digest"), "_file", "_row")
 
 
+def _needed(spark: SparkSession, source: str, id_col: str, text_col: str) -> StructType:
+    """Schema of the id and the text alone: no other column, of whatever name, is in the way."""
+    schema = spark.read.parquet(source).schema
+    return StructType([f for f in schema.fields if f.name in (id_col, text_col)])
+
+
 def _keeper() -> Column:
     """Largest doc_id stays (null is smallest); equal ids: the earliest file and row."""
     return F.max(F.struct(F.col("doc_id"), F.col("_file"), (-F.col("_row")).alias("_nrow")))
@@ -53,8 +60,7 @@ def run_state(spark: SparkSession, source: str, id_col: str = "doc_id", text_col
     state: _digest, keep (doc_id, _file, _nrow), group_size.  Called again with the same
     checkpoint it takes only the new files."""
     checkpoint = checkpoint or work_path(spark, "dedup-state")
-    schema = spark.read.parquet(source).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(_needed(spark, source, id_col, text_col))
     reader = (reader.option("maxFilesPerTrigger", max_files_per_trigger) if max_files_per_trigger
               else reader.option("maxBytesPerTrigger", max_bytes_per_trigger))
     # as a pattern, so that the path may be one file as well as a folder
@@ -87,7 +93,7 @@ def exact_dedup(spark: SparkSession, source: str, id_col: str = "doc_id", text_c
     of each group is kept.  An empty table gives no rows; other columns are not read.
     """
     index = run_state(spark, source, id_col, text_col, digest, **stream)
-    rows = _rows(spark.read.parquet(source), id_col, text_col, digest)
+    rows = _rows(spark.read.schema(_needed(spark, source, id_col, text_col)).parquet(source), id_col, text_col, digest)
     hits = index.filter("group_size > 1").select("_digest")
     collided = staged(rows.select("_digest", "_norm").join(hits, "_digest", "left_semi")
                       .groupBy("_digest").agg(F.min("_norm").alias("lo"), F.max("_norm").alias("hi"))
@@ -109,10 +115,14 @@ def exact_dedup(spark: SparkSession, source: str, id_col: str = "doc_id", text_c
 def kept_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that exact deduplication drops, all columns as they were."""
     path = work_path(spark, "dedup-source")
-    docs.write.option("compression", "zstd").parquet(path)
+    # by place: whatever the columns are called, no name is in the way of a file's row numbers
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    plain.write.option("compression", "zstd").parquet(path)
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
     # a table of the rows that go: its size is known before the join, so texts are shuffled only if it is large
-    gone = staged(exact_dedup(spark, path, id_col, text_col).filter(~F.col("kept"))
-                  .select(F.col("_file").alias("__file"), F.col("_row").alias("__row")), "dedup-gone")
-    rows = spark.read.schema(docs.schema).parquet(path)
-    here = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return here.join(gone, ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = staged(exact_dedup(spark, path, at[id_col], at[text_col]).filter(~F.col("kept")).select("_file", "_row"),
+                  "dedup-gone")
+    rows = spark.read.schema(plain.schema).parquet(path)
+    here = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return here.join(gone, ["_file", "_row"], "left_anti").select(*names).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, shuffle_count, staged
+from .common import NO_ID, free_name, shuffle_count, staged
 from .components import connected_components
 
 BITS = 64
@@ -249,8 +249,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = staged(found, "simhash-found")
     rank = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("row_key").alias("k"))
     best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    d, k = free_name(docs, "__d"), free_name(docs, "__k")
     out = (found.join(best, "root").filter(rank != F.col("best"))
-           .select(F.col("doc_id").alias("__d"), F.col("row_key").alias("__k")).distinct())
+           .select(F.col("doc_id").alias(d), F.col("row_key").alias(k)).distinct())
     out = staged(out, "simhash-gone")       # its size is known before the join: texts are shuffled only if it is large
     mine = F.xxhash64(docs[id_col], docs[text_col])
-    return docs.join(out, docs[id_col].cast("long").eqNullSafe(F.col("__d")) & (mine == F.col("__k")), "left_anti")
+    return docs.join(out, docs[id_col].cast("long").eqNullSafe(F.col(d)) & (mine == F.col(k)), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import key_exchange as X
-from .common import NO_ID, compressed, keyed, plain, shuffle_count, staged
+from .common import NO_ID, compressed, free_name, keyed, plain, shuffle_count, staged
 from .deep_shallow import deep_shallow_sort
 
 CHUNK_BYTES = 16 << 20
@@ -330,12 +330,11 @@ def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     character that is cut in two what is left goes too; texts that lose nothing stay as they are,
     null included."""
     _, spans = repeated_spans(keyed(docs, id_col, text_col), length, group_rows)
-    own = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-                            "__k": F.xxhash64(id_col, text_col)})
+    d, k, s = (free_name(docs, x) for x in ("__d", "__k", "__spans"))
+    own = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), k: F.xxhash64(id_col, text_col)})
     # a table: its size is known before the join, so texts are shuffled only if it is large
-    spans = staged(spans.select(F.col("_d").alias("__d"), F.col("_k").alias("__k"), F.col("spans").alias("__spans")),
-                   "suffix-spans")
-    joined = own.join(spans, ["__d", "__k"], "left").drop("__d", "__k")
+    spans = staged(spans.select(F.col("_d").alias(d), F.col("_k").alias(k), F.col("spans").alias(s)), "suffix-spans")
+    joined = own.join(spans, [d, k], "left").drop(d, k)
     names = list(docs.columns)
     at = names.index(text_col)
 

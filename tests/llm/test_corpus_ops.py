@@ -323,6 +323,24 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, path, PATTERN).count() == 0
 
 
+def test_packing_ids_are_those_of_the_tokenizer_file(spark):
+    """Whole ids, added tokens included, against the tokenizers library on the JSON."""
+    import tokenizers
+    from public_tokenizers import path as file
+    lib = tokenizers.Tokenizer.from_file(file("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["", None, end, f"a{end}b", f"{end}{end} x", f" one {end}  two\n{end}\n", "<|endoftext|", "x <|endo", "<|ENDOFTEXT|>",
+             f"ä{end}日本 {end[:-1]} {end}"] + [t for t in _texts() if t]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    pieces = packing.pack(df, packing.default_vocabulary(), PATTERN, width=64, horizon_windows=8, added=packing.default_added())
+    got = collections.defaultdict(list)
+    for r in pieces.orderBy("doc_id", "start").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    for i, t in enumerate(texts):
+        assert got[i] == [*lib.encode(t or "", add_special_tokens=False).ids, 1], t
+    assert got[2] == [50256, 1]
+
+
 def test_packing_plan_is_the_cheapest():
     rnd = random.Random(6)
     for _ in range(60):
@@ -469,6 +487,29 @@ def test_language_spans_and_edge_cases(spark, docs, none):
     assert language_id.identify(none, m).count() == 0
 
 
+def test_language_memory_does_not_follow_the_batch(spark):
+    """Python memory held while one long batch of texts is labelled, against one ten times as long."""
+    import tracemalloc
+
+    import pandas as pd
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(500)]
+    train = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=50)), "aa") for i in range(40)],
+                                  "doc_id long, text string, lang string")
+    m = language_id.train(train)
+
+    def peak(n):
+        texts = pd.Series([" ".join(rnd.choices(words, k=150)) for _ in range(n)])
+        table = language_id.Words(m)
+        tracemalloc.start()
+        got = language_id._labels(texts, m, table, False, 20_000, batch_chars=1 << 17)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {g[0] for g in got} == {"aa"}
+        return top - 400 * n                              # the rows of the answer themselves
+    assert peak(6000) < 1.5 * peak(600)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(9)
     lengths = np.array([7, 6, 6, 1])
@@ -506,6 +547,83 @@ def test_quality(spark, none):
     assert {r.doc_id: r.grade for r in labels.collect()} == {1: 2, 2: 1, 3: 0}
 
 
+def _loss(score, cuts, grade):
+    theta = np.cumsum(np.concatenate((cuts[:1], np.exp(cuts[1:]))))
+    below = np.concatenate(([0.0], 1 / (1 + np.exp(score - theta)), [1.0]))
+    return -math.log(below[grade + 1] - below[grade])
+
+
+def test_quality_step_follows_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    for grade in (0, 1, 2, 3):
+        z, n, cuts = rng.normal(0, 5, 50), rng.uniform(0, 9, 50), np.array([-1.0, 0.2, -0.4])
+        m = quality._Ftrl(z.copy(), n.copy(), cuts.copy(), 0.5, 1.0, 1.0)
+        at = np.array([3, 7, 20, 41])
+        w = m.weights(at)
+        score, h = w.sum(), 1e-5
+        g = (_loss(score + h, cuts, grade) - _loss(score - h, cuts, grade)) / (2 * h)
+        by_cut = [(_loss(score, cuts + h * e, grade) - _loss(score, cuts - h * e, grade)) / (2 * h) for e in np.eye(3)]
+        m.step(at, grade, 0.01)
+        sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / 0.5
+        assert np.allclose(m.z[at] - z[at], g - sigma * w, atol=1e-6) and np.allclose(m.n[at] - n[at], g * g, atol=1e-6)
+        assert np.allclose(m.cuts - cuts, -0.01 * np.array(by_cut), atol=1e-8)
+        rest = np.setdiff1d(np.arange(50), at)
+        assert np.array_equal(m.z[rest], z[rest])
+
+
+def test_quality_fit_reaches_the_likelihood_of_a_direct_optimiser(spark):
+    rnd = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows_ = []
+    for i in range(400):
+        own = rnd.sample(words, rnd.randint(1, 3))
+        pull = 1.5 * ("alpha" in own) - 1.5 * ("beta" in own) + rnd.gauss(0, 1.2)
+        rows_.append((i, " ".join(own), 0 if pull < -1 else 1 if pull < 1 else 2))
+    df = spark.createDataFrame(rows_, "doc_id long, text string, grade int")
+    m = quality.train(df, parts=2, rounds=16, l1=0.0, l2=0.0)
+    memo = vocab.Memo(quality._word_bucket)
+    at = [quality.features(t, memo) for _, t, _ in rows_]
+    grades = np.array([g for _, _, g in rows_])
+    used, inverse = np.unique(np.concatenate(at), return_inverse=True)
+    x = np.zeros((len(rows_), len(used)))
+    x[np.repeat(np.arange(len(at)), [len(a) for a in at]), inverse] = 1.0
+    def loss(w, theta):
+        below = 1 / (1 + np.exp((x @ w)[:, None] - theta))
+        p = np.column_stack([below[:, 0], below[:, 1] - below[:, 0], 1 - below[:, 1]])
+        return -np.log(p[np.arange(len(p)), grades]).mean()
+    w, cuts = np.zeros(len(used)), np.array([-1.0, 0.0])
+    for _ in range(4000):                                 # plain full gradient descent
+        theta = np.cumsum([cuts[0], np.exp(cuts[1])])
+        below = np.column_stack([np.zeros(len(x)), 1 / (1 + np.exp((x @ w)[:, None] - theta)), np.ones(len(x))])
+        hi, lo = (below[np.arange(len(x)), grades + i] for i in (1, 0))
+        gw = x.T @ (1 - lo - hi) / len(x)
+        slope = np.array([(-(hi * (1 - hi) / (hi - lo))[grades == j].sum() + (lo * (1 - lo) / (hi - lo))[grades == j + 1].sum())
+                          for j in (0, 1)]) / len(x)
+        w -= 0.5 * gw
+        cuts -= 0.5 * np.array([slope.sum(), slope[1] * np.exp(cuts[1])])
+    best = loss(w, np.cumsum([cuts[0], np.exp(cuts[1])]))
+    base = loss(np.zeros(len(used)), np.array([math.log(q / (1 - q)) for q in (np.mean(grades < 1), np.mean(grades < 2))]))
+    got = loss(m.weights[used].astype(float), m.thresholds)
+    assert best < base - 0.05 and got < best + 0.1 * (base - best)
+
+
+def test_filtering_stages_keep_any_column_names(spark):
+    rows_ = [(i, f"{'one two three four five six seven ' * 3} {i % 3} {'pad ' * 150}", i, "a", 2.0, i, i, True, "x")
+             for i in range(9)] + [(None, None, 1, None, None, None, None, None, None)]
+    df = common.staged(spark.createDataFrame(rows_, "doc_id long, text string, __d long, __k string, __spans double, __file int, "
+                                             "__row int, _metadata boolean, _Spans string").repartition(3), "test-clash")
+    rest = [c for c in df.columns if c != "text"]
+    before = {r.doc_id: r for r in df.select(rest).collect()}
+    for stage in (lambda d: exact_dedup.kept_documents(spark, d), simhash_dedup.one_of_each,
+                  lambda d: suffix_dedup.stripped(d, length=60)):
+        out = stage(df)
+        assert out.columns == df.columns and dict(out.dtypes) == dict(df.dtypes)
+        got = {r.doc_id: r for r in out.select(rest).collect()}
+        assert got and all(r == before[i] for i, r in got.items())
+    path = _path(spark, df)
+    assert exact_dedup.exact_dedup(spark, path).filter("kept").count() == 4
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = common.load(spark, sf, "documents")

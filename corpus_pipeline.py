@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of 2048 tokens: one row per piece of a document, with its ids."""
     from public_tokenizers import PATTERN
 
-    return packing.pack(docs, packing.default_vocabulary(), PATTERN)
+    return packing.pack(docs, packing.default_vocabulary(), PATTERN, added=packing.default_added())
 
 
 STAGES = [

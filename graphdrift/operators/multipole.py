@@ -7,19 +7,23 @@ is the conjugate of the Cauchy sum  sum_j 1 / (z_i - z_j):
 
 * positions are grouped by exact (x, y) first: a pile of coincident vertices is one
   row with a count (they exert no force on each other);
-* a quadtree of non-empty grid cells carries multipole moments, all levels from one
-  keyed aggregation;
 * a dual-tree traversal refines a table of open cell pairs level by level with keyed
   joins on parent cells: pairs wholly beyond the radius are dropped, pairs wholly
   inside it and well separated are translated (multipole -> local, Arrow-batched numpy
-  matrix products), the rest are refined;
-* pairs still open at the leaves are summed exactly between distinct positions, with
-  the eps floor.
+  matrix products), pairs of few positions are summed exactly between distinct positions,
+  with the eps floor, and only the rest are refined;
+* so the tree is adaptive: a level holds only the cells of pairs left open above it, that is, what
+  lies in or beside a spot too dense for direct sums.  Where a dense spot meets a sparse
+  neighbour, the neighbour's few positions follow it down as cells of their own, so both sides of a pair
+  are always of one level;
+* moments come up the tree in Morton order: positions are range-partitioned by it, every Arrow batch
+  sums its own cells level by level, each from its children, and only the cells that several batches share
+  meet in the shuffle: about one wide row per active cell.
 
 No cross join and no per-group pair lists: every join is an equi-join on cell keys.
 Series are scaled to the cell width of their level, so values stay in [-1, 1]-ish
-ranges at any depth; 32 terms keep the relative error near 1e-13.  The leaf depth is
-chosen from the data so no leaf holds more than ``leaf_capacity`` distinct positions.
+ranges at any depth; 32 terms keep the relative error near 1e-13.  A pair of cells is summed directly
+once it has at most ``leaf_capacity`` squared pairs of positions.
 """
 
 from __future__ import annotations
@@ -110,68 +114,72 @@ def _complex_frame(keys: dict, vals: np.ndarray, p: str, terms: int) -> pd.DataF
     return pd.DataFrame(cols)
 
 
-def _cells_from_positions(pos: DataFrame, level: int, terms: int) -> DataFrame:
-    """P2M: multipole moments A_k = sum q * ((z - c) / h)^k per leaf cell.
+@functools.lru_cache(maxsize=None)
+def _parent_shift(terms: int) -> dict[int, np.ndarray]:
+    """Multipole shift from each child quadrant to its parent (one matrix per quadrant): with delta the child's
+    centre minus the parent's, in parent widths,  A'_m = sum_{k <= m} C(m,k) 2^-k delta^(m-k) A_k."""
+    out = {}
+    for qx in (0, 1):
+        for qy in (0, 1):
+            delta = complex((qx - 0.5) / 2.0, (qy - 0.5) / 2.0)
+            out[qx * 2 + qy] = np.array([[math.comb(m, k) * 0.5 ** k * delta ** (m - k) if k <= m else 0.0
+                                          for k in range(terms)] for m in range(terms)], dtype=complex)
+    return out
 
-    Positions (a few bytes each) are first hash-partitioned by cell, so every Arrow batch
-    can sum its positions' moments per cell before anything wide is shuffled: the final
-    keyed sum moves about one 64-double row per cell instead of one per position.
-    """
-    side = float(2 ** level)
-    parts = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ux = F.col("nx") * F.lit(side) - (F.col("ix").cast("double") + F.lit(0.5))
-    uy = F.col("ny") * F.lit(side) - (F.col("iy").cast("double") + F.lit(0.5))
-    rows = (pos.select("ix", "iy", "q", ux.alias("ux"), uy.alias("uy"))
-            .repartition(parts, "ix", "iy").sortWithinPartitions("ix", "iy"))
 
-    def moments(batches):
-        for pdf in batches:
-            u = pdf["ux"].to_numpy() + 1j * pdf["uy"].to_numpy()
-            pw = np.cumprod(np.column_stack([np.ones_like(u)] + [u] * (terms - 1)), axis=1)
-            vals = pw * pdf["q"].to_numpy(dtype=float)[:, None]
-            keys = pdf["ix"].to_numpy() * (1 << 31) + pdf["iy"].to_numpy()
-            uniq, first, inv = np.unique(keys, return_index=True, return_inverse=True)
-            summed = np.zeros((len(uniq), terms), dtype=complex)
-            np.add.at(summed, inv, vals)
-            yield _complex_frame({"ix": pdf["ix"].to_numpy()[first], "iy": pdf["iy"].to_numpy()[first]},
-                                 summed, "a", terms)
-
-    per_cell = rows.mapInPandas(moments, _schema(["ix", "iy"], "a", terms))
-    return _sum_by(per_cell, ["ix", "iy"], _names("a", terms))
-
-
-def _cells_all_levels(leaf: DataFrame, L: int, top: int, terms: int) -> DataFrame:
-    """Multipoles of every non-empty cell at levels top..L in one table (lvl, ix, iy, a*).
-
-    Leaf moments are computed per position (P2M) and each leaf cell is translated directly
-    to all its ancestors: with s = 2^-(L-l) the ratio of widths and delta the leaf centre
-    minus the ancestor centre in ancestor widths, A'_m = sum_k C(m,k) s^k delta^(m-k) A_k.
-    One job and one checkpoint for the whole upward pass.
-    """
-    leaf_cells = _cells_from_positions(leaf, L, terms)
-    binom = np.array([[math.comb(m, k) for k in range(terms)] for m in range(terms)], dtype=float)
+def _morton(nx: Column, ny: Column) -> Column:
+    """Place of a position (both coordinates in [0, 1)) on the Z-order curve of 2^30 cells a side."""
+    def spread(c: Column) -> Column:
+        v = F.least(F.lit((1 << 30) - 1), F.floor(c * F.lit(float(1 << 30)))).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                            (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+    return F.shiftleft(spread(nx), 1).bitwiseOR(spread(ny))
+
+
+def _cell(c: Column, level: int) -> Column:
+    side = 2 ** level
+    return F.least(F.lit(side - 1), F.floor(c * F.lit(float(side)))).cast("long")
+
+
+def _moments(pos: DataFrame, top: int, terms: int) -> DataFrame:
+    """Multipoles (lvl, ix, iy, a*) of every cell at the levels top..depth of each position (nx, ny, q,
+    depth): the cells of its way down the tree.
+
+    In Morton order a cell's positions lie together, so a batch holds most of its cells whole.  From the deepest
+    level up, a level's cells are the positions that end there (P2M) and the cells below, shifted (M2M)."""
+    parts = int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (pos.filter(F.col("depth") >= top).select("nx", "ny", "q", "depth", _morton(F.col("nx"), F.col("ny")).alias("z"))
+            .repartitionByRange(parts, "z").sortWithinPartitions("z"))
+    mats = _parent_shift(terms)
 
     def up(batches):
         for pdf in batches:
-            a = _complex_block(pdf, "a", terms)
-            ix = pdf["ix"].to_numpy()
-            iy = pdf["iy"].to_numpy()
-            frames = [_complex_frame({"lvl": np.full(len(pdf), L), "ix": ix, "iy": iy}, a, "a", terms)]
-            for lvl in range(top, L):
-                sh = L - lvl
-                sc = 0.5 ** sh
-                px, py = ix >> sh, iy >> sh
-                delta = ((ix + 0.5) * sc - (px + 0.5)) + 1j * ((iy + 0.5) * sc - (py + 0.5))
-                dp = np.cumprod(np.column_stack([np.ones_like(delta)] + [delta] * (terms - 1)), axis=1)
-                sa = a * (sc ** np.arange(terms))[None, :]
-                out = np.empty_like(a)
-                for m in range(terms):
-                    out[:, m] = (sa[:, :m + 1] * dp[:, m::-1]) @ binom[m, :m + 1]
-                frames.append(_complex_frame({"lvl": np.full(len(pdf), lvl), "ix": px, "iy": py}, out, "a", terms))
-            yield pd.concat(frames, ignore_index=True)
-
-    rows = leaf_cells.mapInPandas(up, "lvl int, " + _schema(["ix", "iy"], "a", terms))
-    return _sum_by(rows, ["lvl", "ix", "iy"], _names("a", terms))
+            nx, ny, q, depth = (pdf[c].to_numpy() for c in ("nx", "ny", "q", "depth"))
+            cx = cy = np.zeros(0, np.int64)
+            vals = np.zeros((0, terms), dtype=complex)
+            for lvl in range(int(depth.max(initial=-1)), top - 1, -1):
+                moved = np.empty_like(vals)
+                for quad, mat in mats.items():
+                    sel = (cx % 2) * 2 + cy % 2 == quad
+                    moved[sel] = vals[sel] @ mat.T
+                here = depth == lvl
+                side = 2 ** lvl
+                px = np.minimum(side - 1, np.floor(nx[here] * side)).astype(np.int64)
+                py = np.minimum(side - 1, np.floor(ny[here] * side)).astype(np.int64)
+                u = (nx[here] * side - (px + 0.5)) + 1j * (ny[here] * side - (py + 0.5))
+                own = np.cumprod(np.column_stack([np.ones_like(u)] + [u] * (terms - 1)), axis=1) * q[here].astype(float)[:, None]
+                keys = np.concatenate((cx >> 1, px)) * (1 << 31) + np.concatenate((cy >> 1, py))
+                uniq, inv = np.unique(keys, return_inverse=True)
+                vals = np.zeros((len(uniq), terms), dtype=complex)
+                np.add.at(vals, inv, np.concatenate((moved, own)))
+                cx, cy = uniq >> 31, uniq & ((1 << 31) - 1)
+                if len(uniq):
+                    yield _complex_frame({"lvl": np.full(len(uniq), lvl), "ix": cx, "iy": cy}, vals, "a", terms)
+
+    per_batch = rows.mapInPandas(up, "lvl int, " + _schema(["ix", "iy"], "a", terms))
+    return _sum_by(per_batch, ["lvl", "ix", "iy"], _names("a", terms))
 
 
 def _m2l(pairs: DataFrame, cells: DataFrame, level: int, terms: int) -> DataFrame:
@@ -238,32 +246,6 @@ def _add_locals(a: DataFrame, b: DataFrame, terms: int) -> DataFrame:
     return _sum_by(a.unionByName(b), ["ix", "iy"], _names("b", terms))
 
 
-def choose_depth(pos_norm: DataFrame, n_points: int, leaf_capacity: int, max_depth: int) -> int:
-    """Smallest depth whose fullest leaf holds at most ``leaf_capacity`` positions.
-
-    Starts two levels below the uniform estimate from the point count (coincident points
-    make the distinct positions fewer); each probe job counts cells at six candidate
-    depths at once (one keyed count, one number per depth to the driver) and deepens
-    while a dense spot overflows.
-    """
-    est = math.ceil(math.log(max(1.0, n_points / leaf_capacity), 4))
-    depth = min(max(0, est - 2), max_depth)
-    while True:
-        cands = list(range(depth, min(depth + 6, max_depth + 1)))
-        lv = F.explode(F.array(*[F.lit(c) for c in cands])).alias("lv")
-        side = F.pow(F.lit(2.0), F.col("lv"))
-        fullest = dict(
-            pos_norm.select("nx", "ny", lv)
-            .groupBy("lv", F.floor(F.col("nx") * side).alias("cx"), F.floor(F.col("ny") * side).alias("cy"))
-            .count().groupBy("lv").agg(F.max("count").alias("m")).collect())
-        for c in cands:
-            if fullest.get(c, 0) <= leaf_capacity:
-                return c
-        if cands[-1] >= max_depth:
-            return max_depth
-        depth = cands[-1] + 1
-
-
 def _pair_classes(level: int, radius_n: float | None) -> tuple[Column, Column]:
     """(keep, far) for cell pairs at ``level``: keep = some point pair may lie within the
     radius; far = every point pair lies within it and the cells are well separated."""
@@ -284,16 +266,77 @@ def _pair_classes(level: int, radius_n: float | None) -> tuple[Column, Column]:
 
 
 def _refine(open_pairs: DataFrame, child_cells: DataFrame) -> DataFrame:
-    """Children of every open cell pair, for non-empty children only (two keyed joins)."""
-    kids = child_cells.select("ix", "iy", (F.col("ix") / 2).cast("long").alias("px"),
+    """Children of every open cell pair, for non-empty children only (two keyed joins), with how many
+    positions each has (tm, sm)."""
+    kids = child_cells.select("ix", "iy", "m", (F.col("ix") / 2).cast("long").alias("px"),
                               (F.col("iy") / 2).cast("long").alias("py"))
-    t = kids.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("px").alias("ptx"),
+    t = kids.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("m").alias("tm"), F.col("px").alias("ptx"),
                     F.col("py").alias("pty"))
-    s_ = kids.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), F.col("px").alias("psx"),
+    s_ = kids.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), F.col("m").alias("sm"), F.col("px").alias("psx"),
                      F.col("py").alias("psy"))
     o = open_pairs.select(F.col("tx").alias("ptx"), F.col("ty").alias("pty"),
                           F.col("sx").alias("psx"), F.col("sy").alias("psy"))
-    return o.join(t, ["ptx", "pty"], "inner").join(s_, ["psx", "psy"], "inner").select("tx", "ty", "sx", "sy")
+    return o.join(t, ["ptx", "pty"], "inner").join(s_, ["psx", "psy"], "inner").select("tx", "ty", "tm", "sx", "sy", "sm")
+
+
+def _first_pairs(cells: DataFrame, level: int) -> DataFrame:
+    """Candidate pairs of the level the traversal starts at: cells at most 3 apart (at level 0 the root pair,
+    taken from the data: literal keys would let the optimizer turn the next equi-joins into a cartesian product)."""
+    t = cells.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("m").alias("tm"))
+    if level == 0:
+        return t.select("*", F.col("tx").alias("sx"), F.col("ty").alias("sy"), F.col("tm").alias("sm"))
+    reach = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
+    src = cells.select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), F.col("m").alias("sm"), offsets_col(reach).alias("o"))
+    src = src.select("sx", "sy", "sm", (F.col("sx") - F.col("o.ox")).alias("tx"), (F.col("sy") - F.col("o.oy")).alias("ty"))
+    return src.join(t, ["tx", "ty"]).select("tx", "ty", "tm", "sx", "sy", "sm")
+
+
+#: What becomes of a pair of cells.
+FAR, DIRECT, OPEN = 1, 2, 3
+
+
+def traverse(pos: DataFrame, first: int, max_depth: int, leaf_capacity: int, radius_n: float | None, translates,
+             scratch: Scratch) -> tuple[list[tuple[int, DataFrame, DataFrame]], DataFrame, list[int]]:
+    """Walk the pairs of cells down from level ``first``.
+
+    Returns, for each level reached, (level, its positions with their cells ix, iy, its pairs with ``kind`` FAR or
+    DIRECT or OPEN), all positions (nx, ny, q, depth, ix, iy) with the last level they were on, and the levels with
+    FAR pairs.  Levels hold narrow rows only; both tables of a level are work tables."""
+    here, levels, ended, open_pairs, with_far = pos, [], [], None, []
+    for lvl in range(first, max_depth + 1):
+        here = here.select("x", "y", "q", "nx", "ny", _cell(F.col("nx"), lvl).alias("ix"), _cell(F.col("ny"), lvl).alias("iy"))
+        if lvl > first:
+            active = open_pairs.select(F.explode(F.array(F.struct(F.col("tx").alias("px"), F.col("ty").alias("py")),
+                                                         F.struct(F.col("sx").alias("px"), F.col("sy").alias("py")))).alias("c")) \
+                               .select("c.px", "c.py").distinct()
+            parents = [(F.col("ix") / 2).cast("long").alias("px"), (F.col("iy") / 2).cast("long").alias("py")]
+            split = scratch.table(here.select("*", *parents).join(active.withColumn("on", F.lit(True)), ["px", "py"], "left")
+                                  .select("x", "y", "q", "nx", "ny", "ix", "iy", "px", "py", F.coalesce("on", F.lit(False)).alias("on")),
+                                  "positions")
+            ended.append(split.filter("not on").select("x", "y", "q", "nx", "ny", F.lit(lvl - 1).alias("depth"),
+                                                       F.col("px").alias("ix"), F.col("py").alias("iy")))
+            here = split.filter("on").drop("px", "py", "on")
+        cells = here.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("m"))
+        cand = _first_pairs(cells, lvl) if lvl == first else _refine(open_pairs, cells)
+        keep, far = _pair_classes(lvl, radius_n)
+        few = F.col("tm") * F.col("sm") <= leaf_capacity * leaf_capacity
+        kind = F.when(few if lvl < max_depth else F.lit(True), DIRECT).otherwise(OPEN)
+        if translates(lvl):
+            kind = F.when(far, FAR).otherwise(kind)
+        pairs = scratch.table(cand.filter(keep).select("tx", "ty", "sx", "sy", kind.alias("kind")), "pairs")
+        levels.append((lvl, here, pairs))
+        open_pairs = pairs.filter(F.col("kind") == OPEN)
+        kinds = {r["kind"] for r in pairs.select("kind").distinct().collect()}
+        if FAR in kinds:
+            with_far.append(lvl)
+        if OPEN not in kinds:
+            break
+    ended.append(here.select("x", "y", "q", "nx", "ny", F.lit(lvl).alias("depth"), "ix", "iy"))
+    return levels, scratch.table(_union(ended), "ended"), with_far
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capacity: int = 64,
@@ -302,16 +345,15 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     """(id, fx, fy) = sum over j != i with |p_i - p_j| <= radius (all j when radius is None)
     of (p_i - p_j) / max(eps, |p_i - p_j|)^2, exactly up to the series truncation.
 
-    Dual-tree traversal over a quadtree of non-empty cells, level by level:
+    Dual-tree traversal over an adaptive quadtree of non-empty cells, level by level:
     a cell pair entirely beyond the radius is dropped; entirely inside and well separated,
-    it is handled by one multipole-to-local translation; otherwise it is refined into its
-    child pairs.  Pairs still open at the leaves are summed exactly between distinct
-    positions.  A pile of vertices on one spot is one weighted row; the leaf depth is
-    chosen so no leaf holds more than ``leaf_capacity`` positions, the same way for every
-    number of points.  Where the tree is as deep as ``eps`` allows, a leaf is under 8 eps wide,
-    so of points on the grid of step eps it holds at most 81 positions.  Distinct positions,
-    each level's cells, cell pairs and local expansions are work tables in ``scratch``, which
-    the caller may drop once the result is written.
+    it is handled by one multipole-to-local translation; with at most ``leaf_capacity`` squared pairs of
+    positions it is summed exactly; otherwise it is refined into its child pairs.  The rule is the same
+    for every number of points.  A pile of vertices on one spot is one weighted row.  Where the tree is as deep as ``eps``
+    allows (or ``depth``, if given), all that is left is summed: a cell is then under 8 eps wide, so of points on
+    the grid of step eps it holds at most 81 positions.  Distinct positions, each level's positions and cell pairs, the
+    moments and the local expansions are work tables in ``scratch``, which the caller may drop
+    once the result is written (without one they stay until ``session.clear_work``).
     """
     scratch = scratch or Scratch(points.sparkSession)
     bb = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
@@ -332,17 +374,7 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
     pos_norm = pos.select("x", "y", "q", ((F.col("x") - F.lit(x0)) / F.lit(span)).alias("nx"),
                           ((F.col("y") - F.lit(y0)) / F.lit(span)).alias("ny"))
     if depth is not None:
-        L = depth
-    else:
-        L = choose_depth(pos_norm, int(bb["n"]), leaf_capacity, max_depth)
-        if radius_n is not None and L > 0:
-            # leaves no wider than the radius keep the candidate cells close to the circle
-            L = max(L, min(max_depth, math.ceil(math.log2(1.0 / radius_n))))
-    side = 2 ** L
-    leaf = pos_norm.select(
-        "x", "y", "q", "nx", "ny",
-        F.least(F.lit(side - 1), F.floor(F.col("nx") * F.lit(float(side)))).cast("long").alias("ix"),
-        F.least(F.lit(side - 1), F.floor(F.col("ny") * F.lit(float(side)))).cast("long").alias("iy"))
+        max_depth = depth
 
     # Levels where a translation can occur: l >= 2 and, with a radius, cells small enough
     # (width <= radius / sqrt(10)) to lie wholly inside it while being well separated.
@@ -353,58 +385,28 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
                 and (radius_n is None or (1.0 / 2 ** lvl) * math.sqrt(10.0) <= radius_n))
 
     # Traversal starts at the deepest level whose cells reach at most 3 cells out.
-    if radius_n is None:
-        l0 = 0
+    if radius_n is None or radius_n >= 3.0:
+        first = 0
     else:
-        l0 = max(0, min(L, math.ceil(math.log2(3.0 / radius_n)) - 1)) if radius_n < 3.0 else 0
-    first_t = next((lvl for lvl in range(max(l0, 2), L + 1) if translates(lvl)), None)
-
-    # upward pass: multipoles from the leaf up to the coarsest translating level (one job);
-    # above it (down to l0) only which cells are non-empty is needed
-    cells: dict[int, DataFrame] = {}
-    if first_t is not None:
-        every = scratch.table(_cells_all_levels(leaf, L, first_t, terms), "cells", partition_by="lvl")
-        for lvl in range(first_t, L + 1):
-            cells[lvl] = every.filter(F.col("lvl") == lvl).drop("lvl")
-    for lvl in range(l0, L + 1):
-        if lvl not in cells:
-            shift = L - lvl
-            cells[lvl] = leaf.select((F.col("ix") / (2 ** shift)).cast("long").alias("ix"),
-                                     (F.col("iy") / (2 ** shift)).cast("long").alias("iy")).distinct()
-
-    local = None
-    open_pairs = None
-    for lvl in range(l0, L + 1):
-        keep, far = _pair_classes(lvl, radius_n)
-        if lvl == l0:
-            if l0 == 0:
-                # the root pair, taken from the data (literal keys would let the optimizer turn
-                # the following equi-joins into a cartesian product)
-                cand = cells[0].select(F.col("ix").alias("tx"), F.col("iy").alias("ty"),
-                                       F.col("ix").alias("sx"), F.col("iy").alias("sy"))
-            else:
-                reach = [(a, b) for a in range(-3, 4) for b in range(-3, 4)]
-                src = cells[l0].select(F.col("ix").alias("sx"), F.col("iy").alias("sy"), offsets_col(reach).alias("o"))
-                src = src.select("sx", "sy", (F.col("sx") - F.col("o.ox")).alias("tx"), (F.col("sy") - F.col("o.oy")).alias("ty"))
-                tgt = cells[l0].select(F.col("ix").alias("tx"), F.col("iy").alias("ty"))
-                cand = src.join(tgt, ["tx", "ty"], "left_semi").select("tx", "ty", "sx", "sy")
-        else:
-            cand = _refine(open_pairs, cells[lvl])
-        if translates(lvl):
-            cand = cand.filter(keep).select("tx", "ty", "sx", "sy", far.alias("far"))
-            cand = scratch.table(cand, "pairs")
-            m2l = _m2l(cand.filter("far"), cells[lvl], lvl, terms)
-            local = m2l if local is None else _add_locals(_l2l(local, cells[lvl], terms), m2l, terms)
+        first = max(0, min(max_depth, math.ceil(math.log2(3.0 / radius_n)) - 1))
+    levels, ended, with_far = traverse(pos_norm, first, max_depth, leaf_capacity, radius_n, translates, scratch)
+    tag = lambda df, lvl: df.select(F.lit(lvl).alias("lvl"), "*")
+    direct = _union([tag(pairs.filter(F.col("kind") == DIRECT).drop("kind"), lvl) for lvl, _, pairs in levels])
+    parts = [_direct(_union([tag(here, lvl) for lvl, here, _ in levels]), direct, eps, radius)]
+    if with_far:
+        moments = scratch.table(_moments(ended, with_far[0], terms), "moments", partition_by="lvl")
+        local, locals_ = None, []
+        for lvl, here, pairs in levels:
+            if lvl < with_far[0]:
+                continue
+            grown = None if local is None else _l2l(local, here.select("ix", "iy").distinct(), terms)
+            if lvl in with_far:
+                m2l = _m2l(pairs.filter(F.col("kind") == FAR), moments.filter(F.col("lvl") == lvl).drop("lvl"), lvl, terms)
+                grown = m2l if grown is None else _add_locals(grown, m2l, terms)
             # materialised per level: keeps every job's plan one level deep
-            local = scratch.table(local, "local")
-            open_pairs = cand.filter(~F.col("far")).select("tx", "ty", "sx", "sy")
-        else:
-            # used once, by the next refinement: stays lazy
-            open_pairs = cand.filter(keep).select("tx", "ty", "sx", "sy")
-
-    parts = [_direct(leaf, open_pairs, eps, radius)]
-    if local is not None:
-        parts.append(_far_field(leaf, local, side, span, terms))
+            local = scratch.table(grown, "local")
+            locals_.append(tag(local, lvl))
+        parts.append(_far_field(ended, _union(locals_), span, terms))
     per_pos = parts[0]
     for p in parts[1:]:
         per_pos = per_pos.unionByName(p)
@@ -413,12 +415,12 @@ def cauchy_repulsion(points: DataFrame, eps: float, terms: int = 32, leaf_capaci
         "id", F.coalesce(F.col("fx"), F.lit(0.0)).alias("fx"), F.coalesce(F.col("fy"), F.lit(0.0)).alias("fy"))
 
 
-def _direct(leaf: DataFrame, open_pairs: DataFrame, eps: float, radius: float | None) -> DataFrame:
-    """Exact sums between distinct positions of the leaf cell pairs left open (x, y, fx, fy)."""
-    tgt = leaf.select("x", "y", F.col("ix").alias("tx"), F.col("iy").alias("ty"))
-    src = leaf.select(F.col("x").alias("sxp"), F.col("y").alias("syp"), "q",
-                      F.col("ix").alias("sx"), F.col("iy").alias("sy"))
-    pairs = open_pairs.join(tgt, ["tx", "ty"], "inner").join(src, ["sx", "sy"], "inner")
+def _direct(pos: DataFrame, pairs: DataFrame, eps: float, radius: float | None) -> DataFrame:
+    """Exact sums between the distinct positions of cell pairs (lvl, tx, ty, sx, sy): (x, y, fx, fy)."""
+    tgt = pos.select("lvl", "x", "y", F.col("ix").alias("tx"), F.col("iy").alias("ty"))
+    src = pos.select("lvl", F.col("x").alias("sxp"), F.col("y").alias("syp"), "q",
+                     F.col("ix").alias("sx"), F.col("iy").alias("sy"))
+    pairs = pairs.join(tgt, ["lvl", "tx", "ty"], "inner").join(src, ["lvl", "sx", "sy"], "inner")
     ddx = F.col("x") - F.col("sxp")
     ddy = F.col("y") - F.col("syp")
     d2 = ddx * ddx + ddy * ddy
@@ -429,14 +431,15 @@ def _direct(leaf: DataFrame, open_pairs: DataFrame, eps: float, radius: float |
                                        F.sum(F.col("q") * ddy / l2).alias("fy"))
 
 
-def _far_field(leaf: DataFrame, local: DataFrame, side: int, span: float, terms: int) -> DataFrame:
-    """Evaluate each leaf's local expansion at its positions (x, y, fx, fy)."""
-    # far field at each position: sum_m B_m v^m, v = (z - c) / h_leaf; scaled back by 1/span
+def _far_field(ended: DataFrame, local: DataFrame, span: float, terms: int) -> DataFrame:
+    """Evaluate the local expansion (lvl, ix, iy, b*) of each position's last cell at it (x, y, fx, fy)."""
+    # far field at each position: sum_m B_m v^m, v = (z - c) / h of its cell; scaled back by 1/span
     inv_span = 1.0 / span
-    far_in = leaf.join(local, ["ix", "iy"], "inner").select(
+    side = F.pow(F.lit(2.0), F.col("lvl"))
+    far_in = ended.withColumnRenamed("depth", "lvl").join(local, ["lvl", "ix", "iy"], "inner").select(
         "x", "y",
-        (F.col("nx") * F.lit(float(side)) - (F.col("ix").cast("double") + F.lit(0.5))).alias("vx"),
-        (F.col("ny") * F.lit(float(side)) - (F.col("iy").cast("double") + F.lit(0.5))).alias("vy"),
+        (F.col("nx") * side - (F.col("ix").cast("double") + F.lit(0.5))).alias("vx"),
+        (F.col("ny") * side - (F.col("iy").cast("double") + F.lit(0.5))).alias("vy"),
         *_names("b", terms))
 
     def evaluate(batches):
@@ -450,5 +453,3 @@ def _far_field(leaf: DataFrame, local: DataFrame, side: int, span: float, terms:
                                 "fx": acc.real * inv_span, "fy": -acc.imag * inv_span})
 
     return far_in.mapInPandas(evaluate, "x double, y double, fx double, fy double")
-
-

@@ -378,6 +378,9 @@ def build_oracle() -> dict[str, str]:
     rx, ry = rep_term("a.x - b.x", "a.y - b.y", ks, T)
     o["repulsion_all_pairs"] = with_(("v", v_supply()), body=(
         f"SELECT id, {r4('dx', 'dx')}, {r4('dy', 'dy')} FROM ({rep_all('v', ks, T)}) r"))
+    crowd = lambda c: (f"CASE WHEN id % 2 = 1 THEN floor({c} * {d(Q.SPOT)} / {d(T.eps)} + 0.5) * {d(T.eps)} ELSE {c} END AS {c}")
+    o["repulsion_dense_spot"] = with_(("v0", v_supply()), ("v", f"SELECT id, {crowd('x')}, {crowd('y')} FROM v0"), body=(
+        f"SELECT id, {r4('dx / 1000.0', 'kdx')}, {r4('dy / 1000.0', 'kdy')} FROM ({rep_all('v', ks, T)}) r"))
     nx_, ny_ = rep_term("s.x - t.x", "s.y - t.y", ks, T)
     o["repulsion_neighbors"] = with_(
         ("v", v_supply()), ("e", E_SUPPLY), ("pr", UNDIRECTED.format(e="e")),

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vec import r4
+from ..functions.vec import on_grid, r4
 from ..model import Graph, LayoutParams
 from ..operators import build, forces, layers, layout, stats, step
 from ..sinks import export
@@ -22,6 +22,7 @@ from ..sources import edgelist, views
 TRADE = LayoutParams()                                   # 10000 x 10000, rep 0.01, attr 1, centred box
 GRAVITY = 5.0
 RADIUS = 300.0
+SPOT = 1e-6                                              # of the box: how wide the dense spot is
 SAMPLE_FRACTION = 0.125
 SAMPLE_SEED = 1
 SHUFFLE_SEED = 17
@@ -137,6 +138,15 @@ def q_repulsion_all_pairs(spark, d):
     return _r(forces.repulsion_all(g.vertices, _k(g, TRADE), TRADE), ["id"], ["dx", "dy"])
 
 
+def q_repulsion_dense_spot(spark, d):
+    """All suppliers crowded on the grid within 0.01 units of the middle of the 10,000 box (forces in thousands)."""
+    g = views.supply(spark, d)
+    crowd = lambda c: F.when(F.col("id") % 2 == 1, on_grid(F.col(c) * F.lit(SPOT), TRADE.eps)).otherwise(F.col(c)).alias(c)
+    v = g.vertices.select("id", crowd("x"), crowd("y"))
+    f = forces.repulsion_all(v, _k(g, TRADE), TRADE)
+    return f.select("id", r4(F.col("dx") / 1000.0).alias("kdx"), r4(F.col("dy") / 1000.0).alias("kdy"))
+
+
 def q_repulsion_neighbors(spark, d):
     g = views.supply(spark, d)
     return _r(forces.repulsion_neighbors(g, _k(g, TRADE), TRADE), ["id"], ["dx", "dy"])

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from graphdrift.model import LayoutParams
-from graphdrift.operators import forces
+from graphdrift.operators import forces, multipole
 from graphdrift.operators.multipole import cauchy_repulsion
+from graphdrift.session import Scratch
 
 
 def brute(xs, ys, eps):
@@ -99,3 +100,69 @@ def test_cluster_within_eps(spark):
     bx, by = brute(xs, ys, 1e-4)
     assert np.allclose(out.fx.to_numpy(), bx, rtol=1e-9, atol=1e-6)
     assert np.allclose(out.fy.to_numpy(), by, rtol=1e-9, atol=1e-6)
+
+
+def _spot(rng, spread, crowded, eps=1e-4):
+    """``spread`` positions over a 10,000 box, ``crowded`` on the grid within 0.01 units."""
+    xs = np.concatenate([rng.uniform(-5000, 5000, spread), 1234.0 + rng.integers(0, 100, crowded) * eps])
+    ys = np.concatenate([rng.uniform(-5000, 5000, spread), -777.0 + rng.integers(0, 100, crowded) * eps])
+    return xs, ys
+
+
+def test_tiny_dense_spot_matches_brute_force(spark):
+    xs, ys = _spot(np.random.default_rng(5), 400, 200)
+    out = cauchy_repulsion(_frame(spark, xs, ys), 1e-4, leaf_capacity=16).toPandas().sort_values("id")
+    bx, by = brute(xs, ys, 1e-4)
+    for part in (slice(0, 400), slice(400, None)):         # each against its own scale
+        scale = np.max(np.abs(bx[part]) + np.abs(by[part]))
+        err = np.abs(out.fx.to_numpy() - bx) + np.abs(out.fy.to_numpy() - by)
+        assert np.max(err[part]) / scale < 1e-9
+
+
+def test_tree_is_deep_only_at_the_dense_spot(spark):
+    """About 20 levels lie between the box and the spot; sparse cells are not taken down with it."""
+    xs, ys = _spot(np.random.default_rng(6), 3000, 200)
+    scratch, span = Scratch(spark), 10001.0
+    rows = sorted({(float(x), float(y)) for x, y in zip(xs, ys)})
+    pos = scratch.table(spark.createDataFrame([(x, y, 1, (x + 5000) / span, (y + 5000) / span) for x, y in rows],
+                                              "x double, y double, q long, nx double, ny double"), "p")
+    levels, ended, _ = multipole.traverse(pos, 0, 24, 64, None, lambda lvl: lvl >= 2, scratch)
+    on_level = {lvl: here.count() for lvl, here, _ in levels}
+    pairs = {lvl: p.count() for lvl, _, p in levels}
+    assert levels[-1][0] >= 18 and on_level[0] == len(rows) == ended.count()
+    for lvl in range(8, levels[-1][0] + 1):               # only the spot and what lies beside it
+        assert on_level[lvl] <= 200 + 64 and pairs[lvl] < 400
+    # moments: one row per active cell, whatever the depth
+    top = 2
+    moments = multipole._moments(ended, top, 4)
+    cells = sum(here.select("ix", "iy").distinct().count() for lvl, here, _ in levels if lvl >= top)
+    assert moments.count() == cells
+    scratch.drop()
+
+
+def test_upward_pass_is_narrow_and_right(spark):
+    """Evenly spread points: rows before the shuffle stay near 4/3 of the lowest cells, and every level's
+    moments are those of its points."""
+    rng = np.random.default_rng(2)
+    n, depth, terms = 4000, 5, 6
+    nx, ny = rng.uniform(0, 1, n), rng.uniform(0, 1, n)
+    pos = spark.createDataFrame([(float(a), float(b), 1 + i % 3, depth) for i, (a, b) in enumerate(zip(nx, ny))],
+                                "nx double, ny double, q long, depth int").repartition(7)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        got = multipole._moments(pos, 2, terms)
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert "RepartitionByExpression" in plan
+        out = got.toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    leaves = len(out[out.lvl == depth])
+    assert len(out) <= 4 / 3 * leaves + depth
+    q = 1 + np.arange(n) % 3
+    for r in out.sample(60, random_state=1).itertuples():
+        h = 0.5 ** r.lvl
+        own = (np.floor(nx / h) == r.ix) & (np.floor(ny / h) == r.iy)
+        u = (nx[own] / h - r.ix - 0.5) + 1j * (ny[own] / h - r.iy - 0.5)
+        for k in range(terms):
+            assert abs((q[own] * u ** k).sum() - complex(getattr(r, f"ar{k}"), getattr(r, f"ai{k}"))) < 1e-9

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphdrift.model import Graph, LayoutParams
 from graphdrift.operators import build, layout
-from graphdrift.operators.multipole import choose_depth
+from graphdrift.operators.multipole import traverse
 from graphdrift.session import Scratch
 
 
@@ -54,14 +54,17 @@ def test_layout_is_the_same_for_any_partitioning(spark, piled):
     assert got[0] == got[1] == got[2]
 
 
-def test_deepest_leaf_is_bounded(spark):
+def test_deepest_cell_is_bounded(spark):
     """Points crowded on the grid within a few steps of each other, in a wide area: where the tree can
-    go no deeper a leaf is under 8 steps wide and holds at most 81 of them."""
+    go no deeper a cell is under 8 steps wide and holds at most 81 of them."""
     eps, span = 1e-4, 10000.0
     side = np.arange(40) * eps
-    pts = [(float(a), float(b)) for a in side for b in side] + [(span, span)]
+    pts = [(float(a), float(b)) for a in side for b in side] + [(span * (1 - 1e-9), span * (1 - 1e-9))]
     depth = int(np.floor(np.log2(span / (4 * eps))))
-    df = Scratch(spark).table(spark.createDataFrame([(a / span, b / span) for a, b in pts], "nx double, ny double"), "p")
-    chosen = choose_depth(df, len(pts), 64, depth)
-    leaf = df.groupBy(F.floor(F.col("nx") * 2.0 ** chosen), F.floor(F.col("ny") * 2.0 ** chosen)).count()
-    assert leaf.agg(F.max("count")).first()[0] <= 81
+    scratch = Scratch(spark)
+    df = scratch.table(spark.createDataFrame([(a, b, 1, a / span, b / span) for a, b in pts],
+                                             "x double, y double, q long, nx double, ny double"), "p")
+    levels, ended, _ = traverse(df, 0, depth, 4, None, lambda lvl: lvl >= 2, scratch)
+    assert levels[-1][0] == depth and ended.count() == len(pts)
+    assert levels[-1][1].groupBy("ix", "iy").count().agg(F.max("count")).first()[0] <= 81
+    scratch.drop()

@@ -10,6 +10,7 @@ same doubles.
 from __future__ import annotations
 
 from ..model import LayoutParams
+from ..operators.coarsen import MATCH_ROUNDS
 from . import queries as Q
 
 
@@ -75,7 +76,7 @@ def v_geo(with_regions=True):
     parts = [f"SELECT CAST(n_nationkey AS BIGINT) * 3 + 1 AS id, n_name AS label FROM nation",
              f"SELECT CAST(c_custkey AS BIGINT) * 3 + 2, c_name FROM customer"]
     if with_regions:
-        parts.insert(0, "SELECT CAST(r_regionkey AS BIGINT) * 3, r_name FROM region")
+        parts.insert(0, "SELECT CAST(r_regionkey AS BIGINT) * 3 AS id, r_name AS label FROM region")
     return (f"SELECT id, label, {pos('id', 10000.0, 10000.0)}, {d(0)} AS dx, {d(0)} AS dy FROM ("
             + " UNION ALL ".join(parts) + ") t")
 
@@ -254,6 +255,26 @@ def lp_ctes(v: str, e: str, rounds: int) -> tuple[list[tuple[str, str]], str]:
     return ctes, f"lp{rounds}"
 
 
+def match_ctes(v: str, e: str, rounds: int) -> list[tuple[str, str]]:
+    """Heavy-edge matching: (id, cluster) as ``cl``; links ranked by weight, hash, ends."""
+    h = unit_hash("'match'", "CAST(lo AS VARCHAR)", "CAST(hi AS VARCHAR)")
+    ctes = [("once", f"SELECT LEAST(src, dst) AS lo, GREATEST(src, dst) AS hi, SUM(COALESCE(weight, 1)) AS w FROM {e} "
+                     "WHERE src <> dst GROUP BY 1, 2"),
+            ("rk", f"SELECT lo, hi, ROW_NUMBER() OVER (ORDER BY w, {h}, lo, hi) AS r FROM once WHERE w > 0"),
+            ("pr", "SELECT lo AS u, hi AS v, r FROM rk UNION ALL SELECT hi, lo, r FROM rk"), ("free0", "SELECT * FROM pr")]
+    for t in range(1, rounds + 1):
+        ctes += [(f"mt{t}", f"SELECT lo, hi FROM rk WHERE r IN (SELECT r FROM (SELECT u, MAX(r) AS r FROM free{t - 1} GROUP BY u) b "
+                            "GROUP BY r HAVING COUNT(*) = 2)"),
+                 (f"tk{t}", f"SELECT lo AS id, lo AS cluster FROM mt{t} UNION ALL SELECT hi, lo FROM mt{t}"),
+                 (f"free{t}", f"SELECT * FROM free{t - 1} WHERE u NOT IN (SELECT id FROM tk{t}) AND v NOT IN (SELECT id FROM tk{t})")]
+    ctes.append(("mat", " UNION ALL ".join(f"SELECT id, cluster FROM tk{t}" for t in range(1, rounds + 1))))
+    ctes.append(("late", "SELECT u AS id, ARG_MAX(cluster, r) AS cluster FROM pr JOIN mat ON pr.v = mat.id "
+                         "WHERE u NOT IN (SELECT id FROM mat) GROUP BY u"))
+    ctes.append(("cl", f"SELECT {v}.id, COALESCE(mat.cluster, late.cluster, {v}.id) AS cluster FROM {v} "
+                       f"LEFT JOIN mat ON mat.id = {v}.id LEFT JOIN late ON late.id = {v}.id"))
+    return ctes
+
+
 def cc_ctes(v: str, e: str) -> tuple[list[tuple[str, str]], str]:
     """Clustering coefficient by brute force over neighbour pairs (oracle only)."""
     ctes = [
@@ -459,6 +480,25 @@ def build_oracle() -> dict[str, str]:
     o["degree"] = with_(("v", v_supply()), ("e", E_SUPPLY), body=degree_sql("v", "e"))
     lp, lpn = lp_ctes("v", "e", Q.LP_ROUNDS)
     o["module_label_propagation"] = with_(("v", v_supply()), ("e", E_SUPPLY), *lp, body=f"SELECT id, module FROM {lpn}")
+    recursive = lambda *a, body: with_(*a, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+    o["shortest_hops"] = recursive(
+        ("v", v_supply()), ("e", E_SUPPLY), ("p", UNDIRECTED.format(e="e")),
+        ("b", f"SELECT CAST({Q.HOPS_FROM} AS BIGINT) AS id, CAST(0 AS BIGINT) AS hops UNION SELECT p.dst, hops + 1 FROM b JOIN p "
+              f"ON p.src = b.id WHERE hops < 12"),
+        body="SELECT v.id, MIN(hops) AS hops FROM v LEFT JOIN b ON b.id = v.id GROUP BY v.id")
+    o["components"] = recursive(
+        ("v", v_geo()), ("e", E_GEO), ("p", UNDIRECTED.format(e="e")),
+        ("b", "SELECT id, id AS c FROM v UNION SELECT p.dst, c FROM b JOIN p ON p.src = b.id"),
+        body="SELECT id, MIN(c) AS component FROM b GROUP BY id")
+    sup = (("v", v_supply()), ("e", E_SUPPLY), *match_ctes("v", "e", MATCH_ROUNDS))
+    o["coarsen_clusters"] = with_(*sup, body="SELECT id, cluster FROM cl")
+    o["coarsen_links"] = with_(*sup, body=(
+        f"SELECT LEAST(a.cluster, b.cluster) AS src, GREATEST(a.cluster, b.cluster) AS dst, {r4('SUM(weight)', 'weight')} FROM e "
+        f"JOIN cl a ON a.id = src JOIN cl b ON b.id = dst WHERE a.cluster <> b.cluster GROUP BY 1, 2"))
+    shift = lambda a: (f"({unit_hash('0', repr('prolong ' + a), 'CAST(v.id AS VARCHAR)')} - {d(0.5)}) * {ks}")
+    at = lambda a: f"GREATEST({d(-5000)}, LEAST({d(5000)}, {on_grid(f'c.{a} + {shift(a)}', T.eps)}))"
+    o["prolongation"] = with_(*sup, ("c", f"SELECT id, {pos('id', 10000.0, 10000.0)} FROM (SELECT DISTINCT cluster AS id FROM cl) q"), body=(
+        f"SELECT v.id, v.label, {r4(at('x'), 'x')}, {r4(at('y'), 'y')} FROM v JOIN cl ON cl.id = v.id JOIN c ON c.id = cl.cluster"))
     cc, ccn = cc_ctes("v", "e")
     o["clustering_coefficient"] = with_(("v", v_trade()), ("e", E_TRADE), *cc, body=(
         f"SELECT id, degree, triangles, {r4('clustering', 'clustering')} FROM {ccn}"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import on_grid, r4
 from ..model import Graph, LayoutParams
-from ..operators import build, forces, layers, layout, stats, step
+from ..operators import build, coarsen, forces, layers, layout, messages, stats, step
 from ..sinks import export
 from ..sources import edgelist, views
 
@@ -27,6 +27,7 @@ SAMPLE_FRACTION = 0.125
 SAMPLE_SEED = 1
 SHUFFLE_SEED = 17
 LP_ROUNDS = 5
+HOPS_FROM = 2
 UNIT = LayoutParams(width=1000.0, height=1000.0, rep_scale=0.0001, attr_scale=0.00001, step="unit",
                     bounds="none", iterations=3)
 LAYER_ITERATIONS = 2
@@ -344,6 +345,34 @@ def q_layer_alignment(spark, d):
     return _r(a, ["n_vertices", "n_pairs"], ["mean_displacement", "mean_abs_log_ratio"])
 
 
+# ----------------------------------------------------------------------------- supersteps, levels
+
+def q_shortest_hops(spark, d):
+    """Links between the first part and every part and supplier."""
+    return messages.shortest_hops(views.supply(spark, d), F.col("id") == HOPS_FROM).vertices
+
+
+def q_components(spark, d):
+    return messages.components(views.geo(spark, d)).vertices
+
+
+def q_coarsen_clusters(spark, d):
+    return coarsen.clusters(views.supply(spark, d))
+
+
+def q_coarsen_links(spark, d):
+    g = views.supply(spark, d)
+    return _r(coarsen.contract(g, coarsen.clusters(g)).edges, ["src", "dst"], ["weight"])
+
+
+def q_prolongation(spark, d):
+    """Every part and supplier beside the hash-drawn position of its cluster."""
+    g = views.supply(spark, d)
+    c = coarsen.clusters(g)
+    coarse = build.shuffle_positions(coarsen.contract(g, c).vertices, TRADE.width, TRADE.height)
+    return _r(coarsen.prolong(g.vertices, c, coarse, _k(g, TRADE), TRADE), ["id", "label"], ["x", "y"])
+
+
 # ----------------------------------------------------------------------------- sinks
 
 def q_export_edges(spark, d):

@@ -275,6 +275,32 @@ def match_ctes(v: str, e: str, rounds: int) -> list[tuple[str, str]]:
     return ctes
 
 
+def move_ctes(v: str, e: str, rounds: int, seed: int = 0) -> tuple[list[tuple[str, str]], str]:
+    """Rounds of moves by modularity gain: (id, c, k) and the modularity of the last one that counted."""
+    q = lambda m: (f"(SELECT COALESCE(SUM(w), 0) FROM sw JOIN {m} a ON a.id = u JOIN {m} b ON b.id = v WHERE a.c = b.c) / (SELECT t FROM tm) - "
+                   f"(SELECT SUM(kk * kk) FROM (SELECT SUM(k) AS kk FROM {m} GROUP BY c) s) / ((SELECT t FROM tm) * (SELECT t FROM tm))")
+    ctes = [("sw", f"SELECT u, v, SUM(w) AS w FROM (SELECT src AS u, dst AS v, COALESCE(weight, 1) AS w FROM {e} UNION ALL "
+                   f"SELECT dst, src, COALESCE(weight, 1) FROM {e}) x WHERE u <> v AND w > 0 GROUP BY u, v"),
+            ("tm", "SELECT SUM(w) AS t FROM sw"),
+            ("mb0", f"SELECT id, id AS c, COALESCE(k, 0.0) AS k FROM {v} LEFT JOIN (SELECT u, SUM(w) AS k FROM sw GROUP BY u) s ON u = id"),
+            ("q0", f"SELECT {q('mb0')} AS q")]
+    for t in range(1, rounds + 1):
+        p = f"mb{t - 1}"
+        turn = f"{unit_hash(str(seed), str((t - 1) // 2), 'CAST(m.id AS VARCHAR)')} < 0.5"
+        may = turn if t % 2 else f"NOT ({turn})"
+        ctes += [(f"to{t}", f"SELECT u, d, SUM(w) AS w FROM (SELECT u, c AS d, w FROM sw JOIN {p} ON id = v UNION ALL SELECT id, c, 0.0 FROM {p}) x GROUP BY u, d"),
+                 (f"gn{t}", f"SELECT u, d, w - k * (kk - CASE WHEN d = c THEN k ELSE 0.0 END) / (SELECT t FROM tm) AS gain, d = c AS home "
+                            f"FROM to{t} JOIN {p} ON id = u JOIN (SELECT c AS cc, SUM(k) AS kk FROM {p} GROUP BY c) s ON cc = d"),
+                 (f"bs{t}", f"SELECT u, d FROM gn{t} QUALIFY ROW_NUMBER() OVER (PARTITION BY u ORDER BY gain DESC, home DESC, "
+                            f"{unit_hash(str(seed), repr('tie'), 'CAST(d AS VARCHAR)')} DESC, d DESC) = 1"),
+                 (f"nw{t}", f"SELECT m.id, CASE WHEN {may} THEN b.d ELSE m.c END AS c, m.k FROM {p} m JOIN bs{t} b ON b.u = m.id"),
+                 (f"qn{t}", f"SELECT {q(f'nw{t}')} AS q"),
+                 (f"mb{t}", f"SELECT n.id, CASE WHEN (SELECT q FROM qn{t}) > (SELECT q FROM q{t - 1}) THEN n.c ELSE m.c END AS c, m.k "
+                            f"FROM nw{t} n JOIN {p} m ON m.id = n.id"),
+                 (f"q{t}", f"SELECT GREATEST((SELECT q FROM qn{t}), (SELECT q FROM q{t - 1})) AS q")]
+    return ctes, f"mb{rounds}"
+
+
 def cc_ctes(v: str, e: str) -> tuple[list[tuple[str, str]], str]:
     """Clustering coefficient by brute force over neighbour pairs (oracle only)."""
     ctes = [
@@ -490,6 +516,9 @@ def build_oracle() -> dict[str, str]:
         ("v", v_geo()), ("e", E_GEO), ("p", UNDIRECTED.format(e="e")),
         ("b", "SELECT id, id AS c FROM v UNION SELECT p.dst, c FROM b JOIN p ON p.src = b.id"),
         body="SELECT id, MIN(c) AS component FROM b GROUP BY id")
+    mv, mvn = move_ctes("v", "e", Q.MOVE_ROUNDS)
+    o["module_moves"] = with_(("v", v_supply()), ("e", E_SUPPLY), *mv, body=(
+        f"SELECT id, c AS module, {r4(f'(SELECT q FROM q{Q.MOVE_ROUNDS})', 'modularity')} FROM {mvn}"))
     sup = (("v", v_supply()), ("e", E_SUPPLY), *match_ctes("v", "e", MATCH_ROUNDS))
     o["coarsen_clusters"] = with_(*sup, body="SELECT id, cluster FROM cl")
     o["coarsen_links"] = with_(*sup, body=(

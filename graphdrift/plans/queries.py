@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import on_grid, r4
 from ..model import Graph, LayoutParams
-from ..operators import build, coarsen, forces, layers, layout, messages, stats, step
+from ..operators import build, coarsen, forces, layers, layout, messages, modules, stats, step
 from ..sinks import export
 from ..sources import edgelist, views
 
@@ -28,6 +28,7 @@ SAMPLE_SEED = 1
 SHUFFLE_SEED = 17
 LP_ROUNDS = 5
 HOPS_FROM = 2
+MOVE_ROUNDS = 2
 UNIT = LayoutParams(width=1000.0, height=1000.0, rep_scale=0.0001, attr_scale=0.00001, step="unit",
                     bounds="none", iterations=3)
 LAYER_ITERATIONS = 2
@@ -356,6 +357,13 @@ def q_components(spark, d):
     return messages.components(views.geo(spark, d)).vertices
 
 
+def q_module_moves(spark, d):
+    """Parts and suppliers after two rounds of moves by modularity gain."""
+    g = views.supply(spark, d)
+    member, found = modules.local_moves(modules.symmetric_weights(g.edges), g.vertices, max_rounds=MOVE_ROUNDS)
+    return member.select("id", F.col("c").alias("module"), r4(F.lit(found[-1])).alias("modularity"))
+
+
 def q_coarsen_clusters(spark, d):
     return coarsen.clusters(views.supply(spark, d))
 

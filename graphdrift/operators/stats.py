@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..session import Scratch
 from . import build
+from .triangles import triangles
 
 
 def degree(g: Graph) -> DataFrame:
@@ -60,21 +61,9 @@ def oriented_edges(g: Graph) -> DataFrame:
     return r.filter(lower).select(F.col("src").alias("u"), F.col("dst").alias("v"), "du", "dv")
 
 
-def triangles(oriented: DataFrame) -> DataFrame:
-    """(id, triangles) from oriented edges via degree-ordered wedges: every vertex only pairs
-    neighbours of higher rank, of which no vertex has more than sqrt(2m), and each such pair once,
-    in the order of rank.  A triangle is found at its lowest-rank corner and credited to all three."""
-    a = oriented.select("u", "v", F.struct("dv", "v").alias("rv"))
-    b = oriented.select("u", F.col("v").alias("w"), F.struct("dv", "v").alias("rw"))
-    wedges = a.join(b, "u").filter(F.col("rv") < F.col("rw")).select("u", "v", "w")
-    closed = wedges.join(oriented.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
-    corners = closed.select(F.explode(F.array("u", "v", "w")).alias("id"))
-    return corners.groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
-
-
 def clustering_coefficient(g: Graph) -> DataFrame:
     """(id, degree, triangles, clustering) with c = 2 t / (d (d - 1)), 0 when d < 2.  The oriented
-    edges are derived once, as a work table."""
+    edges are derived once, as a work table, left until ``session.clear_work``."""
     oriented = Scratch(g.vertices.sparkSession).table(oriented_edges(g), "oriented")
     ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("du").alias("deg")),
                              F.struct(F.col("v").alias("id"), F.col("dv").alias("deg"))))

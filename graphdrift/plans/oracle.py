@@ -72,6 +72,13 @@ E_SUPPLY = ("SELECT CAST(l_partkey * 2 AS BIGINT) AS src, CAST(l_suppkey * 2 + 1
             "CAST(SUM(l_quantity) AS DOUBLE) AS weight FROM lineitem GROUP BY l_partkey, l_suppkey")
 
 
+V_MARKET = ("SELECT CAST(c_custkey * 3 AS BIGINT) AS id FROM customer UNION ALL SELECT CAST(p_partkey * 3 + 1 AS BIGINT) FROM part "
+            "UNION ALL SELECT CAST(s_suppkey * 3 + 2 AS BIGINT) FROM supplier")
+E_MARKET = ("SELECT DISTINCT src, dst FROM (SELECT o_custkey * 3 AS src, l_partkey * 3 + 1 AS dst FROM lineitem JOIN orders "
+            "ON l_orderkey = o_orderkey UNION ALL SELECT l_partkey * 3 + 1, l_suppkey * 3 + 2 FROM lineitem UNION ALL "
+            "SELECT l_suppkey * 3 + 2, o_custkey * 3 FROM lineitem JOIN orders ON l_orderkey = o_orderkey) t")
+
+
 def v_geo(with_regions=True):
     parts = [f"SELECT CAST(n_nationkey AS BIGINT) * 3 + 1 AS id, n_name AS label FROM nation",
              f"SELECT CAST(c_custkey AS BIGINT) * 3 + 2, c_name FROM customer"]
@@ -532,6 +539,39 @@ def build_oracle() -> dict[str, str]:
     o["clustering_coefficient"] = with_(("v", v_trade()), ("e", E_TRADE), *cc, body=(
         f"SELECT id, degree, triangles, {r4('clustering', 'clustering')} FROM {ccn}"))
 
+    # every triangle has one customer, one part and one supplier
+    o["clustering_market"] = with_(
+        ("v", V_MARKET), ("pr", UNDIRECTED.format(e=f"({E_MARKET})")), ("dg", "SELECT src AS id, COUNT(*) AS deg FROM pr GROUP BY src"),
+        ("t", "SELECT a.src AS c, a.dst AS p, b.dst AS s FROM pr a JOIN pr b ON b.src = a.dst AND b.dst % 3 = 2 "
+              "JOIN pr x ON x.src = a.src AND x.dst = b.dst WHERE a.src % 3 = 0 AND a.dst % 3 = 1"),
+        ("n", "SELECT id, COUNT(*) AS t FROM (SELECT c AS id FROM t UNION ALL SELECT p FROM t UNION ALL SELECT s FROM t) q GROUP BY id"),
+        body=(f"SELECT v.id, CAST(COALESCE(deg, 0) AS BIGINT) AS degree, CAST(COALESCE(t, 0) AS BIGINT) AS triangles, "
+              f"{r4('CASE WHEN COALESCE(deg, 0) >= 2 THEN 2.0 * COALESCE(t, 0) / (deg * (deg - 1)) ELSE 0.0 END', 'clustering')} "
+              f"FROM v LEFT JOIN dg ON dg.id = v.id LEFT JOIN n ON n.id = v.id"))
+    place = lambda c: f"(RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / {d(2)})"
+    rk = (("v", v_supply()), ("e", E_SUPPLY), ("ld", _link_dist_sql("v", "e")),
+          ("rk", f"SELECT src, dst, {place('weight')} AS wr, {place('distance')} AS dr FROM ld"))
+    o["link_ranks"] = with_(*rk, body=f"SELECT src, dst, {r4('wr', 'weight_rank')}, {r4('dr', 'distance_rank')} FROM rk")
+    o["distance_strength_ranks"] = with_(*rk, body=f"SELECT COUNT(*) AS n_links, {r4('CORR(wr, dr)', 'rank_corr')} FROM rk")
+    ca, la, _ = layout_ctes("v", "e", Q.SUPPLY_LAYER, "a_")
+    cb, lb, _ = layout_ctes("v", "e", Q.SUPPLY_LAYER.but(weighted=True), "b_")
+    fit = (("v", v_supply()), ("e", E_SUPPLY), *ca, *cb,
+           ("j", f"SELECT a.id, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM {la} a JOIN {lb} b ON a.id = b.id"),
+           ("m", "SELECT COUNT(*) AS n, AVG(xa) AS ax, AVG(ya) AS ay, AVG(xb) AS bx, AVG(yb) AS by_, COVAR_POP(xb, xa) AS xx, "
+                 "COVAR_POP(xb, ya) AS xy, COVAR_POP(yb, xa) AS yx, COVAR_POP(yb, ya) AS yy FROM j"),
+           ("s", "SELECT *, sqrt((xx - yy) ** 2 + (xy + yx) ** 2) > sqrt((xx + yy) ** 2 + (xy - yx) ** 2) * (1 + 1e-9) AS flipped FROM m"),
+           ("h", "SELECT *, CASE WHEN flipped THEN atan2(xy + yx, xx - yy) ELSE atan2(xy - yx, xx + yy) END AS th, "
+                 "CASE WHEN flipped THEN -1.0 ELSE 1.0 END AS f FROM s"),
+           ("t", "SELECT j.id, xa, ya, xb, yb, n, flipped, th, ax + cos(th) * (xb - bx) - sin(th) * f * (yb - by_) AS xt, "
+                 "ay + sin(th) * (xb - bx) + cos(th) * f * (yb - by_) AS yt FROM j, h"))
+    rms = lambda x, y: f"sqrt(AVG(({x} - xa) * ({x} - xa) + ({y} - ya) * ({y} - ya)))"
+    o["layer_rigid_fit"] = with_(*fit, body=(
+        f"SELECT n, flipped, {r4('degrees(th)', 'angle')}, {r4(rms('xb', 'yb'), 'rms_before')}, "
+        f"{r4(rms('xt', 'yt'), 'rms_after')} FROM t GROUP BY n, flipped, th"))
+    o["layer_turned_displacement"] = with_(*fit, body=(
+        f"SELECT id, {r4('xt - xa', 'ddx')}, {r4('yt - ya', 'ddy')}, "
+        f"{r4('sqrt((xt - xa) * (xt - xa) + (yt - ya) * (yt - ya))', 'distance')} FROM t"))
+
     lc, ls, lf, kst = _layers_ctes()
     o["layer_displacement"] = with_(*lc, body=(
         f"SELECT a.id, {r4('b.x - a.x', 'ddx')}, {r4('b.y - a.y', 'ddy')}, "
@@ -544,7 +584,7 @@ def build_oracle() -> dict[str, str]:
         f"{r4('CASE WHEN dist_a > 0 THEN dist_b / dist_a END', 'ratio')} FROM rt"))
     ld = _link_dist_sql(ls, "fe")
     o["distance_vs_strength"] = with_(*lc, ("ld", ld), body=(
-        f"SELECT CAST(LEAST(FLOOR(weight * 10), 9) AS INTEGER) AS strength_bin, COUNT(*) AS n_links, "
+        f"SELECT CAST(GREATEST(0, LEAST(FLOOR(weight * 10), 9)) AS INTEGER) AS strength_bin, COUNT(*) AS n_links, "
         f"{r4('AVG(distance)', 'avg_distance')}, {r4('MIN(distance)', 'min_distance')}, "
         f"{r4('MAX(distance)', 'max_distance')} FROM ld GROUP BY 1"))
     o["distance_strength_corr"] = with_(*lc, ("ld", ld), body=(

@@ -40,6 +40,7 @@ VARIANTS = {
     "layout_target_only": TRADE.but(iterations=2, attraction="target", repulsion="neighbors"),
     "layout_neighbors": TRADE.but(iterations=2, repulsion="neighbors"),
 }
+SUPPLY_LAYER = TRADE.but(iterations=1, repulsion="neighbors")
 JOB = TRADE.but(iterations=1, weighted=True)
 
 
@@ -302,6 +303,11 @@ def q_clustering_coefficient(spark, d):
     return _r(stats.clustering_coefficient(views.trade(spark, d)), ["id", "degree", "triangles"], ["clustering"])
 
 
+def q_clustering_market(spark, d):
+    """Triangles of customers, parts and suppliers that trade with each other."""
+    return _r(stats.clustering_coefficient(views.market(spark, d)), ["id", "degree", "triangles"], ["clustering"])
+
+
 # ----------------------------------------------------------------------------- layers
 
 def _two_layouts(spark, d):
@@ -333,6 +339,32 @@ def q_distance_strength_corr(spark, d):
     return _r(layers.distance_strength_corr(s.graph.vertices, f.graph.edges), ["n_links"], ["corr"])
 
 
+def q_link_ranks(spark, d):
+    g = views.supply(spark, d)
+    return _r(layers.link_ranks(g.vertices, g.edges), ["src", "dst"], ["weight_rank", "distance_rank"])
+
+
+def q_distance_strength_ranks(spark, d):
+    g = views.supply(spark, d)
+    return _r(layers.distance_strength_rank_corr(g.vertices, g.edges), ["n_links"], ["rank_corr"])
+
+
+def _supply_layers(spark, d):
+    """Parts and suppliers moved once by all links alike, and by links as strong as the quantity."""
+    g = views.supply(spark, d)
+    return [layout.layout(g, SUPPLY_LAYER.but(weighted=w)).graph.vertices for w in (False, True)]
+
+
+def q_layer_rigid_fit(spark, d):
+    fit = layers.rigid_fit(*_supply_layers(spark, d))
+    return _r(fit, ["n", "flipped"], ["angle", "rms_before", "rms_after"])
+
+
+def q_layer_turned_displacement(spark, d):
+    a, b = _supply_layers(spark, d)
+    return _r(layers.displacement(a, layers.aligned(a, b)), ["id"], ["ddx", "ddy", "distance"])
+
+
 def q_functional_force(spark, d):
     s = layout.layout(views.trade(spark, d), TRADE.but(iterations=LAYER_ITERATIONS))
     fe = views.trade_functional_edges(spark, d)

@@ -4,6 +4,8 @@
 * ``trade_functional``: same vertices; weight = revenue of all orders, scaled to max 1.
 * ``supply``: parts (id 2*key) and suppliers (id 2*key+1); link part -> supplier,
   weight = total quantity.
+* ``market``: customers (3*key), parts (3*key+1) and suppliers (3*key+2); every line item links its three
+  to each other, weight = line items.
 * ``geo``: regions (3*key), nations (3*key+1), customers (3*key+2); tree links.
 
 All joins are equi-joins on keys; line items are pre-aggregated per order before the
@@ -91,6 +93,24 @@ def supply(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> Graph:
     return Graph(supply_vertices(spark, sf_dir, width, height, seed), supply_edges(spark, sf_dir))
 
 
+def market_edges(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        (F.col("o_custkey") * 3).cast("long").alias("c"), (F.col("l_partkey") * 3 + 1).cast("long").alias("p"),
+        (F.col("l_suppkey") * 3 + 2).cast("long").alias("s"))
+    ends = F.explode(F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("c", "p"), ("p", "s"), ("s", "c"))]))
+    return j.select(ends.alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def market(spark, sf_dir, width=10000.0, height=10000.0, seed=0) -> Graph:
+    named = lambda t, key, at, tag: table(spark, sf_dir, t).select(
+        (F.col(key) * 3 + at).cast("long").alias("id"), F.concat(F.lit(tag), F.col(key).cast("string")).alias("label"))
+    v = named("customer", "c_custkey", 0, "C").unionByName(named("part", "p_partkey", 1, "P")).unionByName(
+        named("supplier", "s_suppkey", 2, "S"))
+    return Graph(_positioned(v, width, height, seed), market_edges(spark, sf_dir))
+
+
 def geo_vertices(spark, sf_dir, with_regions: bool = True, width=10000.0, height=10000.0, seed=0) -> DataFrame:
     n = table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") * 3 + 1).alias("id"),
                                               F.col("n_name").alias("label"))

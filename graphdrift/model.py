@@ -70,6 +70,8 @@ class LayoutParams:
     radius: float | None = None     # for repulsion="radius"
     attraction: str = "both"        # both | target
     weighted: bool = False          # multiply attraction by the edge weight
+    links: str = "join"             # join: links meet positions by id | blocks: dealt once (operators/blocks.py)
+    block_links: int = 1 << 17      # for links="blocks"
     seed: int = 0
 
     def __post_init__(self):
@@ -83,6 +85,10 @@ class LayoutParams:
             raise ValueError("repulsion='radius' needs a positive radius")
         if self.attraction not in ("both", "target"):
             raise ValueError(f"unknown attraction {self.attraction}")
+        if self.links not in ("join", "blocks"):
+            raise ValueError(f"unknown links {self.links}")
+        if self.block_links < 1:
+            raise ValueError("block_links must be positive")
 
     @property
     def area(self) -> float:

@@ -10,6 +10,7 @@ from ..functions import vec
 from ..model import Graph, LayoutParams
 from ..session import Scratch
 from . import build
+from .blocks import DealtLinks, LinkBlocks
 from .multipole import cauchy_repulsion
 
 
@@ -99,6 +100,13 @@ def _both_ends(m: DataFrame) -> DataFrame:
     return m.select(ends.alias("e")).select("e.id", "e.dx", "e.dy")
 
 
+def attraction_dealt(vertices: DataFrame, dealt: LinkBlocks, k: float, params: LayoutParams) -> DataFrame:
+    """As ``attraction_links`` over links dealt to blocks: one row per distinct link, with the pull of all its copies."""
+    mx, my = vec.attraction(F.col("src_x") - F.col("dst_x"), F.col("src_y") - F.col("dst_y"), k, params.attr_scale,
+                            params.eps, F.col("weight") if params.weighted else F.col("copies"))
+    return dealt.triplets(vertices).select("src", "dst", mx.alias("mx"), my.alias("my"))
+
+
 def attraction_both_ends(g: Graph, k: float, params: LayoutParams, weighted: bool | None = None) -> DataFrame:
     per_id = _both_ends(attraction_links(g, k, params, weighted)).groupBy("id").agg(
         F.sum("dx").alias("fx"), F.sum("dy").alias("fy"))
@@ -125,35 +133,46 @@ def gravity(vertices: DataFrame, params: LayoutParams) -> DataFrame:
     return vertices.select("id", gx.alias("dx"), gy.alias("dy"))
 
 
-def _repulsion_rows(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None) -> DataFrame | None:
-    """Per-vertex repulsion (id, dx, dy); vertices without a contribution may be missing."""
+def _neighbor_rows_dealt(vertices: DataFrame, pairs: LinkBlocks, k: float, params: LayoutParams) -> DataFrame:
+    """(id, dx, dy) rows of repulsion from neighbours, pairs dealt to blocks; a pair repels both ends alike."""
+    fx, fy = vec.repulsion(F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y"), k, params.rep_scale,
+                           params.eps)
+    return _both_ends(pairs.triplets(vertices).select("src", "dst", fx.alias("mx"), fy.alias("my")))
+
+
+def _repulsion_rows(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None,
+                    dealt: DealtLinks | None) -> DataFrame | None:
+    """Repulsion (id, dx, dy), up to a sum by id; vertices without a contribution may be missing."""
     if params.repulsion == "all":
         return repulsion_all(g.vertices, k, params, scratch=scratch)
     if params.repulsion == "radius":
         return repulsion_radius(g.vertices, k, params, params.radius, scratch=scratch)
     if params.repulsion == "neighbors":
+        if dealt is not None:
+            return _neighbor_rows_dealt(g.vertices, dealt.pairs, k, params)
         return _neighbor_rows(g, k, params).select("id", F.col("fx").alias("dx"), F.col("fy").alias("dy"))
     return None
 
 
-def _attraction_rows(g: Graph, k: float, params: LayoutParams) -> DataFrame:
+def _attraction_rows(g: Graph, k: float, params: LayoutParams, dealt: DealtLinks | None) -> DataFrame:
     """Un-aggregated attraction contributions (id, dx, dy): one row per link end."""
-    m = attraction_links(g, k, params)
+    m = attraction_links(g, k, params) if dealt is None else attraction_dealt(g.vertices, dealt.links, k, params)
     if params.attraction == "target":
         return m.select(F.col("dst").alias("id"), F.col("mx").alias("dx"), F.col("my").alias("dy"))
     return _both_ends(m)
 
 
-def force_parts(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None = None) -> DataFrame:
+def force_parts(g: Graph, k: float, params: LayoutParams, scratch: Scratch | None = None,
+                dealt: DealtLinks | None = None) -> DataFrame:
     """(id, label, x, y, rep_dx, rep_dy, attr_dx, attr_dy, grav_dx, grav_dy).
 
     Repulsion rows and raw per-link-end attraction rows are unioned and summed by id in
     one aggregation (map-side combine, so a hub's many link ends are pre-summed per
-    task), then joined once to the vertices."""
+    task), then joined once to the vertices.  With ``dealt`` the links are read from their blocks."""
     zero = F.lit(0.0)
-    parts = [_attraction_rows(g, k, params).select("id", zero.alias("rep_dx"), zero.alias("rep_dy"),
+    parts = [_attraction_rows(g, k, params, dealt).select("id", zero.alias("rep_dx"), zero.alias("rep_dy"),
                                                    F.col("dx").alias("attr_dx"), F.col("dy").alias("attr_dy"))]
-    rep = _repulsion_rows(g, k, params, scratch)
+    rep = _repulsion_rows(g, k, params, scratch, dealt)
     if rep is not None:
         parts.append(rep.select("id", F.col("dx").alias("rep_dx"), F.col("dy").alias("rep_dy"),
                                 zero.alias("attr_dx"), zero.alias("attr_dy")))

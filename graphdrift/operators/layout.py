@@ -5,7 +5,7 @@ step scaling -> move + clamp.  The iteration's frame is written as a work table
 checkpoint folder (``spark.checkpoint.dir``): that cuts the lineage, so a lost executor
 re-reads the last iteration instead of recomputing from the start, and keeps the plan size
 constant.  The links join the vertices in an ordinary shuffle join, so the links of a hub are
-split at runtime by AQE.  A work table is deleted once the next iteration is written (kept for a
+split at runtime by AQE; with ``links="blocks"`` they are dealt to blocks once and stay there.  A work table is deleted once the next iteration is written (kept for a
 trace).  Loop variables (iteration, temperature, k) enter the plan as literals when the plan is
 built, never read lazily.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..model import Graph, LayoutParams, VERTEX_COLUMNS
 from ..session import Scratch
-from . import build, forces, step
+from . import blocks, build, forces, step
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,9 @@ def _normalise(vertices: DataFrame) -> DataFrame:
 
 
 def iteration_frame(g: Graph, k: float, params: LayoutParams, iteration: int, temperature: float,
-                    scratch: Scratch | None = None) -> DataFrame:
+                    scratch: Scratch | None = None, dealt: blocks.DealtLinks | None = None) -> DataFrame:
     """All columns of one iteration: forces by kind, applied step, new position."""
-    p = forces.force_parts(g, k, params, scratch)
+    p = forces.force_parts(g, k, params, scratch, dealt)
     tot_x = F.col("rep_dx") + F.col("attr_dx") + F.col("grav_dx")
     tot_y = F.col("rep_dy") + F.col("attr_dy") + F.col("grav_dy")
     p = p.select("*", tot_x.alias("dx"), tot_y.alias("dy"))
@@ -71,12 +71,13 @@ def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = F
     if k is None:
         k = params.ideal_length(n)
     n_edges = edges.count() if report else 0
+    dealt = blocks.deal_for_layout(edges, params.repulsion, params.block_links) if params.links == "blocks" else None
     traces, reports = [], []
     for it in range(1, params.rounds + 1):
         temp = params.temperature(it - 1)
         before, work = work, Scratch(spark)
         inner = Scratch(spark)
-        frame = work.table(iteration_frame(Graph(cur, edges), k, params, it, temp, inner), f"iter{it}")
+        frame = work.table(iteration_frame(Graph(cur, edges), k, params, it, temp, inner, dealt), f"iter{it}")
         inner.drop()
         if not (trace and it > 1):
             before.drop()
@@ -96,6 +97,8 @@ def layout(g: Graph, params: LayoutParams, trace: bool = False, report: bool = F
             slen = vec.length(F.col("sx"), F.col("sy"))
             total, most = frame.agg(F.sum(slen), F.max(slen)).first()
             reports.append((it, float(temp), float(k), n, n_edges, total, most))
+    if dealt is not None:
+        dealt.drop()
     tr = _union_all(traces) if traces else None
     rp = spark.createDataFrame(reports, REPORT) if report else None
     return LayoutResult(Graph(cur, edges), k, tr, rp)

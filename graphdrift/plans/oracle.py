@@ -105,6 +105,20 @@ PARSE = (f"SELECT CAST(split_part(value, chr(9), 1) AS BIGINT) AS src, CAST(spli
          f"{d(1)} AS weight FROM lines")
 
 
+def block_ctes() -> list[tuple[str, str]]:
+    """CTEs of the grid of link blocks: dealt (block, src, dst) and routes (block, id)."""
+    drawn = lambda n, *parts: f"CAST(floor({unit_hash(*parts)} * {n}) AS BIGINT)"
+    text = lambda c: f"CAST({c} AS VARCHAR)"
+    placed = (f"SELECT src, dst, q, {drawn('q', repr('row'), text('src'))} AS r, {drawn('q', repr('col'), text('dst'))} AS c "
+              f"FROM e, (SELECT GREATEST(1, CAST(ceil(sqrt(COUNT(*) / {d(Q.QUERY_BLOCK)})) AS BIGINT)) AS q FROM e) side")
+    cut = f"SELECT r, c, CAST(ceil(COUNT(*) / {d(Q.QUERY_BLOCK)}) AS BIGINT) AS parts FROM placed GROUP BY r, c"
+    dealt = (f"SELECT (p.r * p.q + p.c) * (SELECT MAX(parts) FROM cut) + "
+             f"{drawn('cut.parts', repr('part'), text('src'), text('dst'))} AS block, src, dst "
+             f"FROM placed p JOIN cut ON p.r = cut.r AND p.c = cut.c")
+    return [("e", E_SUPPLY), ("placed", placed), ("cut", cut), ("dealt", dealt),
+            ("routes", "SELECT block, src AS id FROM dealt UNION SELECT block, dst FROM dealt")]
+
+
 def with_(*ctes: tuple[str, str], body: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
 
@@ -448,6 +462,11 @@ def build_oracle() -> dict[str, str]:
         body=f"SELECT v.id, {r4('COALESCE(f.fx, 0.0)', 'dx')}, {r4('COALESCE(f.fy, 0.0)', 'dy')} FROM v LEFT JOIN f ON v.id = f.id")
     o["attraction_links"] = with_(("v", v_supply()), ("e", E_SUPPLY), body=(
         f"SELECT src, dst, {r4('mx', 'mx')}, {r4('my', 'my')} FROM ({attr_links('v', 'e', ks, T, False)}) m"))
+    o["attraction_dealt"] = o["attraction_links"]
+    o["link_blocks"] = with_(*block_ctes(), body=(
+        "SELECT l.block, l.n_links, v.n_vertices FROM (SELECT block, COUNT(*) AS n_links FROM dealt GROUP BY block) l JOIN "
+        "(SELECT block, COUNT(*) AS n_vertices FROM routes GROUP BY block) v ON l.block = v.block"))
+    o["link_routes"] = with_(*block_ctes(), body="SELECT id, COUNT(*) AS n_blocks FROM routes GROUP BY id")
     o["attraction_both_ends"] = with_(("v", v_supply()), ("e", E_SUPPLY), body=(
         f"SELECT id, {r4('dx', 'dx')}, {r4('dy', 'dy')} FROM ({attr_both('v', 'e', ks, T, False)}) m"))
     o["attraction_target_only"] = with_(("v", v_supply()), ("e", E_SUPPLY), body=(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vec import on_grid, r4
 from ..model import Graph, LayoutParams
-from ..operators import build, coarsen, forces, layers, layout, messages, modules, stats, step
+from ..operators import blocks, build, coarsen, forces, layers, layout, messages, modules, stats, step
 from ..sinks import export
 from ..sources import edgelist, views
 
@@ -32,6 +32,7 @@ MOVE_ROUNDS = 2
 UNIT = LayoutParams(width=1000.0, height=1000.0, rep_scale=0.0001, attr_scale=0.00001, step="unit",
                     bounds="none", iterations=3)
 LAYER_ITERATIONS = 2
+QUERY_BLOCK = 1 << 10                                    # links to a block, small enough that small tables need a grid
 # Layouts of the part-supplier graph, one for each kind of force, step and bounds.
 VARIANTS = {
     "layout_all_pairs_supply": TRADE.but(iterations=2),
@@ -39,6 +40,7 @@ VARIANTS = {
     "layout_inverse_corner": TRADE.but(iterations=2, step="inverse_iteration", bounds="corner", repulsion="neighbors"),
     "layout_target_only": TRADE.but(iterations=2, attraction="target", repulsion="neighbors"),
     "layout_neighbors": TRADE.but(iterations=2, repulsion="neighbors"),
+    "layout_link_blocks": TRADE.but(iterations=2, repulsion="neighbors", links="blocks", block_links=QUERY_BLOCK),
 }
 SUPPLY_LAYER = TRADE.but(iterations=1, repulsion="neighbors")
 JOB = TRADE.but(iterations=1, weighted=True)
@@ -165,6 +167,24 @@ def q_attraction_links(spark, d):
     return _r(forces.attraction_links(g, _k(g, TRADE), TRADE), ["src", "dst"], ["mx", "my"])
 
 
+def q_attraction_dealt(spark, d):
+    """Pull of every distinct link, the links read from their blocks."""
+    g = views.supply(spark, d)
+    pulls = forces.attraction_dealt(g.vertices, blocks.deal(g.edges, QUERY_BLOCK), _k(g, TRADE), TRADE)
+    return _r(pulls, ["src", "dst"], ["mx", "my"])
+
+
+def q_link_blocks(spark, d):
+    """Links of each block of the grid and the vertices it needs."""
+    return blocks.deal(views.supply_edges(spark, d), QUERY_BLOCK).sizes()
+
+
+def q_link_routes(spark, d):
+    """Blocks that need each vertex: the positions an iteration sends."""
+    routes = blocks.deal(views.supply_edges(spark, d), QUERY_BLOCK).routes
+    return routes.groupBy("id").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
 def q_attraction_both_ends(spark, d):
     g = views.supply(spark, d)
     return _r(forces.attraction_both_ends(g, _k(g, TRADE), TRADE), ["id"], ["dx", "dy"])

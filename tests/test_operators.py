@@ -1,5 +1,7 @@
 """Invariants and small-graph checks of construction, forces, steps, statistics and layers."""
 
+import contextlib
+import io
 import itertools
 
 import pytest
@@ -155,3 +157,17 @@ def test_layout_completes_missing_endpoints(spark):
     assert set(rows) == {1, 2, 9} and rows[9].label == "NONODE"
     with pytest.raises(ValueError):
         layout.layout(Graph(g.vertices.unionByName(g.vertices), g.edges), LayoutParams(iterations=1))
+
+
+def test_linked_pairs_are_made_distinct_before_they_are_turned(spark):
+    """Copies, turned copies, self-links and null ends: each pair is held once, and turned only afterwards."""
+    rows = [(1, 2), (2, 1), (1, 2), (3, 3), (None, 4), (4, None), (5, 2)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    assert sorted(map(tuple, build.unordered_pairs(edges).collect())) == [(1, 2), (2, 5)]
+    both = build.undirected_pairs(edges)
+    assert sorted(map(tuple, both.collect())) == [(1, 2), (2, 1), (2, 5), (5, 2)]
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        both.explain()
+    text = out.getvalue()                                   # the plan's last operator comes first
+    assert text.index("Generate") < text.index("HashAggregate") < text.index("Exchange")

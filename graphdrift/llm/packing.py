@@ -5,7 +5,7 @@ Documents keep the order of their input partition.  Windows are cut at document
 penalties are smallest.  A window that is not full is padded to its width, unless its length is a
 power of two.  With f(j) the least cost up to place j, f(j) = penalty(j) + min over places i at most
 a window back of f(i) + width - (j - i); f(i) + i does not depend on j, so a monotone queue gives
-the minimum in constant time, and the unpadded lengths are twelve direct look-ups.
+the minimum in constant time; the few places an unpadded length before j are found for all j at once.
 
 Every input partition is packed by itself as one long stream, a horizon at a time: a horizon's last
 windows are left open and planned again with what follows, so memory is bounded by the horizon
@@ -31,12 +31,22 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 IN_SENTENCE, IN_DOCUMENT, PER_WINDOW = 64.0, 8.0, 4.0     # penalties, in padded tokens
 
 
+def _unpadded(pos: np.ndarray, sizes: list[int]) -> tuple[list[int], list[int]]:
+    """Places one of the rising ``sizes`` before each place: where those of place j end in the list, and the list."""
+    found = []
+    for size in sizes:
+        before = np.searchsorted(pos, pos - size)
+        to = np.flatnonzero(pos[before] == pos - size)
+        found.append((to, before[to]))
+    to, before = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.cumsum(np.bincount(to, minlength=len(pos))).tolist(), before[np.argsort(to, kind="stable")].tolist()
+
+
 def plan_cuts(places: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
     """Places (the last one always) at which windows end.  ``places`` rise, the first is above 0
     and no two neighbours (0 included) are further apart than ``width``."""
     pos, pen = [0, *places.tolist()], [0.0, *penalty.tolist()]
-    at = {p: i for i, p in enumerate(pos)}
-    free = [1 << k for k in range(width.bit_length()) if 1 << k <= width]
+    ends, backs = _unpadded(np.concatenate(([0], places)), [1 << k for k in range(width.bit_length())])
     f, back = [0.0] * len(pos), [0] * len(pos)
     queue = deque([0])                                    # f(i) + pos(i) rises from head to tail
     for j in range(1, len(pos)):
@@ -45,9 +55,8 @@ def plan_cuts(places: np.ndarray, penalty: np.ndarray, width: int) -> list[int]:
             queue.popleft()
         best = queue[0]
         cost = f[best] + width - (p - pos[best])
-        for size in free:
-            i = at.get(p - size)
-            if i is not None and f[i] < cost:
+        for i in backs[ends[j - 1]:ends[j]]:
+            if f[i] < cost:
                 cost, best = f[i], i
         f[j], back[j] = cost + pen[j] + PER_WINDOW, best
         g = f[j] + p

@@ -341,6 +341,24 @@ def test_packing_ids_are_those_of_the_tokenizer_file(spark):
     assert got[2] == [50256, 1]
 
 
+def test_packing_looks_only_at_unpadded_lengths_that_end_at_a_place():
+    rng = random.Random(4)
+    for _ in range(50):
+        pos = [0, *sorted(rng.sample(range(1, 400), rng.randint(1, 120)))]
+        sizes = [1 << k for k in range(7)]
+        ends, backs = packing._unpadded(np.array(pos), sizes)
+        for j in range(1, len(pos)):
+            assert backs[ends[j - 1]:ends[j]] == [pos.index(pos[j] - n) for n in sizes if pos[j] - n in pos]
+        assert ends[0] == 0
+
+
+def test_packing_ids_of_odd_spaces_are_those_of_the_whole_text():
+    for path in (packing.default_vocabulary(),):
+        enc = vocab.encoding(path, PATTERN)
+        for text in ("", " ", "a", " a", "a  b", "a b ", "  a\n b", "a b a b", "\u00e9 \u00a0x 12 345", "x\t y"):
+            assert vocab.packed_ids(text, path, PATTERN) == np.array(enc.encode_ordinary(text), "<u4").tobytes()
+
+
 def test_packing_plan_is_the_cheapest():
     rnd = random.Random(6)
     for _ in range(60):

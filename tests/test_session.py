@@ -6,6 +6,10 @@ import uuid
 import pytest
 
 from graphdrift import session
+from graphdrift.model import LayoutParams
+from graphdrift.operators import coarsen, forces, layers, layout, messages, stats
+from graphdrift.sinks import export
+from graphdrift.sources import fixtures
 
 
 class _Cluster:
@@ -58,3 +62,26 @@ def test_a_disk_of_each_machines_own_is_still_an_error(spark, tmp_path, monkeypa
     monkeypatch.setattr(session, "_same_on_every_executor", lambda *a: False)
     with pytest.raises(ValueError, match="own disk"):
         session.ensure_checkpoint_dir(_Cluster(spark, f"file://{tmp_path}/own"))
+
+
+WORK_TABLES = {
+    "triangles": stats.clustering_coefficient,
+    "clusters": coarsen.clusters,
+    "components": lambda g: messages.components(g).vertices,
+    "force_total": lambda g: forces.force_total(g, 100.0, LayoutParams()),
+    "layout": lambda g: layout.layout(g, LayoutParams(iterations=1)).graph.vertices,
+    "layout_of_neighbors": lambda g: layout.layout(g, LayoutParams(iterations=1, repulsion="neighbors")).graph.vertices,
+    "ranks": lambda g: layers.distance_strength_rank_corr(g.vertices, g.edges),
+    "node_table": lambda g: export.node_table(g, lp_rounds=1),
+}
+
+
+@pytest.mark.parametrize("name", WORK_TABLES)
+def test_what_writes_work_tables_runs_on_a_cluster_with_a_mounted_share(spark, monkeypatch, name):
+    """As on a cluster whose checkpoint folder is a ``file:`` share: the same rows as in local mode."""
+    g = fixtures.house(spark)
+    local = sorted(map(str, WORK_TABLES[name](g).collect()))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(session, "_SHARED", set())
+    assert sorted(map(str, WORK_TABLES[name](g).collect())) == local
+    assert session._SHARED

@@ -76,12 +76,17 @@ WORK_TABLES = {
 }
 
 
+def _rows(df):
+    """Rows in order, doubles to 6 decimals (the last digits of a sum depend on the order of its terms)."""
+    return sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
 @pytest.mark.parametrize("name", WORK_TABLES)
 def test_what_writes_work_tables_runs_on_a_cluster_with_a_mounted_share(spark, monkeypatch, name):
     """As on a cluster whose checkpoint folder is a ``file:`` share: the same rows as in local mode."""
     g = fixtures.house(spark)
-    local = sorted(map(str, WORK_TABLES[name](g).collect()))
+    local = _rows(WORK_TABLES[name](g))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     monkeypatch.setattr(session, "_SHARED", set())
-    assert sorted(map(str, WORK_TABLES[name](g).collect())) == local
+    assert _rows(WORK_TABLES[name](g)) == local
     assert session._SHARED

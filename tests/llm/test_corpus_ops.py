@@ -6,12 +6,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 import regex
 import xxhash
+import zstandard
 from public_tokenizers import PATTERN
 from pyspark.sql import functions as F
 
@@ -209,6 +211,31 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_sketch_is_unpacked_block_by_block(spark):
+    bits, rng = 29, np.random.default_rng(3)
+    bytes_of_block = (1 << bits) // substring_dedup.BLOCKS // 8
+    plain = [np.zeros(bytes_of_block, np.uint8) if i % 5 else rng.integers(0, 256, bytes_of_block, np.uint8)
+             for i in range(substring_dedup.BLOCKS)]
+    blocks = [zstandard.compress(b.tobytes(), 1) if i % 3 else b"" for i, b in enumerate(plain)]
+    cells = np.sort(rng.integers(0, 1 << bits, 5000))[rng.permutation(5000)]
+    want = [bool(blocks[c // 8 // bytes_of_block] and
+                 plain[c // 8 // bytes_of_block][c // 8 % bytes_of_block] >> (7 - c % 8) & 1) for c in cells.tolist()]
+    tracemalloc.start()
+    try:
+        got = substring_dedup.counted_twice(blocks, cells, bits)
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20             # the row itself has 64 MB
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == want and any(want)
+    assert not len(substring_dedup.counted_twice(blocks, cells[:0], bits))
+    rows = spark.createDataFrame([(" ".join(map(str, range(k, k + 20))),) for k in (0, 0, 50)], "text string")
+    sketch = substring_dedup.merged_sketch(rows, 13, 16)
+    h, _, text, _ = substring_dedup.WindowHasher(13)([r.text for r in rows.collect()])
+    twice = substring_dedup.counted_twice(sketch[0], substring_dedup._cells(h, 16), 16)
+    assert [len(r) for r in sketch] == [substring_dedup.BLOCKS] * substring_dedup.ROWS
+    assert twice[text < 2].all() and not twice[text == 2].all()
+
+
 @pytest.mark.parametrize("length,group_rows", [(400, 4096), (60, 2)])
 def test_suffix_dedup(docs, rows, none, length, group_rows):
     raw = [(t or "").encode() for _, t in rows]

@@ -15,9 +15,9 @@ from graphdrift.sources import fixtures
 class _Cluster:
     """The test session as if its master were a cluster's."""
 
-    def __init__(self, spark, folder, app=None, warehouse=None):
+    def __init__(self, spark, folder, app=None, warehouse=None, master="spark://host:7077"):
         self._spark, self._folder, self._warehouse = spark, folder, warehouse
-        self.master, self.applicationId = "spark://host:7077", app or uuid.uuid4().hex
+        self.master, self.applicationId = master, app or uuid.uuid4().hex
         self.set: list[str] = []
 
     sparkContext = conf = property(lambda self: self)
@@ -58,6 +58,11 @@ def test_a_cluster_without_a_folder_uses_its_warehouse(spark, tmp_path):
     assert session.ensure_checkpoint_dir(cluster) == f"file://{tmp_path}/warehouse/_graphdrift"
 
 
+def test_executors_in_processes_of_their_own_do_not_get_the_drivers_temporary_folder(spark, tmp_path):
+    cluster = _Cluster(spark, None, warehouse=f"file://{tmp_path}/warehouse", master="local-cluster[3,4,1024]")
+    assert session.ensure_checkpoint_dir(cluster) == f"file://{tmp_path}/warehouse/_graphdrift"
+
+
 def test_a_disk_of_each_machines_own_is_still_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "_same_on_every_executor", lambda *a: False)
     with pytest.raises(ValueError, match="own disk"):

@@ -50,25 +50,38 @@ def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """(id, deg) of the vertices of linked pairs, each pair once."""
+    return pairs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
+
+
+def _oriented(pairs: DataFrame, deg: DataFrame) -> DataFrame:
+    of = lambda end: deg.select(F.col("id").alias(end), F.col("deg").alias(f"{end}_deg"))
+    lower = F.col("src_deg") <= F.col("dst_deg")                         # of equal degrees the smaller id, src, is lower
+    first = lambda a, b: F.when(lower, F.col(a)).otherwise(F.col(b))
+    return pairs.join(of("src"), "src").join(of("dst"), "dst").select(
+        first("src", "dst").alias("u"), first("dst", "src").alias("v"),
+        first("src_deg", "dst_deg").alias("du"), first("dst_deg", "src_deg").alias("dv"))
+
+
 def oriented_edges(g: Graph) -> DataFrame:
     """(u, v, du, dv): simple undirected graph with each edge oriented from lower to higher
     (degree, id) rank, with both undirected degrees."""
-    pairs = build.undirected_pairs(g.edges)
-    deg = pairs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    r = pairs.join(deg.select(F.col("id").alias("src"), F.col("deg").alias("du")), "src") \
-             .join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("dv")), "dst")
-    lower = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("src") < F.col("dst")))
-    return r.filter(lower).select(F.col("src").alias("u"), F.col("dst").alias("v"), "du", "dv")
+    pairs = build.unordered_pairs(g.edges)
+    return _oriented(pairs, _degrees(pairs))
 
 
 def clustering_coefficient(g: Graph) -> DataFrame:
-    """(id, degree, triangles, clustering) with c = 2 t / (d (d - 1)), 0 when d < 2.  The oriented
-    edges are derived once, as a work table, left until ``session.clear_work``."""
-    oriented = Scratch(g.vertices.sparkSession).table(oriented_edges(g), "oriented")
-    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("du").alias("deg")),
-                             F.struct(F.col("v").alias("id"), F.col("dv").alias("deg"))))
-    deg = oriented.select(ends.alias("e")).select("e.id", "e.deg").groupBy("id").agg(F.first("deg").alias("deg"))
-    v = g.vertices.select("id").join(deg, "id", "left").join(triangles(oriented), "id", "left")
+    """(id, degree, triangles, clustering) with c = 2 t / (d (d - 1)), 0 when d < 2.  Linked pairs, oriented
+    edges and lists are work tables that go before it returns; degrees and triangles by vertex are left until
+    ``session.clear_work``."""
+    work, kept = Scratch(g.vertices.sparkSession), Scratch(g.vertices.sparkSession)
+    pairs = work.table(build.unordered_pairs(g.edges), "pairs")
+    deg = kept.table(_degrees(pairs), "degrees")
+    oriented = work.table(_oriented(pairs, deg), "oriented")
+    found = kept.table(triangles(oriented, scratch=work), "triangles")
+    work.drop()
+    v = g.vertices.select("id").join(deg, "id", "left").join(found, "id", "left")
     d = F.coalesce(F.col("deg"), F.lit(0).cast("long"))
     tr = F.coalesce(F.col("triangles"), F.lit(0).cast("long"))
     c = F.when(d >= 2, F.lit(2.0) * tr / (d * (d - F.lit(1)))).otherwise(F.lit(0.0))

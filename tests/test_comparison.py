@@ -58,6 +58,46 @@ def test_each_triangle_is_in_one_block_of_bounded_size(spark):
     assert 3 * m / q ** 2 + 2 * d / q <= r < 3 * m / (q - 1) ** 2 + 2 * d / (q - 1)
 
 
+@pytest.mark.parametrize("by_lists", [True, False])
+def test_both_ways_of_dealing_equal_brute_force(spark, monkeypatch, by_lists):
+    """Lists longer than a row, ids of both signs, blocks of a few links."""
+    rnd = random.Random(6)
+    ids = [rnd.randrange(-2 ** 62, 2 ** 62) for _ in range(50)]
+    links = [(rnd.choice(ids), rnd.choice(ids)) for _ in range(500)]
+    monkeypatch.setattr(triangles, "_LIST", 3)
+    if by_lists:
+        monkeypatch.setattr(triangles, "dealt", None)
+        monkeypatch.setattr(triangles, "colours", lambda *a: 10 ** 6)
+    else:
+        monkeypatch.setattr(triangles, "list_counts", None)
+        monkeypatch.setattr(triangles, "colours", lambda *a: 1)
+        monkeypatch.setattr(triangles, "sent", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {r.id: r.triangles for r in triangles.triangles(stats.oriented_edges(_graph(spark, links)), 20).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == _brute(links)
+
+
+def test_links_of_a_sparse_graph_are_not_dealt_to_every_colour(spark):
+    """Of 3,000 links in triangles of three, blocks of 30 links: a list goes where it is asked for, once."""
+    links = [(3 * t + a, 3 * t + b) for t in range(1000) for a, b in ((0, 1), (1, 2), (0, 2))]
+    oriented = stats.oriented_edges(_graph(spark, links))
+    text = triangles.triangles(oriented, 30)._jdf.queryExecution().toString()
+    assert "MapInArrow" in text and "FlatMapGroupsInPandas" not in text
+    kept = triangles.lists(oriented.select("u", "v"), 100, 0, 2)
+    assert triangles.sent(kept, 100).count() == 3000          # two lists of a triangle stay, one of them also goes to the other's block
+
+
+def test_triangles_leave_degrees_and_counts_only(spark):
+    from test_plans import _tables
+
+    before = _tables(spark)
+    stats.clustering_coefficient(_graph(spark, [(0, 1), (1, 2), (0, 2)])).count()
+    assert _tables(spark) - before == 1
+
+
 def test_no_links_no_triangles(spark):
     empty = spark.createDataFrame([], "u long, v long, du long, dv long")
     assert triangles.triangles(empty).count() == 0

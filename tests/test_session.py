@@ -1,9 +1,11 @@
 """The shared folder on a cluster: a mounted share counts, a disk of each machine's own does not."""
 
 import os
+import time
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphdrift import session
 from graphdrift.model import LayoutParams
@@ -95,3 +97,22 @@ def test_what_writes_work_tables_runs_on_a_cluster_with_a_mounted_share(spark, m
     monkeypatch.setattr(session, "_SHARED", set())
     assert _rows(WORK_TABLES[name](g)) == local
     assert session._SHARED
+
+
+def test_a_written_work_table_keeps_no_shuffle_files(spark):
+    """What the query that fills it shuffled is off the disk soon after, though the frame is still held."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size()))
+                     if f.startswith("shuffle_")}
+    before, was = files(), spark.conf.get(session.FREE_SHUFFLES_CONF, None)
+    work = session.Scratch(spark)
+    held = spark.range(20_000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).repartition(3, "id"), F.col("k") == F.col("id"))
+    table = work.table(held, "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == held.count() == 7
+    assert spark.conf.get(session.FREE_SHUFFLES_CONF, None) == was
+    work.drop()

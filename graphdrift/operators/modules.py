@@ -7,7 +7,8 @@ of the vertices drawn by a hash of (seed, round, id) may move, so the two sides
 round counts only if it raises Q, so Q never falls, and a level ends when neither half of the vertices raises it.  Then every module
 becomes one vertex and the next level moves whole modules.
 
-Every choice is an aggregation (max of a struct), so a hub's neighbours never meet in one task.
+Every choice is an aggregation (max of a struct).  A vertex's links are dealt by its id, those of a hub also by a hash of the
+module they lead to, so no task gets more than about ``_PART`` of one vertex's links besides those into one module.
 """
 
 from __future__ import annotations
@@ -22,34 +23,56 @@ from ..model import Graph
 from ..session import Scratch
 
 
+_PART = 1 << 20                                          # links of one vertex that are dealt together
+
+
 def symmetric_weights(edges: DataFrame) -> DataFrame:
-    """(u, v, w): summed positive weights both ways (a null weight counts 1); self-links are left out."""
-    rows = edges.filter("src <> dst").select("src", "dst", F.coalesce(F.col("weight"), F.lit(1.0)).alias("w")).filter("w > 0")
-    ends = F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
-                             F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))).alias("e")
-    return rows.select(ends, "w").groupBy("e.u", "e.v").agg(F.sum("w").alias("w"))
+    """(u, v, w): summed positive weights both ways (a null weight counts 1); self-links are left out.  Both ways are
+    made after the sums, so that step holds each pair once."""
+    rows = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"),
+                                             F.coalesce(F.col("weight"), F.lit(1.0)).alias("w")).filter("w > 0")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                             F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+    return rows.groupBy("a", "b").agg(F.sum("w").alias("w")).select(ends, "w").select("e.u", "e.v", "w")
 
 
 def modularity(pairs: DataFrame, member: DataFrame, two_m: float) -> float:
-    """Q of ``member`` (id, c, k)."""
+    """Q of ``member`` (id, c, k).  Of the two ways of a pair one is looked at, for both."""
     of = lambda side: member.select(F.col("id").alias(side), F.col("c").alias(f"c{side}"))
-    inside = pairs.join(of("u"), "u").join(of("v"), "v").filter("cu = cv").agg(F.sum("w")).first()[0] or 0.0
+    both = F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.col("w") * 2.0)
+    one = pairs.filter("u <= v").select("u", "v", both.alias("w"))
+    inside = one.join(of("u"), "u").join(of("v"), "v").filter("cu = cv").agg(F.sum("w")).first()[0] or 0.0
     total = member.groupBy("c").agg(F.sum("k").alias("whole")).agg(F.sum(F.col("whole") * F.col("whole"))).first()[0] or 0.0
     return inside / two_m - total / (two_m * two_m)
 
 
-def moved(pairs: DataFrame, member: DataFrame, two_m: float, seed: int, turn: int) -> DataFrame:
-    """``member`` (id, c, k) after one round of moves of the half of the vertices whose turn it is."""
-    own = member.select(F.col("id").alias("u"), F.col("c"), F.col("k"))
-    total = member.groupBy(F.col("c").alias("d")).agg(F.sum("k").alias("whole"))
-    to = pairs.filter("u <> v").join(member.select(F.col("id").alias("v"), F.col("c").alias("d")), "v").select("u", "d", "w")
-    stay = member.select(F.col("id").alias("u"), F.col("c").alias("d"), F.lit(0.0).alias("w"))
-    to = to.unionByName(stay).groupBy("u", "d").agg(F.sum("w").alias("w")).join(own, "u").join(total, "d")
+def hubs(pairs: DataFrame) -> DataFrame:
+    """(u, parts) of the vertices whose links are dealt in several parts: at most one for ``_PART`` links of the graph."""
+    n = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col("n") > _PART).select("u", F.ceil(F.col("n") / F.lit(_PART)).cast("int").alias("parts"))
+
+
+def moved(pairs: DataFrame, member: DataFrame, two_m: float, seed: int, turn: int, hub: DataFrame | None = None) -> DataFrame:
+    """``member`` (id, c, k) after one round of moves of the half of the vertices whose turn it is.  A link is shuffled
+    twice: to the module at its far end, with that module's weight, and to its own end."""
+    hub = hubs(pairs) if hub is None else hub
+    whole = member.groupBy("c").agg(F.sum("k").alias("whole"))
+    known = member.join(whole, "c").select("id", "c", "k", "whole")
+    to = pairs.filter("u <> v").join(known.select(F.col("id").alias("v"), F.col("c").alias("d"), "whole"), "v")
+    stay = known.select(F.col("id").alias("u"), F.col("c").alias("d"), F.lit(0.0).alias("w"), "whole")
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    to = to.select("u", "d", "w", "whole").unionByName(stay).join(hub, "u", "left").select(
+        "u", F.pmod(F.xxhash64("d"), parts).cast("int").alias("part"), "d", "w", "whole")
+    own = member.select(F.col("id").alias("u"), "c", "k").join(hub, "u", "left").select(
+        "u", "c", "k", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    to = to.repartition("u", "part").groupBy("u", "part", "d").agg(F.sum("w").alias("w"), F.max("whole").alias("whole")).join(
+        own, ["u", "part"])
     at_home = F.col("d") == F.col("c")
     gain = F.col("w") - F.col("k") * (F.col("whole") - F.when(at_home, F.col("k")).otherwise(0.0)) / F.lit(float(two_m))
     rank = F.struct(gain.alias("gain"), at_home.alias("home"), vec.unit_hash(F.lit(seed), F.lit("tie"), F.col("d")).alias("tie"),
                     F.col("d"))
-    best = to.groupBy("u").agg(F.max(rank).alias("b")).select(F.col("u").alias("id"), F.col("b.d").alias("d"))
+    best = to.groupBy("u", "part").agg(F.max(rank).alias("b")).groupBy("u").agg(F.max("b").alias("b")).select(
+        F.col("u").alias("id"), F.col("b.d").alias("d"))
     turns = vec.unit_hash(F.lit(seed), F.lit(turn // 2), F.col("id")) < 0.5
     may = turns if turn % 2 == 0 else ~turns
     return member.join(best, "id").select("id", F.when(may, F.col("d")).otherwise(F.col("c")).alias("c"), "k")
@@ -57,17 +80,30 @@ def moved(pairs: DataFrame, member: DataFrame, two_m: float, seed: int, turn: in
 
 def local_moves(pairs: DataFrame, vertices: DataFrame, seed: int = 0, max_rounds: int = 20,
                 scratch: Scratch | None = None) -> tuple[DataFrame, list[float]]:
-    """((id, c, k), Q after each round that counted, the start first) of one level: every vertex (id) starts alone."""
-    scratch = scratch or Scratch(pairs.sparkSession)
+    """((id, c, k), Q after each round that counted, the start first) of one level: every vertex (id) starts alone.
+    ``scratch`` is that of the caller's work table of pairs; without one the pairs, which every round reads, are
+    written to one first and dropped at the end."""
+    links = None
+    if scratch is None:
+        scratch, links = Scratch(pairs.sparkSession), Scratch(pairs.sparkSession)
+        pairs = links.table(pairs, "pairs")
+    member, found = _rounds(pairs, vertices, seed, max_rounds, scratch)
+    if links is not None:
+        links.drop()
+    return member, found
+
+
+def _rounds(pairs: DataFrame, vertices: DataFrame, seed: int, max_rounds: int, scratch: Scratch) -> tuple[DataFrame, list[float]]:
     degree = pairs.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"))
     member = scratch.table(vertices.select("id").join(degree, "id", "left")
                            .select("id", F.col("id").alias("c"), F.coalesce("k", F.lit(0.0)).alias("k")), "modules")
     two_m = float(pairs.agg(F.sum("w")).first()[0] or 0.0)
     if two_m <= 0.0:
         return member, [0.0]
+    hub = scratch.table(hubs(pairs), "hubs")              # few rows, their number known before the joins
     found, idle = [modularity(pairs, member, two_m)], 0
     for turn in range(max_rounds):
-        new = scratch.table(moved(pairs, member, two_m, seed, turn), "modules")
+        new = scratch.table(moved(pairs, member, two_m, seed, turn, hub), "modules")
         q = modularity(pairs, new, two_m)
         if q > found[-1]:
             member, idle = new, 0

@@ -60,3 +60,19 @@ def test_two_sided_graph_settles(spark):
 def test_graphs_without_links(spark):
     got = modules.modules(_graph(spark, 4, [(1, 1, 1.0), (2, 3, 0.0)]))
     assert got.levels == [0.0] and {r.id: r.module for r in got.members.collect()} == {i: i for i in range(4)}
+
+
+def test_pairs_are_made_once_and_a_hub_is_dealt_in_parts(spark, monkeypatch):
+    rnd = random.Random(9)
+    links = [(0, v, 1.0) for v in range(1, 60)] + [(rnd.randrange(60), rnd.randrange(60), 1.0) for _ in range(120)]
+    g, rows = _graph(spark, 60, links), lambda m: {r.id: r.c for r in m.collect()}
+    member, found = modules.local_moves(modules.symmetric_weights(g.edges), g.vertices, seed=3, max_rounds=4)
+    want, written = rows(member), []
+    table = modules.Scratch.table
+    monkeypatch.setattr(modules.Scratch, "table", lambda self, df, name, *a: written.append(name) or table(self, df, name, *a))
+    monkeypatch.setattr(modules, "_PART", 7)
+    member, again = modules.local_moves(modules.symmetric_weights(g.edges), g.vertices, seed=3, max_rounds=4)
+    assert rows(member) == want and again == pytest.approx(found)
+    assert written.count("pairs") == 1
+    hub = {r.u: r.parts for r in modules.hubs(modules.symmetric_weights(g.edges)).collect()}
+    assert hub[0] >= 9

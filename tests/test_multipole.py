@@ -166,3 +166,26 @@ def test_upward_pass_is_narrow_and_right(spark):
         u = (nx[own] / h - r.ix - 0.5) + 1j * (ny[own] / h - r.iy - 0.5)
         for k in range(terms):
             assert abs((q[own] * u ** k).sum() - complex(getattr(r, f"ar{k}"), getattr(r, f"ai{k}"))) < 1e-9
+
+
+def test_positions_of_a_cell_go_once_to_a_block_of_targets(spark, monkeypatch):
+    """Direct sums of 400 positions in 64 cells of one block, all cells with all: 400 positions are shuffled, not 64 times 400."""
+    rng = np.random.default_rng(5)
+    xs, ys = rng.uniform(0, 8, 400).round(1), rng.uniform(0, 8, 400).round(1)
+    spots = sorted({(x, y) for x, y in zip(xs, ys)})
+    rows = [(6, int(min(x, 7.9)), int(min(y, 7.9)), float(x), float(y), 1 + i % 3) for i, (x, y) in enumerate(spots)]
+    pos = spark.createDataFrame(rows + [(6, None, None, None, None, 1)], "lvl int, ix long, iy long, x double, y double, q long")
+    cells = sorted({r[1:3] for r in rows})
+    pairs = spark.createDataFrame([(6, *t, *s) for t in cells for s in cells] + [(6, None, None, None, None)],
+                                  "lvl int, tx long, ty long, sx long, sy long")
+    monkeypatch.setattr(multipole, "_PAIRS", 50)
+    for radius in (None, 2.0):
+        out = multipole._direct(pos, pairs, 1e-4, radius)
+        got = out.groupBy("x", "y").sum("fx", "fy").toPandas().sort_values(["x", "y"]).to_numpy()
+        p, q = np.array(spots), np.array([r[5] for r in rows])
+        d = p[:, None] - p[None, :]
+        d2 = (d ** 2).sum(2)
+        w = np.where(d2 <= (radius or 1e9) ** 2, q / np.maximum(d2, 1e-8), 0.0)
+        assert np.allclose(got, np.column_stack([p, (w[:, :, None] * d).sum(1)]), rtol=1e-9, atol=1e-9)
+        text = out._jdf.queryExecution().toString()
+        assert "CoGroupsInPandas" in text

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import os
 import random
 import re
 from collections import Counter
@@ -120,6 +121,14 @@ def test_empty_null_and_unknown_ends(spark):
     odd.drop()
 
 
+def test_dealing_leaves_the_kept_tables_only(spark, graph):
+    dealt = blocks.deal(graph[0].edges, 25)
+    folder = dealt.work.folder.removeprefix("file:")
+    left = sorted(name.split("-")[0] for name in os.listdir(folder))
+    dealt.drop()
+    assert left == ["placed", "routes"]
+
+
 def test_unknown_kind_of_links_is_refused():
     for bad in ({"links": "grid"}, {"links": "blocks", "block_links": 0}):
         with pytest.raises(ValueError):
